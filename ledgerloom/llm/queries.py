@@ -5,9 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, secret_scans
+from . import decontaminate, packing, quality_rules, secret_scans, simhash
 from .common import table
 
+#: The tokenizer of the packing query; a path, or the name of a file of the public_tokenizers package.
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    if "/" in name:
+        return name
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.assess(table(spark, sf_dir, "documents"))
@@ -28,8 +39,29 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op3_secret_scans)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_secret_scans, op6_decontamination, op7_packing, op8_simhash)}
 
 
 def _op1_sql() -> str:
@@ -83,5 +115,24 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 FROM d LEFT JOIN n USING (doc_id)"""
 
 
+def _op6_sql() -> str:
+    """Windows of documents joined with windows of items, as joined words."""
+    words = lambda t: f"regexp_extract_all(translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {words("text")} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {words("text")} AS w FROM benchmark),
+i AS (SELECT item, least(13, len(w)) AS n, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS p FROM b WHERE len(w) > 0),
+g AS (SELECT DISTINCT item, n, array_to_string(w[p:p + n - 1], ' ') AS k FROM i),
+s AS (SELECT DISTINCT n FROM g),
+x AS (SELECT r, n, w, unnest(range(1, len(w) - n + 2)) AS p FROM d, s WHERE len(w) >= n),
+y AS (SELECT r, n, p, array_to_string(w[p:p + n - 1], ' ') AS k FROM x),
+m AS (SELECT y.r, y.p, y.n, g.item FROM y JOIN g ON y.n = g.n AND y.k = g.k),
+h AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS q FROM m) GROUP BY r),
+t AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM m) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": _op1_sql(), "op3_secret_scans": _op3_sql()}
+    return {"op1_quality_rules": _op1_sql(), "op3_secret_scans": _op3_sql(), "op6_decontamination": _op6_sql()}

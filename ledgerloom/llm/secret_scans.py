@@ -131,7 +131,7 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     alternatives = postings.join(asked, "gram").groupBy("_key", "rule", "clause", "alt", "size").agg(F.count("*").alias("n"))
     held = alternatives.where("n = size").groupBy("_key", "rule").agg(F.count_distinct("clause").alias("n"))
     held = held.join(clauses, "rule").where("n = clauses")
-    return held.groupBy("_key").agg(F.sum(F.shiftleft(F.lit(1), F.col("rule"))).cast("long").alias("_mask"))
+    return held.groupBy("_key").agg(F.sum(F.expr("shiftleft(1L, rule)")).alias("_mask"))
 
 
 def _spans(text: Column, rule: Rule, order: int) -> tuple[Column, Column, Column]:
