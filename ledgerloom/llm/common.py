@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +42,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def crc_mod(col: str, m: int = 5) -> Column:
+    """crc32 of a column as text, modulo m; -1 where it is null."""
+    return F.coalesce(F.pmod(F.crc32(F.col(col).cast("string")), F.lit(m)), F.lit(-1)).cast("int")
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int = 8 << 20):
+    """The batch in slices of about `most` bytes of text."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // most, prepend=0)).tolist()
+    for s, e in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+        if e > s:
+            yield batch.slice(s, e - s)
+
+
+def split_words(texts: pa.Array, lower: bool = True) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The ASCII-lower-cased words of all texts, dictionary-coded, and the bounds of each text's words. White space at either
+    end of a text leaves an empty word."""
+    texts = pc.fill_null(texts, "")
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    return split.flatten().dictionary_encode(), split.offsets.to_numpy() - split.offsets[0].as_py()
+
+
 def text_bytes(df: DataFrame, text_col: str = "text") -> int:
     """Total UTF-8 bytes of a text column (one aggregate)."""
     return df.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("n")).first()["n"]

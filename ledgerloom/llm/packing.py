@@ -16,12 +16,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import slices, split_words, written
 
 
 class Encoder:
@@ -35,8 +34,7 @@ class Encoder:
 
     def ids(self, texts: pa.Array):
         """Yields the ids of each text, the end's included, as uint32."""
-        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-        coded = split.flatten().dictionary_encode()
+        coded, ends = split_words(texts, lower=False)
         words = coded.dictionary.to_pylist()
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > self.held:
@@ -51,20 +49,11 @@ class Encoder:
         lengths = sizes[index]
         places = np.cumsum(lengths) - lengths
         ids = flat[np.arange(lengths.sum()) + np.repeat(begins[index] - places, lengths)]
-        bounds = np.concatenate((places, [len(ids)]))[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        bounds = np.concatenate((places, [len(ids)]))[ends]
         for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             yield np.append(ids[s:e], np.uint32(self.end))
 
 
-def slices(batch: pa.RecordBatch, column: int, most: int = 8 << 20):
-    """The batch in slices of about `most` bytes of text."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // most, prepend=0)).tolist()
-    for s, e in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
-        if e > s:
-            yield batch.slice(s, e - s)
-
-
 def pieces(docs: DataFrame, path: str, size: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens of each piece."""
     df = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

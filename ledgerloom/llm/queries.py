@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality_rules, secret_scans, simhash
+from . import decontaminate, licences, packing, quality_rules, secret_scans, simhash, suffix_tree, toxicity
 from .common import table
 
 #: The tokenizer of the packing query; a path, or the name of a file of the public_tokenizers package.
@@ -25,6 +25,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_failed_lines", "lost_chars")
 
 
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "digest", "licence", F.array_join("notices", ",").alias("notices"))
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scans.scan(table(spark, sf_dir, "documents"))
     base = F.filter("found", lambda s: s["kind"] < len(secret_scans.BASE_RULES))
@@ -39,6 +44,10 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -55,13 +64,18 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("passages").cast("long").alias("n_passages"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op3_secret_scans, op6_decontamination, op7_packing, op8_simhash)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_licences, op3_secret_scans, op5_lm_scoring, op6_decontamination, op7_packing, op8_simhash, op9_toxicity)}
 
 
 def _op1_sql() -> str:
@@ -94,6 +108,24 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_w
   (NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * lost_chars <= 50 * total) AS kept, n_failed_lines, lost_chars FROM b"""
 
 
+def _op2_sql() -> str:
+    def form(t: str) -> str:
+        out = f"translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+        out = f"trim(regexp_replace(regexp_replace({out}, '{licences.COPYRIGHT_LINE}', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'))"
+        for a, b in licences.SPELLINGS:
+            out = f"replace({out}, '{a}', '{b}')"
+        return out
+
+    known = ", ".join(f"('{d}', '{n}')" for d, n in sorted(licences.known_digests().items()))
+    return f"""
+WITH k(digest, licence) AS (VALUES {known}),
+d AS (SELECT row_number() OVER () AS r, doc_id, text, {form("text")} AS f FROM documents),
+l AS (SELECT r, unnest(string_split(text, chr(10))) AS l FROM d),
+n AS (SELECT r, string_agg(DISTINCT licence, ',' ORDER BY licence) AS notices FROM (SELECT r, sha256({form("l")}) AS digest FROM l WHERE regexp_matches(lower(l), '{licences.ABOUT}')) JOIN k USING (digest) GROUP BY r),
+w AS (SELECT r, doc_id, CASE WHEN f <> '' THEN sha256(f) END AS digest FROM d)
+SELECT doc_id, w.digest, licence, coalesce(notices, '') AS notices FROM w LEFT JOIN k ON w.digest = k.digest LEFT JOIN n ON w.r = n.r"""
+
+
 def _op3_sql() -> str:
     """Every rule run over every text, without the index."""
     ctes, parts = [], []
@@ -135,4 +167,4 @@ FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": _op1_sql(), "op3_secret_scans": _op3_sql(), "op6_decontamination": _op6_sql()}
+    return {"op1_quality_rules": _op1_sql(), "op2_licences": _op2_sql(), "op3_secret_scans": _op3_sql(), "op6_decontamination": _op6_sql()}
