@@ -61,7 +61,7 @@ def split_words(texts: pa.Array, lower: bool = True) -> tuple[pa.DictionaryArray
     end of a text leaves an empty word."""
     texts = pc.fill_null(texts, "")
     split = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
-    return split.flatten().dictionary_encode(), split.offsets.to_numpy() - split.offsets[0].as_py()
+    return split.flatten().dictionary_encode(), split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
 
 
 def text_bytes(df: DataFrame, text_col: str = "text") -> int:
