@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licences, packing, quality_rules, secret_scans, simhash, suffix_tree, toxicity
+from . import decontaminate, licences, packing, quality_rules, repeats, secret_scans, simhash, suffix_tree, toxicity
 from .common import table
 
 #: The tokenizer of the packing query; a path, or the name of a file of the public_tokenizers package.
@@ -44,6 +44,11 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_substring_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.deduplicated(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.score(table(spark, sf_dir, "documents"))
 
@@ -75,7 +80,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_licences, op3_secret_scans, op5_lm_scoring, op6_decontamination, op7_packing, op8_simhash, op9_toxicity)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_licences, op3_secret_scans, op4_substring_repeats, op5_lm_scoring, op6_decontamination, op7_packing, op8_simhash, op9_toxicity)}
 
 
 def _op1_sql() -> str:
