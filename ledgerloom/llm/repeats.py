@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from .common import written
 
 GRAM = 32
-_SLICE = 4 << 20
+_SLICE = 1 << 20
 _LOW = np.uint64((1 << 24) - 1)
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
@@ -217,7 +217,7 @@ def _of(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(keys), "k", "left_semi") if _small(keys) else docs
 
 
-def covered(docs: DataFrame, width: int = 200, crowd: int = 1000) -> DataFrame:
+def covered(docs: DataFrame, width: int = 200, crowd: int = 64) -> DataFrame:
     """k and spans (start, end; bytes, maybe overlapping) of the texts of (k, text) that have repeated bytes."""
     found = written(stretches(docs, width), "stretches")
     again = written(found.groupBy("m").count().where("count > 1").select("m"), "stretch-grams")
