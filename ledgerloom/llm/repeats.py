@@ -6,8 +6,8 @@ are repeats as a whole and are counted, not compared. The distinct stretches of
 merged: all windows of a gram at one distance from it start as one interval, and each step refines the intervals by the
 next eight bytes, last bytes first, as an interleave of shards is refined by the symbol before; suffixes are never sorted
 anew, intervals of one are left at once, and what is left after `width` bytes are the repeated intervals (common prefixes
-of at least `width`). Grams with more than `crowd` distinct stretches, which no task should hold, have their windows'
-digests counted by shuffle in place of that.
+of at least `width`). Grams with more than `crowd` distinct stretches, which no task should hold, have the digests of
+runs of windows, then of windows, counted by shuffle in place of that.
 
 Only offsets and digests travel but for stretches that must be compared. Defined cases: a null text is empty; texts
 shorter than `width` keep all; equal rows are each other's repeats; null ids pass through; other columns are ignored.
@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 from .common import written
 
 GRAM = 32
+UNIT = 8
 _SLICE = 1 << 20
 _LOW = np.uint64((1 << 24) - 1)
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
@@ -198,14 +199,48 @@ def _merged(batches, width: int):
         yield from solve(pa.Table.from_batches(held))
 
 
-def _digests(batches, width: int):
-    """Two digests of every window of each stretch, and its place."""
+def _units(batches, width: int):
+    """Each stretch cut into units of up to UNIT windows by their distance from the gram: two digests, place, bytes."""
     for b in batches:
-        for data, c, k, start in zip(*(b.column(x).to_pylist() for x in ("data", "c", "k", "start")), strict=True):
+        out: list[tuple] = []
+        for m, data, c, k, start in zip(*(b.column(x).to_pylist() for x in ("m", "data", "c", "k", "start")), strict=True):
+            gram = int(np.flatnonzero(_gram_hashes(data).view(np.int64) == m)[0])
+            n = len(data) - width + 1
+            i = 0
+            while i < n:
+                j = min(n, i + (gram - i) % UNIT + 1)
+                part = data[i : j + width - 1]
+                h = xxhash.xxh3_128_intdigest(part)
+                out.append((h >> 64, h & (2**64 - 1), k, start + i, c, part))
+                i = j
+        if out:
+            h = np.array([x[:2] for x in out], np.uint64).view(np.int64)
+            rest = [pa.array([x[i] for x in out], t) for i, t in ((2, pa.int64()), (3, pa.int64()), (4, pa.int64()), (5, pa.binary()))]
+            yield pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), *rest], ["h1", "h2", "k", "start", "c", "data"])
+
+
+def _windows(batches, width: int):
+    """Two digests of every window of each unit, its place, and whether the unit is met once."""
+    for b in batches:
+        for data, once, k, start in zip(*(b.column(x).to_pylist() for x in ("data", "once", "k", "start")), strict=True):
             n = len(data) - width + 1
             h = [xxhash.xxh3_128_intdigest(data[i : i + width]) for i in range(n)]
             halves = np.array([(x >> 64, x & (2**64 - 1)) for x in h], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array([k] * n, pa.int64()), pa.array(np.arange(start, start + n)), pa.array([c] * n, pa.int64())], ["h1", "h2", "k", "start", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array([k] * n, pa.int64()), pa.array(np.arange(start, start + n)), pa.array([once] * n)], ["h1", "h2", "k", "start", "once"])
+
+
+def _crowded(contents: DataFrame, width: int) -> DataFrame:
+    """(k, start, end) covered by repeated windows of stretches whose gram has too many for a task. Units met again are
+    repeats as a whole; the windows of the distinct units are counted for the others."""
+    units = written(contents.mapInArrow(lambda batches: _units(batches, width), "h1 long, h2 long, k long, start long, c long, data binary"), "stretch-units")
+    kinds = units.groupBy("h1", "h2").agg(F.sum("c").alias("times"), F.min(F.struct("k", "start", "data")).alias("one"))
+    kinds = written(kinds.select("h1", "h2", "times", "one.*"), "unit-kinds")
+    whole = units.where("c = 1").join(kinds.where("times > 1").select("h1", "h2"), ["h1", "h2"])
+    whole = whole.select("k", "start", (F.col("start") + F.octet_length("data")).cast("long").alias("end"))
+    windows = kinds.withColumn("once", F.col("times") == 1).mapInArrow(lambda batches: _windows(batches, width), "h1 long, h2 long, k long, start long, once boolean")
+    windows = written(windows, "unit-windows")
+    twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
+    return whole.union(windows.where("once").join(twice, ["h1", "h2"]).select("k", "start", (F.col("start") + width).alias("end")))
 
 
 def _small(df: DataFrame, most: int = 2_000_000) -> bool:
@@ -231,9 +266,7 @@ def covered(docs: DataFrame, width: int = 200, crowd: int = 64) -> DataFrame:
     contents = written(_contents(docs, wanted, width), "stretch-contents")
     apart = contents.where(F.col("d") <= crowd).repartition("m").sortWithinPartitions("m")
     merged = apart.mapInArrow(lambda batches: _merged(batches, width), "k long, start long, end long")
-    digests = written(contents.where(F.col("d") > crowd).mapInArrow(lambda batches: _digests(batches, width), "h1 long, h2 long, k long, start long, c long"), "window-digests")
-    twice = digests.groupBy("h1", "h2").agg(F.count("*").alias("times")).where("times > 1").select("h1", "h2")
-    crowded = digests.where("c = 1").join(twice, ["h1", "h2"]).select("k", "start", (F.col("start") + width).alias("end"))
+    crowded = _crowded(contents.where(F.col("d") > crowd), width)
     spans = whole.union(merged).union(crowded)
     return spans.groupBy("k").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
