@@ -82,15 +82,17 @@ def repeated_words(words: Column, width: int = 3) -> tuple[Column, ...]:
 
 
 def assess(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, max_repeat: int = 50, max_lost: int = 50
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, max_repeat: int = 50, max_lost: int = 50, carry: bool = False
 ) -> DataFrame:
     """One row per document: counts, base verdict, share of text lost to the line rules, cleaned text, verdict.
 
     A document is kept if it passes the base rule (min_words words, at most max_repeat percent of them in repeated
-    three-word windows) and its failing lines hold at most max_lost percent of its characters.
+    three-word windows) and its failing lines hold at most max_lost percent of its characters. With carry, the whole input
+    row comes along as the struct `row`.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    df = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_raw"), text.alias("_t"))
+    row = [F.struct(*docs.columns).alias("row")] if carry else []
+    df = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_raw"), text.alias("_t"), *row)
     df = df.withColumns({"_w": F.regexp_extract_all("_t", F.lit(WORD), F.lit(0)), "_l": F.split("_t", "\n", -1)})
     windows, places, covered = repeated_words(F.col("_w"))
     df = df.withColumns(
@@ -113,6 +115,15 @@ def assess(
         (total("_l") - total("_keep")).alias("lost_chars"),
         total("_l").alias("line_chars"),
         F.when(F.col("_raw").isNotNull(), F.array_join("_keep", "\n")).alias("cleaned"),
+        *["row" for _ in row],
     )
     df = df.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words")))
     return df.withColumn("kept", ~F.col("base_failed") & (100 * F.col("lost_chars") <= max_lost * F.col("line_chars")))
+
+
+def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
+    """The kept rows of docs, without the failing lines of their texts."""
+    found = assess(docs, id_col, text_col, carry=True, **limits)
+    # An explode, as a filter would be pushed below the steps of the assessment and repeat them for each use.
+    found = found.select(F.explode(F.when(F.col("kept"), F.array(F.struct("cleaned", "row")))).alias("r"))
+    return found.select(*[F.col("r.cleaned").alias(c) if c == text_col else F.col("r.row").getField(c).alias(c) for c in docs.columns])

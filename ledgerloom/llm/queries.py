@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licences, packing, quality_rules, repeats, secret_scans, simhash, suffix_tree, toxicity
+from . import chaining, decontaminate, licences, packing, quality_rules, repeats, secret_scans, simhash, suffix_tree, toxicity
 from .common import table
 
 #: The tokenizer of the packing query; a path, or the name of a file of the public_tokenizers package.
@@ -79,8 +79,14 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_fuzzy_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chaining.shared_passages(table(spark, sf_dir, "documents"))
+    spans = F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
+    return found.select("doc_id", "class_id", "n_links", "n_shared", F.size("spans").cast("long").alias("n_spans"), F.array_join(spans, ",").alias("spans"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_licences, op3_secret_scans, op4_substring_repeats, op5_lm_scoring, op6_decontamination, op7_packing, op8_simhash, op9_toxicity)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_licences, op3_secret_scans, op4_substring_repeats, op5_lm_scoring, op6_decontamination, op7_packing, op8_simhash, op9_toxicity, op10_fuzzy_passages)}
 
 
 def _op1_sql() -> str:

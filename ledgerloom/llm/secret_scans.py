@@ -204,3 +204,11 @@ def redacted(text: Column, found: Column, mask: str = "[SECRET]") -> Column:
 
     end = F.aggregate(found, state, step)
     return F.when(F.size(found) == 0, text).otherwise(F.concat(end["out"], F.substring(text, end["at"] + 1, F.char_length(text))))
+
+
+def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
+    """docs with the secrets in their texts masked; a null text stays null."""
+    packed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.struct(*docs.columns).alias("row"))
+    found = scan(packed, keep=("row",))
+    text = F.when(F.col("row").getField(text_col).isNotNull(), redacted(F.col("text"), F.col("found"), mask))
+    return found.select(*[text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
