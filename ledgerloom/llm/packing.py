@@ -27,7 +27,7 @@ class Encoder:
     """Token ids of texts. Texts are cut at white space, which no token of this kind of tokenizer spans, and equal words of
     a batch are tokenized once."""
 
-    def __init__(self, path: str, end_id: int, held: int = 400_000) -> None:
+    def __init__(self, path: str, end_id: int, held: int = 200_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end, self.held, self.known = Tokenizer.from_file(path), end_id, held, {}
@@ -39,8 +39,10 @@ class Encoder:
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > self.held:
             self.known, new = {}, words
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, np.uint32).tobytes()
+        for i in range(0, len(new), 2000):  # the tokenizer's own results are large
+            part = new[i : i + 2000]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.known[w] = np.array(e.ids, np.uint32).tobytes()
         parts = [self.known[w] for w in words]
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         flat = np.frombuffer(b"".join(parts), np.uint32)
@@ -62,7 +64,7 @@ def pieces(docs: DataFrame, path: str, size: int = 4096, end_id: int = 2, id_col
     def run(batches):
         encoder = Encoder(path, end_id)
         for whole in batches:
-            for b in slices(whole, 1):
+            for b in slices(whole, 1, 4 << 20):
                 rows = []
                 for i, ids in enumerate(encoder.ids(b.column(1))):
                     for s in range(0, len(ids), size):
