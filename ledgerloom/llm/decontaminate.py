@@ -211,7 +211,7 @@ def cut(text: str | None, spans: list[Span]) -> str | None:
     if not spans:
         return text
     raw = text.encode()
-    at = [m.span() for m in _WORD.finditer(raw)]
+    at = [m.span() for m in _WORD.finditer(raw.lower())]
     out, done = [], 0
     for s, e in spans:
         out.append(raw[done : at[s][0]])

@@ -76,6 +76,11 @@ def test_automaton_finds_every_window():
         assert got == named
 
 
+def test_cut_leaves_other_words():
+    assert decontaminate.cut("One TWO three, Four", [(1, 3)]) == "One , Four"
+    assert decontaminate.cut("Ünder A b", [(0, 1), (2, 3)]) == " A "
+
+
 def test_packing_is_gapless(docs):
     found = packing.pack(docs, tokenizer_path(), size=256).collect()
     by = collections.defaultdict(list)
