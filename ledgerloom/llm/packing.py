@@ -72,6 +72,7 @@ def pieces(docs: DataFrame, path: str, size: int = 4096, end_id: int = 2, id_col
                         rows.append((i, s, len(part), zlib.crc32(part.astype("<u4").tobytes()), len(ids)))
                 table = np.array(rows, np.int64).reshape(-1, 5)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(table[:, 0])), *(pa.array(table[:, k + 1]) for k in range(4))], ["doc_id", *names])
+        pa.default_memory_pool().release_unused()  # the worker may outlive the task
 
     return df.mapInArrow(run, T.StructType([df.schema["doc_id"], *(T.StructField(n, T.LongType()) for n in names)]))
 
