@@ -25,25 +25,61 @@ from .common import slices, split_words, written
 
 class Encoder:
     """Token ids of texts. Texts are cut at white space, which no token of this kind of tokenizer spans, and equal words of
-    a batch are tokenized once."""
+    a batch are tokenized once: words of letters many at a time, as each ends in one token with an end mark, other words
+    one by one."""
 
-    def __init__(self, path: str, end_id: int, held: int = 200_000) -> None:
+    MARK, STOPS = "</w>", ".,;:!?"
+
+    def __init__(self, path: str, end_id: int, held: int = 300_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end, self.held, self.known = Tokenizer.from_file(path), end_id, held, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.last[[i for w, i in vocabulary.items() if w.endswith(self.MARK)]] = True
+        self.stops = dict(zip(self.STOPS, self.each(list(self.STOPS)), strict=True)) | {"": b""}
+
+    def each(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def joined(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, tokenized as one text."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(words):  # a letter that falls apart when lower-cased, or another kind of tokenizer
+            return self.each(words)
+        ends = (4 * ends).tolist()
+        raw = ids.tobytes()
+        return [raw[s:e] for s, e in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def tokens(self, words: list[str]) -> list[bytes]:
+        """The ids of each word. Only words without their full stop or comma are remembered."""
+        known, stops, marked = self.known, self.stops, bool(self.last.any())
+        if len(known) > self.held:
+            known.clear()
+        keys, tails, plain, others = [], [], set(), set()
+        for w in words:
+            stem, stop = (w[:-1], w[-1]) if w and marked and w[-1] in stops else (w, "")
+            if stem.isascii() and stem.isalpha():
+                stem = stem.lower()
+            elif not (stem.isalpha() and max(stem) < "\u0250"):
+                stem, stop = w, ""
+                if w not in known:
+                    others.add(w)
+            if stem not in known and stem not in others:
+                plain.add(stem)
+            keys.append(stem)
+            tails.append(stops[stop])
+        for todo, run in ((list(plain), self.joined), (list(others), self.each)):
+            for i in range(0, len(todo), 2000):  # the tokenizer's own results are large
+                part = todo[i : i + 2000]
+                known.update(zip(part, run(part), strict=True))
+        return [known[k] + t for k, t in zip(keys, tails, strict=True)]
 
     def ids(self, texts: pa.Array):
         """Yields the ids of each text, the end's included, as uint32."""
         coded, ends = split_words(texts, lower=False)
-        words = coded.dictionary.to_pylist()
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > self.held:
-            self.known, new = {}, words
-        for i in range(0, len(new), 2000):  # the tokenizer's own results are large
-            part = new[i : i + 2000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, np.uint32).tobytes()
-        parts = [self.known[w] for w in words]
+        parts = self.tokens(coded.dictionary.to_pylist())
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         flat = np.frombuffer(b"".join(parts), np.uint32)
         begins = np.cumsum(sizes) - sizes

@@ -5,6 +5,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerloom.llm import chaining, decontaminate, licences, packing, quality_rules, repeats, secret_scans, simhash, suffix_tree, toxicity
@@ -94,6 +95,36 @@ def test_packing_is_gapless(docs):
         assert sum(n for _, n, _ in mine) == mine[0][2]
 
 
+def test_encoder_equals_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    direct = Tokenizer.from_file(tokenizer_path())
+    r = random.Random(7)
+    odd = ["It's", "don't.", "a.b.", "x1.", "Émile,", "İx", "ﬁn", "naïve!", "...", "a<|endoftext|>b", "<|ENDOFTEXT|>.", "'s.", "9.", "é", "ǅ.", "Straße?", "e\u0301.", "日本,", "x).", "Ωm;"]
+    texts = [None, "", " ", *(" ".join(r.choices(words(50, i) + odd + ["The", "the", "End.", "end"], k=80)) for i in range(40))]
+    encoder = packing.Encoder(tokenizer_path(), 2, held=150)
+    for _ in range(2):
+        got = [x.tolist() for x in encoder.ids(pa.array(texts, pa.string()))]
+        assert got == [direct.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+
+
+def test_no_exact_run_is_left_without_a_link(spark):
+    r = random.Random(11)
+    phrases = [words(22, 100 + i) for i in range(12)]
+    runs = [words(51, 200 + i) for i in range(6)]
+    texts = []
+    for i in range(40):
+        parts = [r.choice(phrases) if r.random() < 0.6 else words(15, 1000 + 50 * i + j) for j in range(6)]
+        parts.insert(r.randrange(7), r.choice(phrases)[:20] + r.choice(runs) if r.random() < 0.6 else [])
+        texts.append([w for p in parts for w in p])
+    docs = spark.createDataFrame([(i, " ".join(t), "k", 1) for i, t in enumerate(texts)], SCHEMA)
+    found = {row["doc_id"]: row["class_id"] for row in chaining.shared_passages(docs).collect()}
+    first = {}
+    for i, t in enumerate(texts):
+        for j in range(len(t) - 50):
+            assert found[first.setdefault(tuple(t[j : j + 51]), i)] == found[i]
+
+
 def test_chains_and_passages(docs):
     assert chaining.chains(np.array([0, 5, 9]), np.array([3, 1, 8]))[0] in ([0, 2], [1, 2])
     found = {r["doc_id"]: r["class_id"] for r in chaining.shared_passages(docs).collect()}
