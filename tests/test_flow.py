@@ -1,27 +1,32 @@
 """Queries against their SQL at the smallest scale, and the cases that the tables don't hold."""
 
+import itertools
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import facts, order
-from ledgerloom.plans import catalogue
+from ledgerloom.operators import amounts, facts, order
+from ledgerloom.plans import catalogue, graph_catalogue
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("customer", "events", "lineitem", "orders")
+TABLES = ("customer", "events", "lineitem", "orders", "documents")
+QUERIES = catalogue.queries() | graph_catalogue.queries()
+SQL = catalogue.oracle_sql() | graph_catalogue.oracle_sql()
 
 
 def rows(records):
     return sorted(tuple(str(int(v)) if isinstance(v, bool) else str(v) for _, v in sorted(r.items())) for r in records)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.queries()))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
-    got = [r.asDict() for r in catalogue.queries()[name](spark, SF).collect()]
-    cur = con.execute(catalogue.oracle_sql()[name])
+    got = [r.asDict() for r in QUERIES[name](spark, SF).collect()]
+    cur = con.execute(SQL[name])
     names = [d[0] for d in cur.description]
     assert rows(got) == rows(dict(zip(names, r, strict=True)) for r in cur.fetchall())
 
@@ -39,3 +44,47 @@ def test_conflicts_elect_no_winner_in_any_order(spark):
         df = spark.createDataFrame(versions, "k int, f string, g string")
         got = {r["k"]: (r["status"], r["conflicts"], r["f"], r["g"]) for r in facts.reconcile(df, ["k"], ["f", "g"]).collect()}
         assert got == {1: ("MERGED", "", "a", "x"), 2: ("CONFLICT", "f", None, "x"), 3: ("SINGLE", "", "c", None)}
+
+
+def shares(seed, transfers, balances, target):
+    """Every amount of the seed that can enter the target, by trying all whole shares of all transfers."""
+    account, amount = seed
+    out = set()
+    for part in itertools.product(*[range(n + 1) for _, _, n in transfers]):
+        held, mine = dict(balances), {account: amount}
+        held[account] = held.get(account, 0) + amount
+        fits, got = True, 0
+        for (a, b, n), x in zip(transfers, part, strict=True):
+            held[a], mine[a] = held.get(a, 0) - n, mine.get(a, 0) - x
+            fits = fits and held[a] >= 0 <= mine[a] <= held[a]
+            if b == target:
+                got += x
+            else:
+                held[b], mine[b] = held.get(b, 0) + n, mine.get(b, 0) + x
+        if fits:
+            out.add(got)
+    return out
+
+
+def test_intervals_equal_enumeration():
+    r = random.Random(3)
+    solved = 0
+    for _ in range(300):
+        transfers = [(*r.sample("ABCT" if i else "ABC", 2), r.randrange(1, 4)) for i in range(5)]
+        transfers = [t for t in transfers if t[0] != "T"]
+        balances = {a: r.randrange(4) for a in "ABCT"}
+        found = amounts.interval(("A", 3), transfers, balances, "T")
+        tried = shares(("A", 3), transfers, balances, "T")
+        assert (found is None) == (not tried)
+        if tried:
+            solved += 1
+            assert found == (min(tried), max(tried))
+    assert solved > 50
+
+
+def test_interval_rows(spark):
+    big = str(10**40)
+    data = [("s", "seed", -1, "X", "A", big), ("s", "transfer", 0, "A", "T", big), ("s", "balance", 0, None, "A", "0"), ("s", "target", 0, None, "T", None), ("n", "target", 0, None, "T", None)]
+    found = {tuple(r) for r in amounts.intervals(spark.createDataFrame(data, "scenario string, part string, ord long, sender string, recipient string, amount string")).collect()}
+    assert found == {("s", "T", big, big, "OPTIMAL"), ("n", "T", None, None, "NO_SINGLE_SEED")}
+    assert {r["status"] for r in graph_catalogue.amount_intervals(spark, "/root/testdata/sf0.01").collect()} <= {"OPTIMAL"}
