@@ -132,6 +132,22 @@ def test_chains_and_passages(docs):
     assert found[6] == 6
 
 
+@pytest.mark.parametrize("gap", [9, 30])
+def test_every_passage_of_a_chain(spark, gap):
+    new = lambda name, n: [f"{name}{i}" for i in range(n)]
+    one, two = new("one", 60), new("two", 55)
+    texts = [[*new(f"a{d}", 20), *one, *new(f"b{d}", gap), *two, *new(f"c{d}", 20)] for d in range(2)]
+    texts += [[*new("d", 20), *two, *one, *new("e", 20)]]
+    docs = spark.createDataFrame([(i, " ".join(t), "k", 1) for i, t in enumerate(texts)], SCHEMA)
+    for row in chaining.shared_passages(docs).collect():
+        t = " ".join(texts[row["doc_id"]])
+        at = sorted((t.index(" ".join(p)), t.index(" ".join(p)) + len(" ".join(p))) for p in (one, two))
+        assert [tuple(s) for s in row["spans"]] == at
+        assert (row["n_links"], row["n_shared"]) == (2, sum(e - s for s, e in at))
+    left, right = (" ".join(t).encode() for t in texts[1:])
+    assert sorted(n for *_, n, _ in chaining.align(left, right, 50, 0.8)) == [55, 60]
+
+
 def test_rules_and_secrets(spark):
     text = "Read more\n" + " ".join(words(80, 4)) + ".\npassword = 'hunter2222'"
     docs = spark.createDataFrame([(1, text, "k", 1), (2, None, "k", 1), (3, "", "k", 1)], SCHEMA)
