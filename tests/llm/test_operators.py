@@ -144,6 +144,7 @@ def test_every_passage_of_a_chain(spark, gap):
         at = sorted((t.index(" ".join(p)), t.index(" ".join(p)) + len(" ".join(p))) for p in (one, two))
         assert [tuple(s) for s in row["spans"]] == at
         assert (row["n_links"], row["n_shared"]) == (2, sum(e - s for s, e in at))
+    assert len(chaining.align(" ".join(texts[0]).encode(), " ".join(texts[1]).encode(), 50, 0.8)) == 2
     left, right = (" ".join(t).encode() for t in texts[1:])
     assert sorted(n for *_, n, _ in chaining.align(left, right, 50, 0.8)) == [55, 60]
 
@@ -165,6 +166,55 @@ def test_licences(spark):
     assert found == {1: ("MIT", []), 2: (None, []), 3: (None, ["MIT"])}
 
 
+def symbols_of(text):
+    """(context, symbol) of every symbol of a text with how often it occurs, by the definition."""
+    all_words = [w.lower() for w in (text or "").encode().split()]
+    pairs = collections.Counter(zip([b"", *((b" " + w)[-3:] for w in all_words)], [*all_words, None]))
+    for (before, w), n in pairs.items():
+        if w is None:
+            yield before + b" ", 0x0A, n
+            continue
+        spelled = b" " + w + b" "
+        for j in range(1, len(spelled)):
+            yield (before if j < 3 else b"") + spelled[:j] if j < 3 else spelled[max(j - 6, 0) : j], spelled[j], n
+
+
+def test_scores_equal_a_tree_that_grows_with_the_corpus(spark):
+    # So many symbols that a share of 1e-6 of them is over the counts of the rare words' contexts.
+    r = random.Random(17)
+    rare = ["zyxwvutsr", "qqkkjjhh", "ünïcødé", "xx", "y"]
+    texts = ["common " * 900_000, *(" ".join(r.choices(rare + words(20, 18), k=12)) for _ in range(24)), None, ""]
+    docs = spark.createDataFrame([(i, t, "k", 1) for i, t in enumerate(texts)], SCHEMA)
+    found = {row["doc_id"]: row for row in suffix_tree.score(docs).collect()}
+    assert not found[0]["held_out"] and any(row["held_out"] for row in found.values())
+    counts = collections.defaultdict(collections.Counter)
+    for i, t in enumerate(texts):
+        for context, symbol, n in symbols_of(t) if not found[i]["held_out"] else ():
+            for d in range(len(context) + 1):
+                counts[context[len(context) - d :]][symbol] += n
+
+    def prob(context, symbol):
+        parent = prob(context[1:], symbol) if context else 1 / 256
+        return smoothed(context, symbol, parent) if retained(context) else parent
+
+    def smoothed(context, symbol, parent):
+        c = counts[context]
+        return (c[symbol] + len(c) * parent) / (c.total() + len(c))
+
+    kept = {b"": True}
+
+    def retained(context):
+        if context not in kept:
+            c = dict(counts[context]) if context in counts else {}
+            total = sum(c.values())
+            kept[context] = total >= 2 and sum(n * np.log(n / total / prob(context[1:], s)) for s, n in c.items()) >= 4.0
+            counts[context] = collections.Counter(c)
+        return kept[context]
+
+    for i, t in enumerate(texts):
+        assert found[i]["score"] == pytest.approx(sum(n * np.log10(prob(c, s)) for c, s, n in symbols_of(t)), rel=1e-9)
+
+
 def test_segments():
     m = toxicity.Model({}, 0.5, 1.0)
     assert m.segments([2, 3, 20], [2.0, 1.0, 4.0]) == [(3.0, 2, 3), (4.0, 20, 20)]
