@@ -51,15 +51,15 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long), a row for each row."""
-    df = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    """doc_id, fp (the fingerprint as a signed long) and h (hash of the text), a row for each row."""
+    df = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
 
     def run(batches):
         for b in batches:
             fp = np.array([fingerprint(t) for t in b.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), b.column(2)], ["doc_id", "fp", "h"])
 
-    return df.mapInArrow(run, T.StructType([df.schema["doc_id"], T.StructField("fp", T.LongType())]))
+    return df.mapInArrow(run, T.StructType([df.schema["doc_id"], T.StructField("fp", T.LongType()), T.StructField("h", T.LongType())]))
 
 
 def _variants(batches):
@@ -129,20 +129,29 @@ def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
     return dealt.mapInArrow(_collisions(radius), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
-    """doc_id, fp, component_id (the smallest doc_id that links reach, itself included)."""
+def _classes(docs: DataFrame, id_col: str, text_col: str, radius: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of docs, and fp, rep (its smallest doc_id), root (a fingerprint that names its component)."""
     fps = written(fingerprints(docs, id_col, text_col), "fingerprints")
     reps = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprint-classes")
     roots = components(links(reps, radius), "fingerprint-links")
-    classes = reps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    return fps, reps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
+    """doc_id, fp, component_id (the smallest doc_id that links reach, itself included)."""
+    fps, classes = _classes(docs, id_col, text_col, radius)
     least = classes.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = classes.join(least, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
-    """The rows of docs whose document is its component's smallest, one for each id, and those without an id."""
-    found = near_duplicates(docs, id_col, text_col, radius)
-    ids = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.join(ids, id_col, "left_semi").select(docs.columns).dropDuplicates([id_col])
-    return kept.union(docs.where(F.col(id_col).isNull()))
+    """A row of docs for each component: the smallest by id (null ids last), then by hash of its text."""
+    fps, classes = _classes(docs, id_col, text_col, radius)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    # The smallest of each fingerprint first, so that copies don't meet in one place.
+    least = fps.groupBy("fp").agg(F.min(place).alias("m")).join(classes, "fp").groupBy("root").agg(F.min("m").alias("m"))
+    chosen = least.select(F.col("m.doc_id").alias("_id"), F.col("m.h").alias("_h"))
+    rows = docs.withColumn("_text_hash", F.xxhash64(text_col))
+    kept = rows.join(chosen, rows[id_col].eqNullSafe(chosen["_id"]) & (rows["_text_hash"] == chosen["_h"]), "left_semi")
+    return kept.dropDuplicates([id_col, "_text_hash"]).select(docs.columns)

@@ -59,6 +59,16 @@ def test_simhash_components(docs):
         assert found[i]["component_id"] == min(reach)
 
 
+def test_deduplication_keeps_a_row_per_component(spark):
+    one, two, three, four = (" ".join(words(80, 300 + i)) for i in range(4))
+    rows = [(0, one), (1, one), (1, two), (1, two), (2, three), (2, four), (None, three), (None, "alone again"), (None, "alone again")]
+    for given in (rows, rows[::-1]):
+        docs = spark.createDataFrame([(i, t, "k", 1) for i, t in given], SCHEMA)
+        kept = simhash.deduplicated(docs)
+        assert kept.columns == docs.columns
+        assert collections.Counter((r["doc_id"], r["text"]) for r in kept.collect()) == collections.Counter([(0, one), (1, two), (2, three), (2, four), (None, "alone again")])
+
+
 def test_automaton_finds_every_window():
     r = random.Random(5)
     items = [(str(i), [b"abc"[c : c + 1] for c in r.choices(range(3), k=r.randrange(1, 9))]) for i in range(12)]
