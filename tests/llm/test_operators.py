@@ -136,27 +136,105 @@ def test_no_exact_run_is_left_without_a_link(spark):
 
 
 def test_chains_and_passages(docs):
-    assert chaining.chains(np.array([0, 5, 9]), np.array([3, 1, 8]))[0] in ([0, 2], [1, 2])
+    at = lambda *x: np.array(x)
+    assert chaining.chains(at(0, 5, 9), at(2, 7, 11), at(30, 1, 60), at(32, 3, 62), at(12, 12, 12))[0] in ([0, 2], [1, 2])
     found = {r["doc_id"]: r["class_id"] for r in chaining.shared_passages(docs).collect()}
     assert found[0] == found[1] == found[2] == found[8] == 0
     assert found[6] == 6
 
 
+def words_of(text):
+    return (text or "").encode().lower().split()
+
+
+def brute_passages(texts):
+    """Class and shared words of each text, by aligning every pair of whole texts and comparing all windows of 51 words."""
+    n = len(texts)
+    root, shared, links = list(range(n)), [set() for _ in texts], [set() for _ in texts]
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    windows = [{tuple(t[i : i + 51]): i for i in range(len(t) - 50)} for t in texts]
+    for i in range(n):
+        for j in range(i):
+            found = [(s, e, u, v) for s, e, u, v, _ in chaining.align(texts[i], texts[j], 50, 0.8)]
+            for w in windows[i].keys() & windows[j].keys():
+                found += [(s, s + 51, u, u + 51) for s in range(len(texts[i]) - 50) if tuple(texts[i][s : s + 51]) == w for u in range(len(texts[j]) - 50) if tuple(texts[j][u : u + 51]) == w]
+            for s, e, u, v in found:
+                shared[i].update(range(s, e))
+                shared[j].update(range(u, v))
+                links[i].add(j)
+                links[j].add(i)
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(n)], shared, links
+
+
+def compared(spark, texts):
+    docs = spark.createDataFrame([(i, " ".join(t), "k", 1) for i, t in enumerate(texts)], SCHEMA)
+    rows = sorted(chaining.shared_passages(docs).collect())
+    classes, shared, links = brute_passages([words_of(" ".join(t)) for t in texts])
+    got = [{w for s, e in row["spans"] for w in range(s, e)} for row in rows]
+    return rows, got, classes, shared, links
+
+
 @pytest.mark.parametrize("gap", [9, 30])
 def test_every_passage_of_a_chain(spark, gap):
     new = lambda name, n: [f"{name}{i}" for i in range(n)]
     one, two = new("one", 60), new("two", 55)
     texts = [[*new(f"a{d}", 20), *one, *new(f"b{d}", gap), *two, *new(f"c{d}", 20)] for d in range(2)]
     texts += [[*new("d", 20), *two, *one, *new("e", 20)]]
-    docs = spark.createDataFrame([(i, " ".join(t), "k", 1) for i, t in enumerate(texts)], SCHEMA)
-    for row in chaining.shared_passages(docs).collect():
-        t = " ".join(texts[row["doc_id"]])
-        at = sorted((t.index(" ".join(p)), t.index(" ".join(p)) + len(" ".join(p))) for p in (one, two))
-        assert [tuple(s) for s in row["spans"]] == at
-        assert (row["n_links"], row["n_shared"]) == (2, sum(e - s for s, e in at))
-    assert len(chaining.align(" ".join(texts[0]).encode(), " ".join(texts[1]).encode(), 50, 0.8)) == 2
-    left, right = (" ".join(t).encode() for t in texts[1:])
-    assert sorted(n for *_, n, _ in chaining.align(left, right, 50, 0.8)) == [55, 60]
+    rows, got, classes, shared, links = compared(spark, texts)
+    assert got == shared and [r["n_links"] for r in rows] == [2, 2, 2] and [r["class_id"] for r in rows] == classes
+    assert [r["n_shared"] for r in rows] == [115] * 3
+
+
+def test_passages_whose_parts_are_frequent(spark):
+    """Thirds of fuzzy and of exact passages also occur apart in 40 other texts, some of them of one class by another passage."""
+    thirds = [words(25, 500 + i) for i in range(6)]
+    common = words(60, 77)
+    texts = [words(40, 900 + i) + thirds[i % 6] + words(40, 1900 + i) + (common if i % 3 == 0 else []) for i in range(40)]
+    fuzzy = thirds[0] + thirds[1] + thirds[2]
+    exact = thirds[3] + thirds[4] + thirds[5]
+    changed = fuzzy[:37] + ["changed"] + fuzzy[38:]
+    texts += [words(30, 41) + fuzzy + words(30, 42), words(30, 43) + changed + words(30, 44)]
+    texts += [words(30, 45) + exact + words(30, 46) + common, common + words(30, 47) + exact + words(30, 48)]
+    rows, got, classes, shared, links = compared(spark, texts)
+    assert got == shared and [r["class_id"] for r in rows] == classes
+    assert rows[41]["class_id"] == 40 and rows[40]["n_links"] == rows[41]["n_links"] == 1
+    assert rows[42]["n_shared"] == rows[43]["n_shared"] == 135
+
+
+def test_links_equal_brute_force_on_edited_passages(spark):
+    """Recall over all pairs of texts with passages edited word by word: no class is missed, nor a link or a word of small groups."""
+    r = random.Random(5)
+    base = [words(90, 300 + i) for i in range(8)]
+    texts = []
+    for i in range(60):
+        parts = []
+        for _ in range(2):
+            p = list(r.choice(base))[r.randrange(20) :]
+            for _ in range(r.randrange(3)):
+                at = r.randrange(len(p))
+                p[at : at + r.randrange(2)] = [f"x{r.randrange(10**6)}"] * r.randrange(1, 3)
+            parts += words(20, 3000 + r.randrange(10**6)) + p
+        texts.append(parts)
+    rows, got, classes, shared, links = compared(spark, texts)
+    want, have = sum(map(len, shared)), sum(len(a & b) for a, b in zip(got, shared, strict=True))
+    assert [row["class_id"] for row in rows] == classes
+    assert have >= 0.95 * want and sum(map(len, got)) <= 1.02 * want
+
+
+def test_copies_and_odd_rows_of_passages(spark):
+    text = " ".join(words(60, 9))
+    rows = [(1, text, "k", 1), (2, text, "k", 1), (2, text, "k", 1), (None, text, "k", 1), (None, "", "k", 1), (5, None, "k", 1), (6, "a b", "k", 1), (7, text.upper() + " end", "k", 1)]
+    found = sorted(map(tuple, chaining.shared_passages(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
+    whole = [r for r in found if r[4]]
+    assert len(found) == 8 and all(r[1] == 1 for r in whole) and sorted(str(r[0]) for r in whole) == ["1", "2", "2", "7", "None"]
+    assert {r[2] for r in whole if r[0] != 7} == {2} and {r[3] for r in whole} == {1} and {r[4] for r in whole} == {60}
 
 
 def test_rules_and_secrets(spark):
