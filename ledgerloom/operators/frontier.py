@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.sources.shared import stored
+
+from .graph import stop_reason
 from .order import strictly_after
 
 
@@ -12,28 +15,64 @@ def _side(prefix: str):
     return lambda f: F.col(f"{prefix}_{f}")
 
 
-def successors(states: DataFrame, transfers: DataFrame, window: int) -> DataFrame:
-    """Admitted (arrival, event) pairs: an equi-join on account and asset, with the window and the order as residual."""
+def successors(states: DataFrame, transfers: DataFrame, window: int, scope_end: int | None = None) -> DataFrame:
+    """Admitted (arrival, event) pairs: an equi-join on account and asset, with the window, cut at the end of the scope, and the order
+    as residual."""
     a = states.select(*[F.col(c).alias(f"a_{c}") for c in states.columns])
     e = transfers.select(*[F.col(c).alias(f"e_{c}") for c in transfers.columns])
     here = (F.col("e_sender") == F.col("a_recipient")) & (F.col("e_asset") == F.col("a_asset"))
-    inside = F.col("e_tsec").between(F.col("a_tsec"), F.col("a_tsec") + window) & (F.col("e_block") >= F.col("a_block"))
+    end = F.col("a_tsec") + window
+    inside = F.col("e_tsec").between(F.col("a_tsec"), end if scope_end is None else F.least(end, F.lit(scope_end))) & (F.col("e_block") >= F.col("a_block"))
     real = F.col("e_success") & (F.col("e_amount_raw") > 0) & (F.col("e_recipient") != F.col("a_recipient"))
     return e.join(a, here & inside & real).where(strictly_after(_side("e"), _side("a")))
 
 
-def trace(transfers: DataFrame, seeds: DataFrame, depth: int, window: int, is_service, checkpoint=None) -> DataFrame:
-    """(level, the columns of transfers) for every level up to depth. Arrivals at a service stop; a state is an event at a
-    level. `checkpoint` cuts the lineage of a level; none is needed for few levels."""
-    level = seeds.select(F.lit(0).alias("level"), *transfers.columns)
-    levels = [level]
+def _levels(transfers: DataFrame, seeds: DataFrame, depth: int, window: int, follows, scope_end: int | None):
+    """For each level: its states, and the (arrival, event) pairs that led to them (none for the seeds). Each level is stored, so later
+    ones don't compute it anew; transfers are stored once, of real ones only what a join needs."""
+    columns = transfers.columns
+    transfers = stored(transfers, "transfers")
+    level = stored(seeds.select(F.lit(0).alias("level"), *columns), "level-0")
+    yield level, None
     for d in range(1, depth + 1):
-        going = level.where(~is_service(F.col("recipient"))).select(*transfers.columns)
-        found = successors(going, transfers, window)
-        level = found.select(F.lit(d).alias("level"), *[F.col(f"e_{c}").alias(c) for c in transfers.columns]).dropDuplicates(["event_id"])
-        level = checkpoint(level) if checkpoint else level
-        levels.append(level)
-    out = levels[0]
-    for x in levels[1:]:
-        out = out.unionByName(x)
+        going = follows(level).select(*columns)
+        pairs = stored(successors(going, transfers, window, scope_end), f"pairs-{d}")
+        level = pairs.select(F.lit(d).alias("level"), *[F.col(f"e_{c}").alias(c) for c in columns]).dropDuplicates(["event_id"])
+        yield level, pairs.select(F.lit(d).alias("level"), F.col("e_event_id").alias("event_id"), F.col("a_event_id").alias("arrival_id"))
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
     return out
+
+
+def trace(transfers: DataFrame, seeds: DataFrame, depth: int, window: int, is_service, scope_end: int | None = None) -> DataFrame:
+    """(level, the columns of transfers) for every level up to depth. Arrivals at a service stop; a state is an event at a
+    level."""
+    follows = lambda level: level.where(~is_service(F.col("recipient")))
+    return _union([level for level, _ in _levels(transfers, seeds, depth, window, follows, scope_end)])
+
+
+def collect(transfers: DataFrame, seeds: DataFrame, registry: DataFrame, depth: int, window: int, scope_end: int) -> tuple[DataFrame, DataFrame]:
+    """States (level, transfer, kind, stop) and membership edges (level, event_id, arrival_id) of a trace whose accounts are looked up in a
+    registry (account, kind): unknown accounts go on, services and boundaries stop."""
+
+    def known(level: DataFrame) -> DataFrame:
+        return level.join(registry.withColumnRenamed("account", "recipient"), "recipient", "left").withColumn("stop", stop_reason(F.col("kind_of"), F.col("level"), depth))
+
+    follows = lambda level: known(level).where("stop is null")
+    found = list(_levels(transfers, seeds, depth, window, follows, scope_end))
+    return known(_union([level for level, _ in found])), _union([edges for _, edges in found if edges is not None])
+
+
+def status(interrupted: Column, over_budget: Column, pending: Column, unresolved: Column) -> Column:
+    """The state of a collection, its first reason not to be complete first."""
+    return (
+        F.when(interrupted, "INTERRUPTED")
+        .when(over_budget, "BUDGET_LIMIT")
+        .when(pending, "PENDING_INTERVALS")
+        .when(unresolved, "COMPLETE_WITH_UNRESOLVED")
+        .otherwise("COMPLETE")
+    )

@@ -40,6 +40,25 @@ def unresolved(events: DataFrame) -> DataFrame:
     return pairs.where(~F.coalesce(strictly_after(field("b"), field("a")), F.lit(False)))
 
 
+def unresolved_counts(events: DataFrame) -> DataFrame:
+    """Per block, how many pairs `unresolved` has and the sum of the later events' ids, without listing pairs: counts within the block, its
+    transactions and their kinds tell. For events without an execution index."""
+    index = F.coalesce("tx_index", F.lit(-1))
+    top, token = F.col("kind") == "top", F.col("kind") == "erc20"
+    order = [F.when(top, 0).otherwise(1), F.coalesce("log_index", F.lit(0)), "event_id"]
+    df = events.withColumns({"_i": index, "_top": top, "_token": token & F.col("log_index").isNotNull()})
+    slot, tx = Window.partitionBy("block", "_i"), Window.partitionBy("block", "_i", "tx_hash")
+    # Earlier ones of other transactions at this place of the block, and all without a place.
+    others = F.row_number().over(slot.orderBy(*order)) - F.row_number().over(tx.orderBy(*order))
+    placeless = F.when(F.col("tx_index").isNotNull(), F.count_if(F.col("tx_index").isNull()).over(Window.partitionBy("block"))).otherwise(0)
+    # Of its own transaction's earlier ones, a top event is before all others, and token events are by their logs.
+    earlier = F.row_number().over(tx.orderBy(*order)) - 1
+    tops = F.when(top, 0).otherwise(F.count_if("_top").over(tx))
+    logs = F.when(F.col("_token"), F.rank().over(Window.partitionBy("block", "_i", "tx_hash", "_token").orderBy("log_index")) - 1).otherwise(0)
+    open_pairs = df.withColumn("n", others + placeless + earlier - tops - logs)
+    return open_pairs.groupBy("block").agg(F.sum("n").alias("pairs"), F.sum(F.col("n") * F.col("event_id")).alias("ids")).where("pairs > 0")
+
+
 def objective_groups(arrivals: DataFrame) -> DataFrame:
     """Targets with the events that reach them, as a list in order of event_id."""
     listed = F.array_join(F.transform(F.array_sort(F.collect_set("event_id")), lambda x: x.cast("string")), ",")

@@ -23,13 +23,13 @@ def endpoint_or_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ends.groupBy("account").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
-def _pairs(spark: SparkSession, sf_dir: str, last: int | None, span: int) -> DataFrame:
-    """Arrivals (a_) with the transfers (e_) of their recipient's account, in buckets of time."""
+def _pairs(spark: SparkSession, sf_dir: str, span: int, ends: tuple[str, ...]) -> DataFrame:
+    """Arrivals (a_) with the transfers (e_) within `span` seconds that their recipient is an endpoint of: joined on the account and a slot of
+    time, each transfer under its distinct endpoints, so that no pair comes twice."""
     t = transfers(spark, sf_dir)
-    a = t.where(F.col("event_id") < last) if last else t
-    a = a.select(*[F.col(c).alias(f"a_{c}") for c in t.columns], F.explode(F.sequence(F.floor(F.col("tsec") / span) - 1, F.floor(F.col("tsec") / span) + 1)).alias("slot"))
-    e = t.select(*[F.col(c).alias(f"e_{c}") for c in t.columns], F.floor(F.col("tsec") / span).alias("slot"))
-    return e.join(a, "slot").where(F.abs(F.col("e_tsec") - F.col("a_tsec")) <= span)
+    a = t.select(*[F.col(c).alias(f"a_{c}") for c in t.columns], F.col("recipient").alias("account"), F.explode(F.sequence(F.floor(F.col("tsec") / span) - 1, F.floor(F.col("tsec") / span) + 1)).alias("slot"))
+    e = t.select(*[F.col(c).alias(f"e_{c}") for c in t.columns], F.explode(F.array_distinct(F.array(*ends))).alias("account"), F.floor(F.col("tsec") / span).alias("slot"))
+    return e.join(a, ["account", "slot"]).where(F.abs(F.col("e_tsec") - F.col("a_tsec")) <= span)
 
 
 def _e(f):
@@ -41,13 +41,13 @@ def _a(f):
 
 
 def strict_order_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = _pairs(spark, sf_dir, None, 7200).where("e_sender = a_recipient")
+    pairs = _pairs(spark, sf_dir, 7200, ("sender",))
     verdict = F.coalesce(order.strictly_after(_e, _a).cast("string"), F.lit("unknown"))
     return pairs.groupBy(verdict.alias("after")).agg(F.count("*").alias("n"), F.sum("e_event_id").alias("ids"))
 
 
 def admission_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = _pairs(spark, sf_dir, 200, WINDOW).where("e_sender = a_recipient or e_recipient = a_recipient")
+    pairs = _pairs(spark, sf_dir, WINDOW, ("sender", "recipient"))
     reason = order.admission(_e, _a, F.col("a_tsec") + WINDOW, order.strictly_after(_e, _a))
     return pairs.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"), F.sum("e_event_id").alias("ids"))
 
@@ -177,7 +177,7 @@ def oracle_sql() -> dict[str, str]:
         "strict_order_pairs": f"{t} SELECT coalesce(CAST({_AFTER} AS VARCHAR), 'unknown') AS after, count(*) AS n, CAST(sum(e.event_id) AS BIGINT) AS ids FROM transfers e JOIN transfers a ON e.sender = a.recipient AND abs(e.tsec - a.tsec) <= 7200 GROUP BY 1",
         "admission_reasons": f"""{t} SELECT CASE WHEN NOT e.success THEN 'FAILED' WHEN e.amount_raw = 0 THEN 'ZERO' WHEN e.asset <> a.asset THEN 'OTHER_ASSET' WHEN e.sender <> a.recipient THEN 'INFLOW'
   WHEN e.recipient = a.recipient THEN 'SELF' WHEN e.tsec < a.tsec OR e.tsec > a.tsec + {WINDOW} THEN 'OUTSIDE' WHEN ({_AFTER}) IS NULL THEN 'ORDER_UNRESOLVED' WHEN NOT ({_AFTER}) THEN 'NOT_AFTER' ELSE 'CANDIDATE' END AS reason,
-  count(*) AS n, CAST(sum(e.event_id) AS BIGINT) AS ids FROM transfers e JOIN transfers a ON (e.sender = a.recipient OR e.recipient = a.recipient) AND a.event_id < 200 AND abs(e.tsec - a.tsec) <= {WINDOW} GROUP BY 1""",
+  count(*) AS n, CAST(sum(e.event_id) AS BIGINT) AS ids FROM transfers e JOIN transfers a ON (e.sender = a.recipient OR e.recipient = a.recipient) AND abs(e.tsec - a.tsec) <= {WINDOW} GROUP BY 1""",
         "amount_status_hist": """WITH v AS (SELECT CASE event_id % 5 WHEN 0 THEN CAST(CAST(trunc(value) AS BIGINT) AS VARCHAR) WHEN 1 THEN '-' || event_id WHEN 2 THEN '000' WHEN 3 THEN event_id || 'x' END AS v FROM events)
 SELECT CASE WHEN v IS NULL OR trim(v) = '' THEN 'MISSING' WHEN NOT regexp_full_match(trim(v), '[+-]?[0-9]+') THEN 'INVALID' WHEN NOT regexp_matches(v, '[1-9]') THEN 'ZERO' WHEN trim(v) LIKE '-%' THEN 'NEGATIVE' ELSE 'POSITIVE' END AS status, count(*) AS n FROM v GROUP BY 1""",
         "trace_frontier": f"""WITH RECURSIVE {TRANSFERS_SQL}, s AS (SELECT * FROM transfers WHERE success AND sender <> recipient AND amount_raw > 0 ORDER BY event_id LIMIT {SEEDS}),

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import amounts, frontier, graph, order
+from ledgerloom.operators import amounts, frontier, graph, order, prefix
 from ledgerloom.plans import catalogue
 from ledgerloom.plans.catalogue import DEPTH, SEEDS, WINDOW
 from ledgerloom.sources.derived import TRANSFERS_SQL, read, transfers
@@ -63,15 +63,13 @@ def ambiguous_tx(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unresolved_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = graph.unresolved(graph.ordinals(transfers(spark, sf_dir), ["block"]))
-    return pairs.groupBy(F.col("a_block").alias("block")).agg(F.count("*").alias("pairs"), F.sum("b_event_id").alias("ids"))
+    return graph.unresolved_counts(transfers(spark, sf_dir))
 
 
 def status_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, a = (lambda p: lambda f: F.col(f"{p}_{f}"))("e"), (lambda p: lambda f: F.col(f"{p}_{f}"))("a")
-    pairs = catalogue._pairs(spark, sf_dir, 200, WINDOW).where("e_sender = a_recipient or e_recipient = a_recipient")
     reason = order.admission(e, a, F.col("a_tsec") + WINDOW, order.strictly_after(e, a))
-    found = pairs.groupBy(F.col("a_event_id").alias("event_id")).agg(F.count_if(reason == "ORDER_UNRESOLVED").alias("u"), F.count_if(reason == "CANDIDATE").alias("c"))
+    found = catalogue._pairs(spark, sf_dir, WINDOW, ("sender", "recipient")).groupBy(F.col("a_event_id").alias("event_id")).agg(F.count_if(reason == "ORDER_UNRESOLVED").alias("u"), F.count_if(reason == "CANDIDATE").alias("c"))
     status = F.when(F.col("u") > 0, "ORDER_GAPS").when(F.col("c") > 0, "COMPLETE").otherwise("COMPLETE_EMPTY")
     return found.select("event_id", status.alias("status"), F.col("c").alias("candidates"))
 
@@ -82,11 +80,11 @@ def witness_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ledger_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reservations of each unit in order of arrival; the first one over the cap halts the unit."""
+    """Reservations of each unit in order of arrival; the first one over the cap halts the unit. A unit may be any share of all rows."""
     cents = F.round(F.col("o_totalprice") * 100).cast("long")
-    jobs = read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("unit"), F.floor(F.col("o_custkey") / 100).alias("account"), "o_orderkey", cents.alias("cents"))
-    before = F.sum("cents").over(Window.partitionBy("unit", "account").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, 0))
-    return jobs.select("unit", "account", "o_orderkey", F.when(before <= CAP, "RESERVED").otherwise("HALTED").alias("outcome"))
+    jobs = read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("unit"), "o_orderkey", cents.alias("cents"))
+    sums = prefix.running(jobs, ["unit"], ["o_orderkey"], "cents", "total")
+    return sums.select("unit", "o_orderkey", "total", F.when(F.col("total") <= CAP, "RESERVED").otherwise("HALTED").alias("outcome"))
 
 
 def receipt_multiplicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,12 +178,12 @@ HAVING count(*) > 1 AND count(*) FILTER (WHERE kind <> 'erc20') > 0 AND NOT (cou
         "unresolved_pairs": f"""WITH {TRANSFERS_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY block {place}) AS ord FROM transfers)
 SELECT a.block, count(*) AS pairs, CAST(sum(e.event_id) AS BIGINT) AS ids FROM o a JOIN o e ON a.block = e.block AND a.ord < e.ord WHERE ({after}) IS NOT TRUE GROUP BY a.block""",
         "status_ladder": f"""WITH {TRANSFERS_SQL}, p AS (SELECT a.event_id, e.success AND e.amount_raw > 0 AND e.asset = a.asset AND e.sender = a.recipient AND e.recipient <> a.recipient AND e.tsec BETWEEN a.tsec AND a.tsec + {WINDOW} AS fits, ({after}) AS after
-  FROM transfers e JOIN transfers a ON (e.sender = a.recipient OR e.recipient = a.recipient) AND a.event_id < 200 AND abs(e.tsec - a.tsec) <= {WINDOW}),
+  FROM transfers e JOIN transfers a ON (e.sender = a.recipient OR e.recipient = a.recipient) AND abs(e.tsec - a.tsec) <= {WINDOW}),
 q AS (SELECT event_id, count(*) FILTER (WHERE fits AND after IS NULL) AS u, count(*) FILTER (WHERE fits AND after) AS c FROM p GROUP BY event_id)
 SELECT event_id, CASE WHEN u > 0 THEN 'ORDER_GAPS' WHEN c > 0 THEN 'COMPLETE' ELSE 'COMPLETE_EMPTY' END AS status, c AS candidates FROM q""",
         "witness_replay": f"WITH b AS ({known['ledger_running_balance']}) SELECT account, asset, min(balance) AS least, count(*) AS moves, CASE WHEN min(balance) < 0 THEN 'NEGATIVE' ELSE 'FEASIBLE' END AS status FROM b GROUP BY account, asset",
-        "ledger_admission": f"""WITH j AS (SELECT o_orderpriority AS unit, o_custkey // 100 AS account, o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders)
-SELECT unit, account, o_orderkey, CASE WHEN sum(cents) OVER (PARTITION BY unit, account ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) <= {CAP} THEN 'RESERVED' ELSE 'HALTED' END AS outcome FROM j""",
+        "ledger_admission": f"""WITH j AS (SELECT o_orderpriority AS unit, o_orderkey, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM orders)
+SELECT *, CASE WHEN total <= {CAP} THEN 'RESERVED' ELSE 'HALTED' END AS outcome FROM j""",
         "receipt_multiplicity": """WITH a AS (SELECT l_orderkey, l_partkey, count(*) AS n FROM lineitem WHERE l_linenumber <> 3 GROUP BY ALL), b AS (SELECT l_orderkey, l_partkey, count(*) AS m FROM lineitem WHERE l_linenumber <> 5 GROUP BY ALL)
 SELECT CASE WHEN n = m THEN 'EQUAL' WHEN n IS NULL THEN 'ONLY_LOGS' WHEN m IS NULL THEN 'ONLY_ROWS' ELSE 'DIFFERENT' END AS verdict, count(*) AS n, CAST(sum(l_partkey) AS BIGINT) AS parts FROM a FULL JOIN b USING (l_orderkey, l_partkey) GROUP BY 1""",
         "relation_delta": """WITH b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS s, o_orderpriority AS p, CASE WHEN o_orderkey % 13 <> 0 THEN o_custkey END AS c FROM orders WHERE o_orderkey % 101 <> 0),
