@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .closure import components
+
 
 def reconcile(versions: DataFrame, key: list[str], fields: list[str]) -> DataFrame:
     """A row per key: versions, status (SINGLE, MERGED, CONFLICT), conflicts (field names), and each field's value where all
@@ -28,3 +30,43 @@ def quarantined(versions: DataFrame, key: list[str], fields: list[str]) -> DataF
 def contradictions(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """Keys whose rows differ in some field, with the number of different rows."""
     return rows.groupBy(key).agg(F.count_distinct(F.struct(*fields)).alias("kinds")).where("kinds > 1")
+
+
+def alias_groups(versions: DataFrame, event_id: str, physical: str) -> DataFrame:
+    """versions with group: versions that share an id or a physical key, directly or by others, are of one fact."""
+    ids, places = F.concat(F.lit("id:"), F.col(event_id).cast("string")), F.concat(F.lit("physical:"), F.col(physical).cast("string"))
+    found = components(versions.select(ids.alias("a"), places.alias("b")), "aliases").withColumnRenamed("root", "group")
+    return versions.withColumn("node", ids).join(found, "node").drop("node")
+
+
+#: Ids that say where their fact is: chain, transaction, position.
+BOUND_ID = "^(eip155:[0-9]+):tx:(0x[0-9a-f]{64}):(top|log:[0-9]+|trace:[0-9_]+)$"
+
+
+def binding_conflict(event_id, chain, tx, position, asset) -> Column:
+    """Does the id name another chain, transaction or position than its fact has, or the asset another chain?"""
+    part = lambda i: F.regexp_extract(event_id, BOUND_ID, i)
+    named = event_id.rlike(BOUND_ID) & ((part(1) != chain) | (part(2) != tx) | (part(3) != position))
+    asset_chain = F.regexp_extract(asset, "^(?:native|erc20):(eip155:[0-9]+)", 1)
+    return F.coalesce(named, F.lit(False)) | ((asset_chain != "") & (asset_chain != chain))
+
+
+def manifest_faults(graph: DataFrame, manifest: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """key and fault of every graph event that isn't as its manifest says: UNKNOWN_FACT, CONFLICTED_FACT, or the field that differs."""
+    known = manifest.select(key, "conflicted", *[F.col(f).alias(f"m_{f}") for f in fields])
+    df = graph.join(known, key, "left")
+    fault = F.when(F.col("conflicted").isNull(), "UNKNOWN_FACT").when(F.col("conflicted"), "CONFLICTED_FACT")
+    for f in fields:
+        fault = fault.when(~F.col(f).eqNullSafe(F.col(f"m_{f}")), f)
+    return df.withColumn("fault", fault).where("fault is not null").select(key, "fault")
+
+
+def enrichment(old: DataFrame, new: DataFrame, key: str, fields: list[str], provenance: tuple[str, ...] = ()) -> DataFrame:
+    """key, field, change between two versions of facts: PROVENANCE_CHANGE, COMPATIBLE_FILL (unknown before) or EXPLICIT_CHANGE, and ADDED or
+    REMOVED facts."""
+    a, b = (df.select(key, F.lit(True).alias(f"{p}_here"), *[F.col(f).alias(f"{p}_{f}") for f in fields]) for p, df in (("a", old), ("b", new)))
+    change = lambda f: F.when(F.lit(f in provenance), "PROVENANCE_CHANGE").when(F.col(f"a_{f}").isNull(), "COMPATIBLE_FILL").otherwise("EXPLICIT_CHANGE")
+    row = lambda f, c: F.struct(F.lit(f).alias("field"), c.alias("change"))
+    both = [F.when(F.col("a_here") & F.col("b_here") & ~F.col(f"a_{f}").eqNullSafe(F.col(f"b_{f}")), row(f, change(f))) for f in fields]
+    ends = [F.when(F.col("b_here").isNull(), row("*", F.lit("REMOVED"))), F.when(F.col("a_here").isNull(), row("*", F.lit("ADDED")))]
+    return a.join(b, key, "full").select(key, F.explode(F.array_compact(F.array(*ends, *both))).alias("x")).select(key, "x.*")

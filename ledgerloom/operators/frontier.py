@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.sources.shared import stored
 
 from .graph import stop_reason
+from .identity import identity_kind, lookup_state
 from .order import strictly_after
 
 
@@ -27,18 +28,19 @@ def successors(states: DataFrame, transfers: DataFrame, window: int, scope_end:
     return e.join(a, here & inside & real).where(strictly_after(_side("e"), _side("a")))
 
 
-def _levels(transfers: DataFrame, seeds: DataFrame, depth: int, window: int, follows, scope_end: int | None):
-    """For each level: its states, and the (arrival, event) pairs that led to them (none for the seeds). Each level is stored, so later
-    ones don't compute it anew; transfers are stored once, of real ones only what a join needs."""
+def _levels(transfers: DataFrame, seeds: DataFrame, depth: int, window: int, follows, scope_end: int | None, by: list[str]):
+    """For each level: its states, and the (arrival, event) pairs that led to them (none for the seeds). Transfers and each level are stored,
+    so nothing is computed anew for a later one. `by`: what a seed carries on to all that follows, such as its query."""
     columns = transfers.columns
     transfers = stored(transfers, "transfers")
-    level = stored(seeds.select(F.lit(0).alias("level"), *columns), "level-0")
+    level = stored(seeds.select(F.lit(0).alias("level"), *by, *columns), "level-0")
     yield level, None
     for d in range(1, depth + 1):
-        going = follows(level).select(*columns)
+        going = follows(level).select(*by, *columns)
         pairs = stored(successors(going, transfers, window, scope_end), f"pairs-{d}")
-        level = pairs.select(F.lit(d).alias("level"), *[F.col(f"e_{c}").alias(c) for c in columns]).dropDuplicates(["event_id"])
-        yield level, pairs.select(F.lit(d).alias("level"), F.col("e_event_id").alias("event_id"), F.col("a_event_id").alias("arrival_id"))
+        carried, at = [F.col(f"a_{c}").alias(c) for c in by], F.lit(d).alias("level")
+        level = pairs.select(at, *carried, *[F.col(f"e_{c}").alias(c) for c in columns]).dropDuplicates([*by, "event_id"])
+        yield level, pairs.select(at, *carried, F.col("e_event_id").alias("event_id"), F.col("a_event_id").alias("arrival_id"))
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -52,19 +54,34 @@ def trace(transfers: DataFrame, seeds: DataFrame, depth: int, window: int, is_se
     """(level, the columns of transfers) for every level up to depth. Arrivals at a service stop; a state is an event at a
     level."""
     follows = lambda level: level.where(~is_service(F.col("recipient")))
-    return _union([level for level, _ in _levels(transfers, seeds, depth, window, follows, scope_end)])
+    return _union([level for level, _ in _levels(transfers, seeds, depth, window, follows, scope_end, [])])
 
 
 def collect(transfers: DataFrame, seeds: DataFrame, registry: DataFrame, depth: int, window: int, scope_end: int) -> tuple[DataFrame, DataFrame]:
-    """States (level, transfer, kind, stop) and membership edges (level, event_id, arrival_id) of a trace whose accounts are looked up in a
-    registry (account, kind): unknown accounts go on, services and boundaries stop."""
+    """States (query_id, level, transfer, its account's identity, stop) and membership edges (query_id, level, event_id, arrival_id) of the
+    traces of seeds, each with its query_id. Accounts are looked up in a registry (account, identity_class, lookup_status): unknown ones
+    go on, services and boundaries stop."""
 
     def known(level: DataFrame) -> DataFrame:
-        return level.join(registry.withColumnRenamed("account", "recipient"), "recipient", "left").withColumn("stop", stop_reason(F.col("kind_of"), F.col("level"), depth))
+        found = level.join(registry.withColumnRenamed("account", "recipient"), "recipient", "left")
+        found = found.withColumns({"identity": identity_kind(F.col("identity_class")), "lookup": lookup_state(F.col("identity_class"), F.col("lookup_status"))})
+        return found.withColumn("stop", stop_reason(F.col("identity"), F.col("level"), depth))
 
     follows = lambda level: known(level).where("stop is null")
-    found = list(_levels(transfers, seeds, depth, window, follows, scope_end))
-    return known(_union([level for level, _ in found])), _union([edges for _, edges in found if edges is not None])
+    found = list(_levels(transfers, seeds, depth, window, follows, scope_end, ["query_id"]))
+    states = _union([level for level, _ in found])
+    return stored(known(states), "states"), _union([edges for _, edges in found if edges is not None])
+
+
+def limited(states: DataFrame, most_events: int, most_accounts: int) -> DataFrame:
+    """states with cut: whether a query's limit of events or expanded accounts was reached before this state came up. States come up by level,
+    block, place in it, time and id; a response is kept whole, so the state that reaches a limit isn't cut."""
+    order = Window.partitionBy("query_id").orderBy("level", "block", F.coalesce("tx_index", F.lit(-1)), "tsec", "event_id")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    first = F.row_number().over(Window.partitionBy("query_id", "recipient").orderBy("level", "block", F.coalesce("tx_index", F.lit(-1)), "tsec", "event_id")) == 1
+    df = states.withColumn("_new", F.when(first, 1).otherwise(0))
+    events, accounts = F.count("*").over(before), F.coalesce(F.sum("_new").over(before), F.lit(0))
+    return df.withColumn("cut", (events >= most_events) | (accounts >= most_accounts)).drop("_new")
 
 
 def status(interrupted: Column, over_budget: Column, pending: Column, unresolved: Column) -> Column:

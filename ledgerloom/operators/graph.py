@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .order import strictly_after
 
 #: Stops of an arrival, in order of precedence: the class of its account, then the depth.
-SERVICE, BOUNDARIES = "SERVICE", ("BRIDGE_BOUNDARY", "MIXER", "UNSUPPORTED_PROTOCOL")
+SERVICE, BOUNDARIES = "SERVICE", ("BRIDGE", "MIXER", "UNSUPPORTED_PROTOCOL")
 
 
 def stop_reason(kind: Column, level: Column, depth: int) -> Column:

@@ -23,7 +23,7 @@ def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Traced arrivals with the class of their account (3: service, 7: bridge) and why they stop."""
     t = transfers(spark, sf_dir)
     found = frontier.trace(t, _seeds(t), DEPTH, WINDOW, lambda account: (account % 10).isin(3, 7))
-    kind = F.when(F.col("recipient") % 10 == 3, graph.SERVICE).when(F.col("recipient") % 10 == 7, "BRIDGE_BOUNDARY")
+    kind = F.when(F.col("recipient") % 10 == 3, graph.SERVICE).when(F.col("recipient") % 10 == 7, "BRIDGE")
     return found.withColumn("stop", graph.stop_reason(kind, F.col("level"), DEPTH))
 
 
