@@ -2,33 +2,130 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import prefix
 
-def page_contract(pages: DataFrame) -> DataFrame:
-    """Verdict on each page of a result: does it begin where the one before ended?"""
-    before = F.lag("next_offset").over(Window.partitionBy("result").orderBy("offset"))
-    verdict = F.when(before.isNull(), "FIRST").when(F.col("offset") == before, "OK").otherwise("GAP")
+# Moves that a journal of attempts allows, and the states that block an account until they are resolved.
+MOVES = {None: ("PLANNED",), "PLANNED": ("DISPATCH_INTENT",), "DISPATCH_INTENT": ("SUCCESS_VALIDATED", "UNKNOWN_TRANSPORT", "INVALID_RESPONSE"), "UNKNOWN_TRANSPORT": ("SUCCESS_VALIDATED",), "INVALID_RESPONSE": ("SUCCESS_VALIDATED",)}
+UNRESOLVED = ("DISPATCH_INTENT", "UNKNOWN_TRANSPORT", "INVALID_RESPONSE")
+
+
+def page_contract(pages: DataFrame, most: int = 1000) -> DataFrame:
+    """Verdict on each page of a result, the first that holds; a page is compared with the one before it. Columns: result, offset, n (rows held),
+    row_count (declared), total, schema, state, next_offset (null at the end), page_size."""
+    by = Window.partitionBy("result").orderBy("offset")
+    was = {c: F.lag(c).over(by) for c in ("next_offset", "total", "schema", "page_size")}
+    first, c = F.row_number().over(by) == 1, F.col
+    end = c("offset") + c("n")
+    differs = lambda f: ~first & (was[f] != c(f))
+    verdict = (
+        F.when(~c("page_size").between(1, most), "PAGE_LIMIT")
+        .when(F.when(first, c("offset") != 0).otherwise(~was["next_offset"].eqNullSafe(c("offset"))), "NONCONTIGUOUS")
+        .when(differs("page_size"), "PAGE_SIZE_CHANGED")
+        .when(c("state") != "QUERY_STATE_COMPLETED", "INCOMPLETE_STATE")
+        .when(c("n") > c("page_size"), "EXCEEDS_LIMIT")
+        .when(c("row_count") != c("n"), "ROW_COUNT")
+        .when(differs("total"), "TOTAL_CHANGED")
+        .when(differs("schema"), "SCHEMA_CHANGED")
+        .when(end > c("total"), "EXCEEDS_TOTAL")
+        .when(c("next_offset").isNotNull() & ((c("n") == 0) | (c("next_offset") != end)), "CURSOR")
+        .when((end == c("total")) & c("next_offset").isNotNull(), "TERMINAL_CONTINUES")
+        .when((end < c("total")) & (c("next_offset").isNull() | (c("n") == 0)), "MISSING_CONTINUATION")
+        .otherwise("OK")
+    )
     return pages.select("result", "offset", verdict.alias("verdict"))
 
 
+def link_verdict(url: Column, host: str, path: str, allowed: tuple[str, ...]) -> Column:
+    """Whether a continuation link keeps to its origin, its path (a pattern) and the parameters allowed."""
+    query = F.parse_url(url, F.lit("QUERY"))
+    extra = F.array_except(F.map_keys(F.str_to_map(F.coalesce(query, F.lit("")), F.lit("&"), F.lit("="))), F.array(*map(F.lit, ("", *allowed))))
+    return (
+        F.when(url.isNull(), "NONE")
+        .when(~F.coalesce(F.parse_url(url, F.lit("HOST")).endswith(host), F.lit(False)), "ORIGIN")
+        .when(~F.parse_url(url, F.lit("PATH")).rlike(path), "PATH")
+        .when(F.size(extra) > 0, "PARAMETERS")
+        .otherwise("OK")
+    )
+
+
 def journal_state(transitions: DataFrame) -> DataFrame:
     """The last state of each attempt, and how often it changed."""
     return transitions.groupBy("attempt").agg(F.max_by("state", "n").alias("state"), F.count("*").alias("changes"))
 
 
+def journal_steps(transitions: DataFrame) -> DataFrame:
+    """transitions with legal: whether each move is allowed after the one before it."""
+    before = F.lag("state").over(Window.partitionBy("attempt").orderBy("n"))
+    legal = F.lit(False)
+    for was, to in MOVES.items():
+        legal = legal | ((before.isNull() if was is None else before == was) & F.col("state").isin(*to))
+    return transitions.withColumn("legal", F.coalesce(legal, F.lit(False)))
+
+
 def snapshot(jobs: DataFrame, caps: DataFrame) -> DataFrame:
-    """Per unit: spent, reserved where nothing is spent yet, what is left of the cap, and whether it is overrun."""
+    """Per unit: spent, reserved where nothing is spent yet, what is left of the lesser of cap and allowance (unknown while the allowance is),
+    whether that is overrun, and whether a job spent more than it reserved. jobs: unit, reserved, actual; caps: unit, cap, allowance."""
     sums = jobs.groupBy("unit").agg(
         F.coalesce(F.sum("actual"), F.lit(0)).alias("spent"),
         F.coalesce(F.sum(F.when(F.col("actual").isNull(), F.col("reserved"))), F.lit(0)).alias("held"),
+        (F.count_if(F.col("actual") > F.col("reserved")) > 0).alias("exceeded"),
     )
-    left = F.col("cap") - F.col("spent") - F.col("held")
-    return sums.join(caps, "unit").select("unit", "spent", "held", F.greatest(left, F.lit(0)).alias("remaining"), (left < 0).alias("overrun"))
+    effective = F.when(F.col("allowance").isNotNull(), F.least("cap", "allowance"))
+    left = effective - F.col("spent") - F.col("held")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    df = caps.join(sums, "unit", "left").withColumns({"spent": zero("spent"), "held": zero("held"), "exceeded": F.coalesce("exceeded", F.lit(False))})
+    return df.select("unit", "spent", "held", F.when(left.isNotNull(), F.greatest(left, F.lit(0))).alias("remaining"), F.coalesce(left < 0, F.lit(False)).alias("overrun"), "exceeded")
+
+
+def settled(jobs: DataFrame) -> DataFrame:
+    """Jobs (unit, n, reserved, actual) in order of n with outcome: after one that spent more than it reserved, its unit takes no more."""
+    over = jobs.withColumn("over", F.when(F.col("actual") > F.col("reserved"), 1).otherwise(0))
+    sums = prefix.running(over, ["unit"], ["n"], "over", "overs")
+    outcome = F.when(F.col("overs") - F.col("over") > 0, "REFUSED").when(F.col("over") == 1, "EXCEEDED").when(F.col("actual").isNull(), "RESERVED").otherwise("SETTLED")
+    return sums.withColumn("outcome", outcome)
+
+
+def risk_buckets(jobs: DataFrame, cap: int) -> DataFrame:
+    """Per bucket: what its jobs may cost (actual where known, else reserved), split by how final that is, and what is left of the cap.
+    jobs: bucket, reserved, actual, known (execution), upper (a bound on the rest, or null)."""
+    risk = F.coalesce("actual", "reserved")
+    where = lambda on: F.coalesce(F.sum(F.when(on, risk)), F.lit(0).cast("long"))
+    known = F.col("actual").isNotNull()
+    df = jobs.groupBy("bucket").agg(
+        F.sum(risk).alias("risk"),
+        F.coalesce(F.sum("known"), F.lit(0).cast("long")).alias("known_execution"),
+        where(known).alias("final_actual"),
+        where(~known & F.col("upper").isNotNull()).alias("bounded_not_final"),
+        where(~known & F.col("upper").isNull()).alias("unknown_reserved"),
+    )
+    return df.withColumn("remaining", F.greatest(F.lit(cap) - F.col("risk"), F.lit(0)))
+
+
+def export_envelope(results: DataFrame, observed: DataFrame, page_size: int) -> DataFrame:
+    """An upper bound, in whole credits, on exporting each result: the dearer of the byte and the datapoint scheme by all that was observed, rounded
+    up for each page. results: result, rows, bytes, columns; observed: result, bytes, datapoints (either may be null)."""
+    most = observed.groupBy("result").agg(F.max("bytes").alias("b"), F.max("datapoints").alias("d"))
+    df = results.join(most, "result", "left")
+    up = lambda n, d: F.floor((n + (d - 1)) / d)  # noqa: E731  # ceiling of whole numbers
+    size = F.greatest("bytes", F.coalesce("b", F.lit(0)))
+    points = F.greatest(F.col("rows") * F.col("columns"), F.coalesce("d", F.lit(0)), up(size, 100))
+    pages = F.greatest(F.lit(1), up(F.col("rows"), page_size))
+    per_page = F.greatest(F.lit(1), up(size * 20, 1_000_000), up(points, 1000))
+    return df.select("result", size.alias("bytes"), points.alias("datapoints"), pages.alias("pages"), per_page.alias("per_page"), (per_page * pages).alias("credits"))
 
 
 def running_balance(moves: DataFrame) -> DataFrame:
     """Balance of each account and asset after every move, in causal order."""
     w = Window.partitionBy("account", "asset").orderBy("ord", "sign").rowsBetween(Window.unboundedPreceding, 0)
     return moves.withColumn("balance", F.sum(F.col("sign") * F.col("amount")).over(w))
+
+
+def known_balance(moves: DataFrame, openings: DataFrame) -> DataFrame:
+    """Balances after each move from an opening one (account, asset, opening) that may be unknown: unknown stays unknown, an account that isn't
+    listed is unknown too, and what is known to go below zero is an OVERSPENT state. moves: account, asset, ord, sign, amount."""
+    df = running_balance(moves).join(openings, ["account", "asset"], "left")
+    after = F.col("opening") + F.col("balance")
+    return df.select("account", "asset", "ord", "sign", after.alias("actual"), F.when(after.isNull(), "UNKNOWN").when(after < 0, "OVERSPENT").otherwise("KNOWN").alias("state"))

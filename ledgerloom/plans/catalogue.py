@@ -121,24 +121,11 @@ def label_opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.opportunities(addresses, ["F", "O", "P"], matches)
 
 
-def page_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = read(spark, sf_dir, "orders").where(F.col("o_orderkey") % 1009 != 0)
-    pages = orders.groupBy(F.floor(F.col("o_orderkey") / 5000).alias("result"), (F.floor(F.col("o_orderkey") / 50) * 50).alias("offset"))
-    return ledger.page_contract(pages.agg(F.count("*").alias("n")).select("result", "offset", (F.col("offset") + F.col("n")).alias("next_offset")))
-
-
 def journal_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     moves = read(spark, sf_dir, "events").select(F.col("user_id").alias("attempt"), F.col("event_type").alias("state"), F.col("event_id").alias("n"))
     return ledger.journal_state(moves)
 
 
-def ledger_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cents = F.round(F.col("o_totalprice") * 100).cast("long")
-    jobs = read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("unit"), cents.alias("reserved"), F.when(F.col("o_orderstatus") == "F", cents).alias("actual"))
-    caps = jobs.select("unit").distinct().withColumn("cap", F.lit(50_000_000_000).cast("long"))
-    return ledger.snapshot(jobs, caps)
-
-
 def ledger_running_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = transfers(spark, sf_dir).where("success")
     leg = lambda c, s: t.select(F.col(c).alias("account"), "asset", F.col("event_id").alias("ord"), F.lit(s).alias("sign"), F.col("amount_raw").alias("amount"))
@@ -154,8 +141,7 @@ def collection_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     found = (
         transfers_checksum, endpoint_or_match, strict_order_pairs, admission_reasons, amount_status_hist, trace_frontier, ancestor_anti, coverage_containment,
-        fact_enriched, fact_conflicts, fact_quarantine, registry_contradictions, label_resolve, label_opportunities, page_contract, journal_state,
-        ledger_snapshot, ledger_running_balance, collection_equality,
+        fact_enriched, fact_conflicts, fact_quarantine, registry_contradictions, label_resolve, label_opportunities, journal_state, ledger_running_balance, collection_equality,
     )
     return {f.__name__: f for f in found}
 
@@ -198,12 +184,7 @@ b AS (SELECT c_custkey AS address, coalesce(p.first, q.first) AS first, CASE WHE
   FROM customer LEFT JOIN c p ON p.address = c_custkey AND p.first LEFT JOIN c q ON q.address = c_custkey AND NOT q.first)
 SELECT address, CASE WHEN first IS NULL THEN 'BASELINE' ELSE CASE WHEN first THEN 'PRIORITY' ELSE 'OTHER' END || CASE WHEN actor IS NULL THEN '_CONFLICT' ELSE '' END END AS rule, actor, CASE WHEN actor IS NULL THEN 'UNKNOWN' ELSE role END AS role FROM b""",
         "label_opportunities": "SELECT c_custkey AS address, source, count(o_orderkey) AS matches, CASE WHEN count(o_orderkey) > 0 THEN 'MATCH' ELSE 'NO_MATCH' END AS outcome FROM customer CROSS JOIN (VALUES ('F'), ('O'), ('P')) s(source) LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = source GROUP BY c_custkey, source",
-        "page_contract": """WITH p AS (SELECT o_orderkey // 5000 AS result, o_orderkey // 50 * 50 AS "offset", count(*) AS n FROM orders WHERE o_orderkey % 1009 <> 0 GROUP BY ALL), q AS (SELECT *, lag("offset" + n) OVER (PARTITION BY result ORDER BY "offset") AS b FROM p)
-SELECT result, "offset", CASE WHEN b IS NULL THEN 'FIRST' WHEN b = "offset" THEN 'OK' ELSE 'GAP' END AS verdict FROM q""",
         "journal_state": "SELECT user_id AS attempt, arg_max(event_type, event_id) AS state, count(*) AS changes FROM events GROUP BY user_id",
-        "ledger_snapshot": """WITH j AS (SELECT o_orderpriority AS unit, CAST(round(o_totalprice * 100) AS BIGINT) AS c, o_orderstatus = 'F' AS done FROM orders),
-s AS (SELECT unit, CAST(coalesce(sum(c) FILTER (WHERE done), 0) AS BIGINT) AS spent, CAST(coalesce(sum(c) FILTER (WHERE NOT done), 0) AS BIGINT) AS held FROM j GROUP BY unit)
-SELECT unit, spent, held, greatest(50000000000 - spent - held, 0) AS remaining, 50000000000 - spent - held < 0 AS overrun FROM s""",
         "ledger_running_balance": f"""{t}, m AS (SELECT sender AS account, asset, event_id AS ord, -1 AS sign, amount_raw FROM transfers WHERE success UNION ALL SELECT recipient, asset, event_id, 1, amount_raw FROM transfers WHERE success)
 SELECT account, asset, ord, sign, CAST(sum(sign * amount_raw) OVER (PARTITION BY account, asset ORDER BY ord, sign ROWS UNBOUNDED PRECEDING) AS BIGINT) AS balance FROM m""",
         "collection_equality": f"""{t}, x AS (SELECT event_id, sender, recipient, amount_raw FROM transfers), y AS (SELECT event_id, sender, recipient, CASE WHEN event_id % 89 = 0 THEN amount_raw + 1 ELSE amount_raw END AS amount_raw FROM x WHERE event_id % 97 <> 0)

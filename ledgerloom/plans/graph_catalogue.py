@@ -12,7 +12,7 @@ from ledgerloom.sources.derived import TRANSFERS_SQL, read, transfers
 
 SCOPE_END, CAP = 1_705_000_000, 10_000_000_000
 #: Rules of the text scan: name and pattern.
-TEXT_RULES = {"ACCESS_KEY": "AKIA[A-Z0-9]{16}", "LONG_HEX": "[0-9a-f]{64}", "PRIVATE_KEY": "-----BEGIN [A-Z ]*PRIVATE KEY-----"}
+TEXT_RULES = {"ASSIGNED_SECRET": "(password|secret|token|api_?key) ?[:=] ?[A-Za-z0-9]{6,}", "LONG_HEX": "[0-9a-f]{24,}", "MAIL": "[a-z0-9.]+@[a-z0-9]+[.][a-z]{2,}", "PRIVATE_KEY": "-----BEGIN [A-Z ]*PRIVATE KEY-----"}
 
 
 def _seeds(t: DataFrame) -> DataFrame:
