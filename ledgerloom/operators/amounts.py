@@ -3,13 +3,11 @@
 A scenario is one source amount and the ordered transfers that follow. Money of an account mixes, so any share of what it holds
 at the time may be the source's: the greatest amount that reaches a target is a maximum flow, capacities being the
 transfers' amounts and what an account holds carried from event to event. The least is what is left of the source if as much as
-possible goes elsewhere or stays. Scenarios are independent: Spark groups them, and a task solves one at a time in exact integers.
+possible goes elsewhere or stays. Each flow is certified by a cut of its capacity. Scenarios are independent: Spark groups them, and a task solves one at a time in exact integers.
 """
 
 from __future__ import annotations
 
-from collections import deque
-
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -17,38 +15,61 @@ SCHEMA = "scenario string, target string, lower string, upper string, status str
 
 
 class Network:
-    """Capacities of arcs, and augmentation along shortest paths."""
+    """Arcs as parallel lists, each with its reverse beside it (i ^ 1); flows by blocking flows over layers."""
 
     def __init__(self) -> None:
-        self.left: dict[object, dict[object, int]] = {}
+        self.number: dict[object, int] = {}
+        self.arcs_of: list[list[int]] = []
+        self.head: list[int] = []
+        self.room: list[int] = []
+
+    def node(self, name: object) -> int:
+        if name not in self.number:
+            self.number[name] = len(self.arcs_of)
+            self.arcs_of.append([])
+        return self.number[name]
 
     def arc(self, a: object, b: object, capacity: int) -> None:
-        there = self.left.setdefault(a, {})
-        there[b] = there.get(b, 0) + capacity
-        self.left.setdefault(b, {}).setdefault(a, 0)
-
-    def push(self, source: object, sink: object) -> int:
-        """The maximum flow from source to sink."""
-        total = 0
-        while True:
-            came, queue = {source: None}, deque([source])
-            while queue and sink not in came:
-                a = queue.popleft()
-                for b, room in self.left.get(a, {}).items():
-                    if room and b not in came:
-                        came[b] = a
-                        queue.append(b)
-            if sink not in came:
-                return total
-            path, b = [], sink
-            while came[b] is not None:
-                path.append((came[b], b))
-                b = came[b]
-            least = min(self.left[a][b] for a, b in path)
-            for a, b in path:
-                self.left[a][b] -= least
-                self.left[b][a] += least
-            total += least
+        for x, y, room in ((a, b, capacity), (b, a, 0)):
+            self.arcs_of[self.node(x)].append(len(self.head))
+            self.head.append(self.node(y))
+            self.room.append(room)
+
+    def layers(self, source: int) -> list[int]:
+        """Distance of each node from the source along arcs with room, -1 where there is none."""
+        depth = [-1] * len(self.arcs_of)
+        depth[source], edge = 0, [source]
+        while edge:
+            edge = [self.head[i] for x in edge for i in self.arcs_of[x] if self.room[i] and depth[self.head[i]] < 0 and not depth.__setitem__(self.head[i], depth[x] + 1)]
+        return depth
+
+    def most(self, source: object, sink: object) -> tuple[int, int]:
+        """The greatest flow from source to sink, and the capacity of the cut that the last layers leave: equal, it certifies the flow."""
+        s, t, total = self.node(source), self.node(sink), 0
+        capacity = list(self.room)
+        while (depth := self.layers(s))[t] >= 0:
+            untried, path, x = [list(arcs) for arcs in self.arcs_of], [], s
+            while True:
+                if x == t:
+                    least = min(self.room[i] for i in path)
+                    for i in path:
+                        self.room[i] -= least
+                        self.room[i ^ 1] += least
+                    total, path, x = total + least, [], s
+                elif untried[x]:
+                    i = untried[x][-1]
+                    if self.room[i] and depth[self.head[i]] == depth[x] + 1:
+                        path.append(i)
+                        x = self.head[i]
+                    else:
+                        untried[x].pop()
+                elif path:
+                    x = self.head[path.pop() ^ 1]
+                    untried[x].pop()
+                else:
+                    break
+        cut = sum(capacity[i] for x, d in enumerate(depth) if d >= 0 for i in self.arcs_of[x] if depth[self.head[i]] < 0)
+        return total, cut
 
 
 def interval(seed: tuple[str, int], transfers: list[tuple[str, str, int]], balances: dict[str, int], target: str) -> tuple[int, int] | None:
@@ -89,7 +110,10 @@ def interval(seed: tuple[str, int], transfers: list[tuple[str, str, int]], balan
                 holding[b] = holding.get(b, balances[b]) + n
         for a in {account, *(x for t in transfers for x in t[:2])} - {target}:
             net.arc((a, step.get(a, 0)), "rest", amount)
-        return net.push("source", "target" if wanted else "rest")
+        flow, cut = net.most("source", "target" if wanted else "rest")
+        if flow != cut:
+            raise ArithmeticError("a flow without the cut that certifies it")
+        return flow
 
     if account == target:
         return amount, amount

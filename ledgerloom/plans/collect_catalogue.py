@@ -21,7 +21,7 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.select("account", kind.alias("identity_class"), status.alias("lookup_status"))
 
 
-def _collected(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def collected(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Collections of all real transfers whose id 50 divides, each a query of its own."""
     t = transfers(spark, sf_dir)
     seeds = t.where("event_id % 50 = 0 and success and sender <> recipient and amount_raw > 0").withColumn("query_id", F.col("event_id"))
@@ -29,27 +29,27 @@ def _collected(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def collection_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _collected(spark, sf_dir)[0].select("query_id", "level", "event_id", "recipient", "identity", "lookup", F.coalesce("stop", F.lit("FOLLOWED")).alias("stop"))
+    return collected(spark, sf_dir)[0].select("query_id", "level", "event_id", "recipient", "identity", "lookup", F.coalesce("stop", F.lit("FOLLOWED")).alias("stop"))
 
 
 def trace_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which arrival each event of a collection follows."""
-    return _collected(spark, sf_dir)[1]
+    return collected(spark, sf_dir)[1]
 
 
 def collection_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each collection could not tell, by reason: the accounts whose lookup is unanswered or in conflict. They go on as unknown."""
-    states = _collected(spark, sf_dir)[0].where("lookup <> 'FROZEN_LOCAL_OBSERVATION'")
+    states = collected(spark, sf_dir)[0].where("lookup <> 'FROZEN_LOCAL_OBSERVATION'")
     return states.groupBy("query_id", F.col("lookup").alias("reason")).agg(F.count_distinct("recipient").alias("accounts"))
 
 
 def collection_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = frontier.limited(_collected(spark, sf_dir)[0], MOST_EVENTS, MOST_ACCOUNTS)
+    cut = frontier.limited(collected(spark, sf_dir)[0], MOST_EVENTS, MOST_ACCOUNTS)
     return cut.groupBy("query_id").agg(F.count("*").alias("states"), F.count_if("cut").alias("cut"), F.sum(F.when(~F.col("cut"), F.col("event_id"))).alias("kept_ids"))
 
 
 def collection_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    states = frontier.limited(_collected(spark, sf_dir)[0], MOST_EVENTS, MOST_ACCOUNTS)
+    states = frontier.limited(collected(spark, sf_dir)[0], MOST_EVENTS, MOST_ACCOUNTS)
     any_of = lambda c: F.count_if(c) > 0
     found = states.groupBy("query_id").agg(
         any_of("cut").alias("i"), any_of(F.col("lookup") == "BUDGET_BLOCKED").alias("b"),
@@ -61,7 +61,7 @@ def collection_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 def collection_invalidated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A collection with one fact in conflict loses all: its events are kept as invalidated evidence only, and its coverage is incomplete. Facts
     whose id 31 divides are in conflict."""
-    states = _collected(spark, sf_dir)[0]
+    states = collected(spark, sf_dir)[0]
     bad = states.where("event_id % 31 = 0").select("query_id").distinct().withColumn("bad", F.lit(True))
     found = states.join(bad, "query_id", "left").withColumn("bad", F.coalesce("bad", F.lit(False)))
     return found.groupBy("query_id", "bad").agg(F.count_if(~F.col("bad")).alias("candidates"), F.count_if("bad").alias("invalidated")).select("query_id", "candidates", "invalidated", F.when(F.col("bad"), "INCOMPLETE").otherwise("COMPLETE").alias("coverage"))

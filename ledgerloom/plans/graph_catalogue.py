@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import amounts, frontier, graph, order, prefix
-from ledgerloom.plans import catalogue
+from ledgerloom.plans import catalogue, collect_catalogue
 from ledgerloom.plans.catalogue import DEPTH, SEEDS, WINDOW
 from ledgerloom.sources.derived import TRANSFERS_SQL, read, transfers
 
@@ -126,23 +126,19 @@ def text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def amount_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How much of each seed's amount reaches the services two hops on. An account's balance before is what it spends in its
+    """How much of each query's amount reaches the services its collection finds. An account's balance before is what it spends in its
     scenario, so nobody overspends. Beyond SQL; tested against enumeration."""
-    t = transfers(spark, sf_dir)
-    seeds = _seeds(t)
-    first = frontier.successors(seeds.withColumn("scenario", F.col("event_id")), t, WINDOW)
-    event = [F.col(f"e_{c}").alias(c) for c in t.columns]
-    first = first.select(F.col("a_scenario").alias("scenario"), *event)
-    second = frontier.successors(first, t, WINDOW).select(F.col("a_scenario").alias("scenario"), *event)
-    moves = first.union(second).dropDuplicates(["scenario", "event_id"])
-    moves = graph.ordinals(moves, ["scenario"]).select(F.col("scenario").cast("string"), "ord", F.col("sender").cast("string"), F.col("recipient").cast("string"), "amount_raw")
+    states = collect_catalogue.collected(spark, sf_dir)[0]
+    moves = graph.ordinals(states.where("level > 0").dropDuplicates(["query_id", "event_id"]), ["query_id"])
+    moves = moves.select(F.col("query_id").cast("string").alias("scenario"), "ord", F.col("sender").cast("string"), F.col("recipient").cast("string"), "amount_raw", "stop")
+    seeds = states.where("level = 0")
     none, row = F.lit(None).cast("string"), lambda part, df, s, r, n, o: df.select("scenario", F.lit(part).alias("part"), o.cast("long").alias("ord"), s.alias("sender"), r.alias("recipient"), n.cast("string").alias("amount"))
-    seed = seeds.select(F.col("event_id").cast("string").alias("scenario"), F.col("sender").cast("string"), F.col("recipient").cast("string"), "amount_raw")
+    seed = seeds.select(F.col("query_id").cast("string").alias("scenario"), F.col("sender").cast("string"), F.col("recipient").cast("string"), "amount_raw")
     parts = [
         row("seed", seed, F.col("sender"), F.col("recipient"), F.col("amount_raw"), F.lit(-1)),
         row("transfer", moves, F.col("sender"), F.col("recipient"), F.col("amount_raw"), F.col("ord")),
         row("balance", moves.groupBy("scenario", "sender").agg(F.sum("amount_raw").alias("n")), none, F.col("sender"), F.col("n"), F.lit(0)),
-        row("target", moves.where("cast(recipient as bigint) % 10 = 3").select("scenario", "recipient").distinct(), none, F.col("recipient"), none, F.lit(0)),
+        row("target", moves.where("stop = 'FIRST_IDENTIFIED_SERVICE'").select("scenario", "recipient").distinct(), none, F.col("recipient"), none, F.lit(0)),
     ]
     rows = parts[0]
     for p in parts[1:]:

@@ -7,13 +7,15 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import amounts, facts, order
-from ledgerloom.plans import catalogue, graph_catalogue
+from ledgerloom.operators import amounts, audit, closure, evidence, facts, graph, identity, ledger, normalise, order, prefix
+from ledgerloom.plans import audit_catalogue, catalogue, collect_catalogue, graph_catalogue, identity_catalogue, records_catalogue, scan_catalogue
+from ledgerloom.sources import files
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("customer", "events", "lineitem", "orders", "documents")
-QUERIES = catalogue.queries() | graph_catalogue.queries()
-SQL = catalogue.oracle_sql() | graph_catalogue.oracle_sql()
+TABLES = ("customer", "events", "lineitem", "orders", "documents", "pages")
+PLANS = (catalogue, graph_catalogue, scan_catalogue, collect_catalogue, identity_catalogue, audit_catalogue, records_catalogue)
+QUERIES = {k: f for p in PLANS for k, f in p.queries().items()}
+SQL = {k: s for p in PLANS for k, s in p.oracle_sql().items()}
 
 
 def rows(records):
@@ -88,3 +90,134 @@ def test_interval_rows(spark):
     found = {tuple(r) for r in amounts.intervals(spark.createDataFrame(data, "scenario string, part string, ord long, sender string, recipient string, amount string")).collect()}
     assert found == {("s", "T", big, big, "OPTIMAL"), ("n", "T", None, None, "NO_SINGLE_SEED")}
     assert {r["status"] for r in graph_catalogue.amount_intervals(spark, "/root/testdata/sf0.01").collect()} <= {"OPTIMAL"}
+
+
+def test_most_flow_equals_its_cut():
+    r = random.Random(3)
+    for _ in range(60):
+        arcs = [(r.randrange(6), r.randrange(6), r.randrange(1, 9)) for _ in range(12)]
+        net = amounts.Network()
+        for a, b, n in [*arcs, (0, 5, 0)]:
+            if a != b:
+                net.arc(a, b, n)
+        flow, cut = net.most(0, 5)
+        least = min(sum(n for a, b, n in arcs if a in side and b not in side) for k in range(5) for x in itertools.combinations(range(1, 5), k) for side in [{0, *x}])
+        assert flow == cut == least
+
+
+def test_certificates_equal_a_sequential_pass(spark):
+    """One event after another in their order, each taking the best of the certificates that reach its account."""
+    events = [r.asDict() for r in audit_catalogue.events(spark, SF).collect()]
+    seeds = {(r["query_id"], r["event_id"]) for r in audit_catalogue.seeds(spark, SF).collect()}
+    roles = {r["account"]: r["role"] for r in audit_catalogue.identities(spark, SF).collect()}
+
+    def before(a, b):
+        both = a["block"] is not None and b["block"] is not None
+        if a["event_id"] == b["event_id"]:
+            return False
+        if both and a["block"] != b["block"]:
+            return a["block"] < b["block"]
+        if both and a["tx_hash"] != b["tx_hash"]:
+            return None if a["tx_index"] is None or b["tx_index"] is None else a["tx_index"] < b["tx_index"]
+        if not both and a["tsec"] != b["tsec"]:
+            return a["tsec"] < b["tsec"]
+        if a["tx_hash"] != b["tx_hash"]:
+            return None
+        if a["log_index"] is not None and b["log_index"] is not None:
+            return a["log_index"] < b["log_index"]
+        return True if a["kind"] == "top" != b["kind"] else False if b["kind"] == "top" != a["kind"] else None
+
+    place = lambda e: (e["block"] or 0, e["tx_index"] or 0, e["kind"] != "top", e["log_index"] or 0, e["event_id"])
+    want = {}
+    for q in {e["query_id"] for e in events}:
+        pool = sorted((e for e in events if e["query_id"] == q and e["ok"] and e["amount"] > 0), key=place)
+        cert = {e["event_id"]: ([e["event_id"]], set()) for e in pool if (q, e["event_id"]) in seeds}
+        arrived = [e for e in pool if e["event_id"] in cert]
+        for e in pool:
+            if e["event_id"] in cert or roles.get(e["sender"], "UNKNOWN") in audit.STOP_ROLES:
+                continue
+            met = {e["sender"]} if roles.get(e["sender"], "UNKNOWN") == "UNKNOWN" else set()
+            options = [(cert[p["event_id"]][0] + [e["event_id"]], cert[p["event_id"]][1] | met) for p in arrived if p["recipient"] == e["sender"] and p["asset"] == e["asset"] and before(p, e)]
+            if options:
+                cert[e["event_id"]] = min(options, key=lambda c: (len(c[1]), c[0]))
+                if e["sender"] != e["recipient"]:
+                    arrived.append(e)
+        want |= {(q, k): (",".join(map(str, p)), ",".join(map(str, sorted(u)))) for k, (p, u) in cert.items()}
+    got = {(r["query_id"], r["event_id"]): (r["path"], r["unknown"]) for r in audit_catalogue.reference_certificates(spark, SF).collect()}
+    assert got == want and max(p.count(",") for p, _ in want.values()) >= 1
+
+
+def test_running_totals_over_ranges(spark):
+    df = spark.range(1000).selectExpr("id % 2 as g", "id as n", "id * 3 as v")
+    got = {r["n"]: r["t"] for r in prefix.running(df, ["g"], ["n"], "v", "t").collect()}
+    assert all(got[n] == sum(3 * i for i in range(n % 2, n + 1, 2)) for n in range(1000))
+
+
+def test_components_of_a_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
+    got = {r["node"]: r["root"] for r in closure.components(edges).collect()}
+    assert all(got[i] == 0 for i in range(41)) and got[101] == got[100] == 100
+
+
+def test_unresolved_counts_equal_listed_pairs(spark):
+    r = random.Random(9)
+    place = {(b, t): r.choice([None, 0, 1, 2]) for b in range(4) for t in range(4)}  # two transactions may claim one place
+    rows = [(i, b, place[b, t], t, r.choice([None, 1, 2]), r.choice(["top", "internal", "erc20"])) for i in range(120) for b, t in [(r.randrange(4), r.randrange(4))]]
+    df = spark.createDataFrame(rows, "event_id long, block long, tx_index int, tx_hash long, log_index int, kind string").withColumn("execution_index", F.lit(None).cast("long"))
+    listed = graph.unresolved(graph.ordinals(df, ["block"])).groupBy(F.col("a_block").alias("block")).agg(F.count("*").alias("pairs"), F.sum("b_event_id").alias("ids"))
+    assert sorted(map(tuple, listed.collect())) == sorted(map(tuple, graph.unresolved_counts(df).collect()))
+
+
+def test_trees_of_any_depth_and_bad_texts(spark):
+    deep = '{"type":"CALL","calls":[' * 40 + "{}" + "]}" * 40
+    df = spark.createDataFrame([(1, deep), (2, "no json"), (3, None), (4, "[1]"), (5, '{"error":"x","calls":[{"type":"A"},{"logs":[1,2]}]}')], "k long, t string")
+    got = [r.asDict() for r in evidence.frames(df, "k", "t").collect()]
+    assert sum(r["id"] == 1 for r in got) == 41 and {r["id"] for r in got} == {1, 5}
+    assert [(r["path"], r["below_failed"], r["logs"]) for r in got if r["id"] == 5] == [("", False, 0), ("0", True, 0), ("1", True, 2)]
+
+
+def test_identity_rules_that_the_tables_lack(spark):
+    names = "address string, observation_id int, platform string, actor string, role string, raw_label string, semantic_kind string, record_conflict boolean, collection_scope string, generation_mechanism string"
+    zero, a, b, c = "0x" + "0" * 40, "a", "b", "c"
+    rows = [
+        (zero, 1, "Dune", "OKX", "SERVICE", "OKX", "ATTRIBUTION", False, "F", None),
+        (a, 2, "Dune", "Kraken", "SERVICE", "Kraken", "ATTRIBUTION", True, "F", "R"),
+        (b, 3, "Dune", None, "SERVICE", "Chainflip: Vault 1", "ATTRIBUTION", False, "F", None),
+        (b, 4, "Dune", "Sushi Swap", "SERVICE", "x", "BEHAVIOR", False, "F", None),
+        (c, 5, "Meta", "Kraken", "SERVICE", "Kraken user of", "ATTRIBUTION", False, "F", None),
+    ]
+    found = {r["address"]: r for r in identity.resolve(spark.createDataFrame(rows, names), spark.createDataFrame([("d", "SERVICE", "D"), (c, "SERVICE", "C")], "address string, identity_class string, actor string")).collect()}
+    assert {k: r["identity_class"] for k, r in found.items()} == {zero: "NON_SERVICE_SENTINEL", a: "CONFLICTED_IDENTITY", b: "CONFLICTED_IDENTITY", c: "SERVICE", "d": "SERVICE"}
+    assert found[b]["conflict_status"] == "DUNE_INTERNAL_CONFLICT" and found[c]["actor"] == "C" and found["d"]["rule"] == "EXISTING_OTHER_SOURCE_RESOLUTION_RETAINED"
+
+
+def test_normalised_values(spark):
+    df = spark.createDataFrame([("[0, 12]", "007", "0xfF"), ("1_02", "12a", "255"), ("x", None, "0x"), (None, "0", "")], "t string, n string, h string")
+    got = [tuple(r) for r in df.select(normalise.trace_path(F.col("t")), normalise.exact_integer(F.col("n")), normalise.hex_or_decimal(F.col("h"))).collect()]
+    assert got == [("0_12", "7", 255), ("1_2", None, 255), (None, None, None), (None, "0", None)]
+
+
+def test_empty_tables(spark):
+    jobs = spark.createDataFrame([], "unit string, n long, reserved long, actual long")
+    assert ledger.settled(jobs).count() == 0 and ledger.snapshot(jobs, spark.createDataFrame([("u", 5, 3)], "unit string, cap long, allowance long")).first()["remaining"] == 3
+    assert closure.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert facts.enrichment(jobs, jobs, "n", ["unit"]).count() == 0
+
+
+def test_files_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([(2, "b,\"x\"", [1, 2]), (1, None, [])], "k int, s string, a array<int>")
+    path = f"{tmp_path}/out.csv.gz"
+    files.write_csv(df, path, ["k", "s", "a", "gone"], ["k"])
+    back = [r.asDict() for r in spark.read.csv(path, header=True, escape='"').orderBy("k").collect()]
+    assert [r["k"] for r in back] == ["1", "2"] and back[1]["a"] == "[1,2]" and back[1]["gone"] is None
+    (tmp_path / "x.csv").write_text("\ufeffid,v\n1,a\n", encoding="utf-8")
+    (tmp_path / "x.json").write_text('[{"id": 1, "v": "a"}]')
+    assert [files.read_rows(spark, f"{tmp_path}/x.{e}").collect()[0].asDict() for e in ("csv", "json")] == [{"id": "1", "v": "a"}] * 2
+    manifest = files.contents(spark, f"{tmp_path}/x.*")
+    (tmp_path / "x.json").write_text('[{"id": 2, "v": "a"}]')
+    saved = spark.createDataFrame([(r["path"], r["size"], r["sha256"] if r["path"].endswith("csv") else "0") for r in manifest.collect()] + [("gone", 1, "x")], "path string, size long, sha256 string")
+    assert sorted(r["verdict"] for r in files.verified(spark, f"{tmp_path}/x.*", saved).collect()) == ["CHANGED", "MISSING", "OK"]
+    for v in ("1", "2", "2"):
+        files.write_snapshot(df, f"{tmp_path}/snap", v)
+    assert spark.read.parquet(f"{tmp_path}/snap").groupBy("snapshot_version").count().count() == 2
+    assert files.content_id(df, ["k", "s"]) == files.content_id(df.repartition(3).orderBy("k"), ["k", "s"]) != files.content_id(df, ["k"])
