@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -11,6 +10,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.closure import components
+from ledgerloom.sources.shared import shared_folder
+
+__all__ = ["components", "crc_mod", "lower_ascii", "shared_folder", "slices", "split_words", "table", "text_bytes", "written"]
+
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -25,15 +29,6 @@ def lower_ascii(col: Column) -> Column:
     return F.translate(col, ASCII_UPPER, ASCII_UPPER.lower())
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a temporary one only where none is set (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, and is computed once."""
     spark = df.sparkSession
@@ -67,28 +62,3 @@ def split_words(texts: pa.Array, lower: bool = True) -> tuple[pa.DictionaryArray
 def text_bytes(df: DataFrame, text_col: str = "text") -> int:
     """Total UTF-8 bytes of a text column (one aggregate)."""
     return df.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("n")).first()["n"]
-
-
-def components(edges: DataFrame, name: str = "links") -> DataFrame:
-    """(node, root) for every node of `edges` (a, b), root being the smallest node that links reach.
-
-    Large and small stars alternate until no edge changes; each round is a few groupings and joins over the edges, written
-    to the shared folder, so neither a node's links nor the links as a whole meet in one place.
-    """
-    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = written(edges, name)
-    seen = None
-    while True:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        small = small.select("b", "m").where("b <> m").union(least.select("a", "m")).toDF("a", "b").distinct()
-        edges = written(small, name)
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if now == seen:
-            break
-        seen = now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())

@@ -122,7 +122,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_w
 def _op2_sql() -> str:
     def form(t: str) -> str:
         out = f"translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-        out = f"trim(regexp_replace(regexp_replace({out}, '{licences.COPYRIGHT_LINE}', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'))"
+        title = licences.TITLE_LINE.replace("'", "''")
+        out = f"trim(regexp_replace(regexp_replace(regexp_replace({out}, '{title}', ' '), '{licences.COPYRIGHT_LINE}', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'))"
         for a, b in licences.SPELLINGS:
             out = f"replace({out}, '{a}', '{b}')"
         return out

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import pathlib
 import random
 
 import numpy as np
@@ -248,10 +249,29 @@ def test_rules_and_secrets(spark):
 
 
 def test_licences(spark):
-    mit = "Copyright (c) 2020 Someone\n" + licences.TEXTS["MIT"].upper().replace("SUBLICENSE", "sub-licence")
-    docs = spark.createDataFrame([(1, mit, "k", 1), (2, None, "k", 1), (3, "text\nReleased under the MIT Licence!", "k", 1)], SCHEMA)
-    found = {r["doc_id"]: (r["licence"], list(r["notices"])) for r in licences.scan(docs).collect()}
-    assert found == {1: ("MIT", []), 2: (None, []), 3: (None, ["MIT"])}
+    mit = "The MIT License (MIT)\n\nCopyright (c) 2020 Someone\n" + licences.TEXTS["MIT"].upper().replace("SUBLICENSE", "sub-licence")
+    isc = licences.TEXTS["ISC"].replace("that the above copyright", "that the above\ncopyright")  # the rest of a sentence, no copyright line
+    bsd = "BSD 3-Clause License\n\n© Someone\nAll rights reserved.\n" + licences.TEXTS["BSD-3-Clause"].replace("copyright holder ", "copyright owner ")
+    rows = [mit, None, "text\nReleased under the MIT Licence!\nLicensed under CC BY 4.0", isc, bsd, "", "Released under the MIT Licence!", licences.TEXTS["MIT"] + " and more"]
+    docs = spark.createDataFrame([(i, t, "k", 1) for i, t in enumerate(rows)] + [(None, mit, "k", 1)] * 2, SCHEMA)
+    found = sorted(((r["doc_id"], r["licence"], list(r["notices"])) for r in licences.scan(docs).collect()), key=str)
+    whole = {0: "MIT", 3: "ISC", 4: "BSD-3-Clause", 6: "MIT"}
+    assert found == sorted([(i, whole.get(i), {2: ["CC-BY-4.0", "MIT"], 6: ["MIT"]}.get(i, [])) for i in range(8)] + [(None, "MIT", [])] * 2, key=str)
+    nothing = licences.scan(docs, known=spark.createDataFrame([], "digest string, licence string")).collect()
+    assert len(nothing) == 10 and not any(r["licence"] or r["notices"] for r in nothing)
+    one = hashlib.sha256(licences.canonical_text("Licensed under CC BY 4.0").encode()).hexdigest()
+    own = licences.scan(docs, known=spark.createDataFrame([(one, "mine"), (one, "mine")], "digest string, licence string")).collect()
+    assert [(r["doc_id"], list(r["notices"])) for r in own if r["notices"]] == [(2, ["mine"])]
+
+
+def test_whole_licence_files(spark):
+    folder = pathlib.Path("/usr/share/common-licenses")
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0"}
+    files = [f for f in names if (folder / f).exists()]
+    if not files:
+        pytest.skip("no licence files here")
+    docs = spark.createDataFrame([(i, " \n".join((folder / f).read_text().upper().split("\n")), "k", 1) for i, f in enumerate(files)], SCHEMA)
+    assert {r["doc_id"]: r["licence"] for r in licences.scan(docs).collect()} == {i: names[f] for i, f in enumerate(files)}
 
 
 def symbols_of(text):
