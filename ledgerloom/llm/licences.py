@@ -163,4 +163,6 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id"
     asked = df.where("asked is not null").select("asked", F.explode("lines").alias("digest")).distinct()
     found = asked.join(known, "digest").groupBy("asked").agg(F.array_sort(F.collect_set("licence")).alias("notices"))
     none = F.array().cast("array<string>")
+    # Documents that ask nothing are dealt by their own hash, not all to one place.
+    df = df.withColumn("asked", F.coalesce("asked", F.concat(F.lit("-"), F.xxhash64("doc_id", "digest").cast("string"))))
     return df.join(found, "asked", "left").select("doc_id", "digest", "licence", F.coalesce("notices", none).alias("notices"))

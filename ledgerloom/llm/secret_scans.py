@@ -170,7 +170,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
     df = docs.select(
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("_t"),
-        F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_key"),
+        F.xxhash64(id_col, text_col).alias("_key"),  # rows of one key share a mask, which only says what to verify
         *[F.col(k).alias(f"_x_{k}") for k in keep],
     )
     df = df.join(candidates(df, rules).hint("shuffle_hash"), "_key", "left").withColumn("_mask", F.coalesce("_mask", F.lit(0)))
