@@ -127,8 +127,9 @@ def pack_histogram(counts: dict[int, int], size: int) -> list[tuple[int, int, in
                     heapq.heappush(free, (room, first + take, n - take))
                 room = -room
             else:
-                first, take, room = packs, left, size
-                packs += left
+                # New packs take several of a short length, or many documents of one length would each leave a pack almost empty.
+                first, take, room = packs, -(-left // (size // length)), size
+                packs += take
             runs.append((length, rank, first, size - room))
             if room > length:
                 heapq.heappush(free, (length - room, first, take))
