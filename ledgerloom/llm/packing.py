@@ -16,6 +16,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,46 +53,61 @@ class Encoder:
         raw = ids.tobytes()
         return [raw[s:e] for s, e in zip([0, *ends[:-1]], ends, strict=True)]
 
-    def tokens(self, words: list[str]) -> list[bytes]:
-        """The ids of each word. Only words without their full stop or comma are remembered."""
-        known, stops, marked = self.known, self.stops, bool(self.last.any())
+    def stems(self, words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Each word without its full stop or comma if what is left are letters (lower-cased if they are ASCII), which stop it had (0: none), and
+        whether letters are all it is."""
+        if not self.last.any():  # another kind of tokenizer
+            return words, np.zeros(len(words), np.int64), np.zeros(len(words), bool)
+        ends = pc.utf8_slice_codeunits(words, -1)
+        stop = pc.fill_null(pc.index_in(ends, pa.array(list(self.STOPS), words.type)), -1)
+        stem = pc.if_else(pc.greater_equal(stop, 0), pc.utf8_slice_codeunits(words, 0, -1), words)
+        # The lower-casing of letters beyond these isn't sure to be the tokenizer's.
+        letters = pc.and_(pc.utf8_is_alpha(stem), pc.match_substring_regex(stem, r"^[\x{00}-\x{24F}]*$"))
+        low = pc.if_else(pc.string_is_ascii(stem), pc.ascii_lower(stem), stem)
+        stops = np.where(letters.to_numpy(zero_copy_only=False), stop.to_numpy(zero_copy_only=False) + 1, 0)
+        return pc.if_else(letters, low, words), stops, letters.to_numpy(zero_copy_only=False)
+
+    def tokens(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after another, and how many each has. Only words without their full stop or comma are remembered."""
+        known = self.known
         if len(known) > self.held:
             known.clear()
-        keys, tails, plain, others = [], [], set(), set()
-        for w in words:
-            stem, stop = (w[:-1], w[-1]) if w and marked and w[-1] in stops else (w, "")
-            if stem.isascii() and stem.isalpha():
-                stem = stem.lower()
-            elif not (stem.isalpha() and max(stem) < "\u0250"):
-                stem, stop = w, ""
-                if w not in known:
-                    others.add(w)
-            if stem not in known and stem not in others:
-                plain.add(stem)
-            keys.append(stem)
-            tails.append(stops[stop])
-        for todo, run in ((list(plain), self.joined), (list(others), self.each)):
+        stem, stops, letters = self.stems(words)
+        coded = stem.dictionary_encode()
+        stem, index = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        plain = np.zeros(len(stem), bool)
+        plain[index] = letters
+        new = [w not in known for w in stem]
+        for run, of in ((self.joined, plain), (self.each, ~plain)):
+            todo = [w for w, n, p in zip(stem, new, of.tolist(), strict=True) if n and p]
             for i in range(0, len(todo), 2000):  # the tokenizer's own results are large
                 part = todo[i : i + 2000]
                 known.update(zip(part, run(part), strict=True))
-        return [known[k] + t for k, t in zip(keys, tails, strict=True)]
+        parts = [*map(known.__getitem__, stem), *(self.stops[s] for s in ("", *self.STOPS))]
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        flat = np.frombuffer(b"".join(parts), np.uint32)
+        # A word is its stem, then its stop.
+        return taken(flat, sizes, np.stack((index, len(stem) + stops), 1).ravel()), sizes[index] + sizes[len(stem) + stops]
 
     def ids(self, texts: pa.Array):
         """Yields the ids of each text, the end's included, as uint32."""
         coded, ends = split_words(texts, lower=False)
-        parts = self.tokens(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        flat = np.frombuffer(b"".join(parts), np.uint32)
-        begins = np.cumsum(sizes) - sizes
+        flat, sizes = self.tokens(coded.dictionary)
         index = coded.indices.to_numpy(zero_copy_only=False)
-        lengths = sizes[index]
-        places = np.cumsum(lengths) - lengths
-        ids = flat[np.arange(lengths.sum()) + np.repeat(begins[index] - places, lengths)]
-        bounds = np.concatenate((places, [len(ids)]))[ends]
+        ids = taken(flat, sizes, index)
+        bounds = np.concatenate(([0], np.cumsum(sizes[index])))[ends]
         for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             yield np.append(ids[s:e], np.uint32(self.end))
 
 
+def taken(flat: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """The lists of these sizes, laid end to end in `flat`, that `index` asks for, end to end."""
+    begins = np.cumsum(sizes) - sizes
+    lengths = sizes[index]
+    places = np.cumsum(lengths) - lengths
+    return flat[np.arange(lengths.sum()) + np.repeat(begins[index] - places, lengths)]
+
+
 def pieces(docs: DataFrame, path: str, size: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens of each piece."""
     df = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
