@@ -100,6 +100,16 @@ class Encoder:
             yield np.append(ids[s:e], np.uint32(self.end))
 
 
+_kept: list = []  # the arguments of this process's encoder, and the encoder
+
+
+def encoder_of(path: str, end_id: int) -> Encoder:
+    """The encoder that this Python worker keeps from task to task, with the words it knows (at most `held`, or so)."""
+    if not _kept or _kept[0] != (path, end_id):
+        _kept[:] = [(path, end_id), Encoder(path, end_id)]
+    return _kept[1]
+
+
 def taken(flat: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> np.ndarray:
     """The lists of these sizes, laid end to end in `flat`, that `index` asks for, end to end."""
     begins = np.cumsum(sizes) - sizes
@@ -114,7 +124,7 @@ def pieces(docs: DataFrame, path: str, size: int = 4096, end_id: int = 2, id_col
     names = ["start", "length", "ids_crc32", "doc_tokens"]
 
     def run(batches):
-        encoder = Encoder(path, end_id)
+        encoder = encoder_of(path, end_id)
         for whole in batches:
             for b in slices(whole, 1, 4 << 20):
                 rows = []
