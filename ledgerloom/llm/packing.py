@@ -77,13 +77,15 @@ class Encoder:
         stem, index = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
         plain = np.zeros(len(stem), bool)
         plain[index] = letters
-        new = [w not in known for w in stem]
+        parts = list(map(known.get, stem))
         for run, of in ((self.joined, plain), (self.each, ~plain)):
-            todo = [w for w, n, p in zip(stem, new, of.tolist(), strict=True) if n and p]
+            todo = [i for i in np.flatnonzero(of).tolist() if parts[i] is None]
             for i in range(0, len(todo), 2000):  # the tokenizer's own results are large
-                part = todo[i : i + 2000]
-                known.update(zip(part, run(part), strict=True))
-        parts = [*map(known.__getitem__, stem), *(self.stops[s] for s in ("", *self.STOPS))]
+                at = todo[i : i + 2000]
+                words = [stem[j] for j in at]
+                for j, w, ids in zip(at, words, run(words), strict=True):
+                    parts[j] = known[w] = ids
+        parts += [self.stops[s] for s in ("", *self.STOPS)]
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         flat = np.frombuffer(b"".join(parts), np.uint32)
         # A word is its stem, then its stop.
