@@ -11,6 +11,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 
+#: Parts of a scenario that move money, and those of them that take it out of the graph.
+MOVES, OUTWARD = ("transfer", "incoming", "gas", "outflow"), ("gas", "outflow")
 SCHEMA = "scenario string, target string, lower string, upper string, status string"
 
 
@@ -72,10 +74,12 @@ class Network:
         return total, cut
 
 
-def interval(seed: tuple[str, int], transfers: list[tuple[str, str, int]], balances: dict[str, int], target: str) -> tuple[int, int] | None:
-    """Least and greatest amount of the seed (account, amount) that enters target by the transfers (from, to, amount), which are
-    in order; None if some account spends more than it holds. The target keeps what it gets. An account without a
+def interval(seed: tuple[str, int], transfers: list[tuple[str | None, str | None, int]], balances: dict[str, int], target: str | frozenset[str]) -> tuple[int, int] | None:
+    """Least and greatest amount of the seed (account, amount) that enters target, or a set of targets together, by the transfers
+    (from, to, amount), which are in order; None if some account spends more than it holds. Money from nobody isn't the
+    seed's; money to nobody (gas, what leaves the graph) is gone. A target keeps what it gets. An account without a
     known balance holds an unknown amount before, which only widens the interval."""
+    targets = frozenset([target]) if isinstance(target, str) else target
     held = dict(balances)
     account, amount = seed
     if account in held:
@@ -94,7 +98,9 @@ def interval(seed: tuple[str, int], transfers: list[tuple[str, str, int]], balan
         net.arc("source", (account, 0), amount)
         holding = {account: balances.get(account, 0) + amount} if account in balances else {}
         for a, b, n in transfers:
-            if a == target or a == b:
+            if a is None and b in balances:
+                holding[b] = holding.get(b, balances[b]) + n
+            if a is None or a in targets or a == b:
                 continue
             # Each event of an account is a node of its own; what is not spent is carried to the next.
             here = (a, step.get(a, 0))
@@ -105,40 +111,60 @@ def interval(seed: tuple[str, int], transfers: list[tuple[str, str, int]], balan
                 holding[a] = holding.get(a, balances[a]) - n
                 carried = min(amount, holding[a])
             net.arc(here, later, carried)
-            net.arc(here, (b, step.get(b, 0)) if b != target else "target", n)
+            net.arc(here, "rest" if b is None else "target" if b in targets else (b, step.get(b, 0)), n)
             if b in balances:
                 holding[b] = holding.get(b, balances[b]) + n
-        for a in {account, *(x for t in transfers for x in t[:2])} - {target}:
+        for a in {account, *(x for t in transfers for x in t[:2])} - targets - {None}:
             net.arc((a, step.get(a, 0)), "rest", amount)
         flow, cut = net.most("source", "target" if wanted else "rest")
         if flow != cut:
             raise ArithmeticError("a flow without the cut that certifies it")
         return flow
 
-    if account == target:
+    if account in targets:
         return amount, amount
     return amount - most(False), most(True)
 
 
 def intervals(scenarios: DataFrame) -> DataFrame:
-    """scenario, target, lower, upper, status (OPTIMAL, OVERSPENT, NO_SINGLE_SEED) of every scenario and target.
+    """scenario, target, lower, upper, status (OPTIMAL, OVERSPENT, TARGET_SPENDS, NO_SINGLE_SEED) of every scenario and target.
 
-    Rows of `scenarios`: scenario, part (seed, transfer, balance, target), ord, sender, recipient, amount (decimal text, of
-    any length). Amounts stay text outside, as they may exceed every number type."""
+    Rows of `scenarios`: scenario, part (seed; transfer, incoming from outside, gas, outflow to outside; balance; target; group),
+    ord, sender, recipient, amount (decimal text, of any length). A group (named by sender) is a set of recipients that are targets
+    together. It is solved first: where it gets nothing, none of its members does. Amounts stay text outside, as
+    they may exceed every number type."""
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ord", kind="stable")
-        part = {p: list(zip(g["sender"], g["recipient"], g["amount"], strict=True)) for p, g in rows.groupby("part")}
-        name, seeds = rows["scenario"].iloc[0], part.get("seed", [])
-        moves = [(a, b, int(n)) for a, b, n in part.get("transfer", [])]
-        balances = {b: int(n) for _, b, n in part.get("balance", [])}
-        out = []
-        for _, target, _ in part.get("target", []):
+        cells = list(zip(rows["part"], rows["sender"], rows["recipient"], rows["amount"], strict=True))
+        name, seeds = rows["scenario"].iloc[0], [(b, int(n)) for part, _, b, n in cells if part == "seed"]
+        moves = [(None if part == "incoming" else a, None if part in OUTWARD else b, int(n)) for part, a, b, n in cells if part in MOVES]
+        balances = {b: int(n) for part, _, b, n in cells if part == "balance"}
+        groups: dict[str, set[str]] = {}
+        for part, a, b, _ in cells:
+            if part == "group":
+                groups.setdefault(a, set()).add(b)
+        spenders, out, nothing = {a for a, _, _ in moves}, [], set()
+
+        def solved(target: str, members: frozenset[str]) -> None:
+            status, found = "OPTIMAL", None
             if len(seeds) != 1:
-                out.append((name, target, None, None, "NO_SINGLE_SEED"))
-                continue
-            found = interval((seeds[0][1], int(seeds[0][2])), moves, balances, target)
-            out.append((name, target, *(map(str, found) if found else (None, None)), "OPTIMAL" if found else "OVERSPENT"))
+                status = "NO_SINGLE_SEED"
+            elif members & spenders:
+                status = "TARGET_SPENDS"
+            elif members <= nothing:
+                found = 0, 0
+            elif (found := interval(seeds[0], moves, balances, members)) is None:
+                status = "OVERSPENT"
+            elif found[1] == 0:
+                nothing.update(members)
+            out.append((name, target, *(map(str, found) if found else (None, None)), status))
+
+        for group, members in groups.items():
+            solved(group, frozenset(members))
+        for part, _, b, _ in cells:
+            if part == "target":
+                solved(b, frozenset([b]))
         return pd.DataFrame(out, columns=["scenario", "target", "lower", "upper", "status"])
 
     return scenarios.groupBy("scenario").applyInPandas(solve, SCHEMA)

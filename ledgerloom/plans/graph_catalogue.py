@@ -125,9 +125,9 @@ def text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_compact(F.array(*hits))).alias("rule"))
 
 
-def amount_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How much of each query's amount reaches the services its collection finds. An account's balance before is what it spends in its
-    scenario, so nobody overspends. Beyond SQL; tested against enumeration."""
+def _scenarios(spark: SparkSession, sf_dir: str, target: str) -> DataFrame:
+    """Each query's amount and transfers, with the services its collection finds as targets or as a group. An account's balance before
+    is what it spends in its scenario, so nobody overspends."""
     states = collect_catalogue.collected(spark, sf_dir)[0]
     moves = graph.ordinals(states.where("level > 0").dropDuplicates(["query_id", "event_id"]), ["query_id"])
     moves = moves.select(F.col("query_id").cast("string").alias("scenario"), "ord", F.col("sender").cast("string"), F.col("recipient").cast("string"), "amount_raw", "stop")
@@ -138,18 +138,28 @@ def amount_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
         row("seed", seed, F.col("sender"), F.col("recipient"), F.col("amount_raw"), F.lit(-1)),
         row("transfer", moves, F.col("sender"), F.col("recipient"), F.col("amount_raw"), F.col("ord")),
         row("balance", moves.groupBy("scenario", "sender").agg(F.sum("amount_raw").alias("n")), none, F.col("sender"), F.col("n"), F.lit(0)),
-        row("target", moves.where("stop = 'FIRST_IDENTIFIED_SERVICE'").select("scenario", "recipient").distinct(), none, F.col("recipient"), none, F.lit(0)),
+        row(target, moves.where("stop = 'FIRST_IDENTIFIED_SERVICE'").select("scenario", "recipient").distinct(), F.lit("services"), F.col("recipient"), none, F.lit(0)),
     ]
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.union(p)
-    return amounts.intervals(rows)
+    return rows
+
+
+def amount_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each query's amount reaches each service its collection finds. Beyond SQL; tested against enumeration."""
+    return amounts.intervals(_scenarios(spark, sf_dir, "target"))
+
+
+def amount_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of it reaches all these services together. Beyond SQL; tested against enumeration."""
+    return amounts.intervals(_scenarios(spark, sf_dir, "group"))
 
 
 def queries() -> dict:
     found = (
         trace_stops, trace_metrics, next_frontier, objective_groups, fixed_graph_events, ambiguous_tx, unresolved_pairs, status_ladder, witness_replay,
-        ledger_admission, receipt_multiplicity, relation_delta, affected_queries, fact_provenance, text_rules, amount_intervals,
+        ledger_admission, receipt_multiplicity, relation_delta, affected_queries, fact_provenance, text_rules, amount_intervals, amount_groups,
     )
     return {f.__name__: f for f in found}
 

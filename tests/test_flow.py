@@ -52,16 +52,17 @@ def shares(seed, transfers, balances, target):
     """Every amount of the seed that can enter the target, by trying all whole shares of all transfers."""
     account, amount = seed
     out = set()
-    for part in itertools.product(*[range(n + 1) for _, _, n in transfers]):
+    for part in itertools.product(*[range(n + 1 if a else 1) for a, _, n in transfers]):
         held, mine = dict(balances), {account: amount}
         held[account] = held.get(account, 0) + amount
         fits, got = True, 0
         for (a, b, n), x in zip(transfers, part, strict=True):
-            held[a], mine[a] = held.get(a, 0) - n, mine.get(a, 0) - x
-            fits = fits and held[a] >= 0 <= mine[a] <= held[a]
-            if b == target:
+            if a:
+                held[a], mine[a] = held.get(a, 0) - n, mine.get(a, 0) - x
+                fits = fits and held[a] >= 0 <= mine[a] <= held[a]
+            if b and b in target:
                 got += x
-            else:
+            elif b:
                 held[b], mine[b] = held.get(b, 0) + n, mine.get(b, 0) + x
         if fits:
             out.add(got)
@@ -84,11 +85,34 @@ def test_intervals_equal_enumeration():
     assert solved > 50
 
 
+def test_intervals_of_groups_with_gas_and_money_from_outside():
+    assert amounts.interval(("A", 50), [(None, "A", 100), ("A", "T", 120)], {"A": 0}, "T") == (20, 50)
+    assert amounts.interval(("A", 50), [(None, "A", 100), ("A", None, 120), ("A", "T", 30)], {"A": 0}, "T") == (0, 30)
+    r = random.Random(4)
+    solved = 0
+    for _ in range(400):
+        transfers = [(a, b, r.randrange(1, 4)) for a, b in (r.choice([(x, y) for x in ("A", "B", None) for y in ("A", "B", "T", "U", None) if x != y]) for _ in range(5))]
+        balances = {a: r.randrange(4) for a in "ABTU"}
+        found = amounts.interval(("A", 3), transfers, balances, frozenset("TU"))
+        tried = shares(("A", 3), transfers, balances, "TU")
+        assert (found is None) == (not tried)
+        if tried:
+            solved += 1
+            assert found == (min(tried), max(tried))
+    assert solved > 50
+
+
 def test_interval_rows(spark):
     big = str(10**40)
     data = [("s", "seed", -1, "X", "A", big), ("s", "transfer", 0, "A", "T", big), ("s", "balance", 0, None, "A", "0"), ("s", "target", 0, None, "T", None), ("n", "target", 0, None, "T", None)]
+    data += [("g", "seed", -1, "X", "A", "5"), ("g", "incoming", 0, None, "A", "9"), ("g", "gas", 1, "A", None, "2"), ("g", "transfer", 2, "A", "T", "11"), ("g", "outflow", 3, "A", None, "1"), ("g", "balance", 0, None, "A", "0")]
+    data += [("g", "group", 0, x, b, None) for x, b in (("both", "T"), ("both", "U"), ("none", "U"), ("payer", "A"))] + [("g", "target", 0, None, b, None) for b in "TU"]
     found = {tuple(r) for r in amounts.intervals(spark.createDataFrame(data, "scenario string, part string, ord long, sender string, recipient string, amount string")).collect()}
-    assert found == {("s", "T", big, big, "OPTIMAL"), ("n", "T", None, None, "NO_SINGLE_SEED")}
+    wanted = {("s", "T", big, big, "OPTIMAL"), ("n", "T", None, None, "NO_SINGLE_SEED"), ("g", "both", "2", "5", "OPTIMAL"), ("g", "none", "0", "0", "OPTIMAL")}
+    assert found == wanted | {("g", "payer", None, None, "TARGET_SPENDS"), ("g", "T", "2", "5", "OPTIMAL"), ("g", "U", "0", "0", "OPTIMAL")}
+    groups = {r["scenario"]: (int(r["lower"]), int(r["upper"])) for r in graph_catalogue.amount_groups(spark, "/root/testdata/sf0.001").collect()}
+    each = [r for r in graph_catalogue.amount_intervals(spark, "/root/testdata/sf0.001").collect()]
+    assert {r["scenario"] for r in each} == set(groups) and all(int(r["upper"]) <= groups[r["scenario"]][1] for r in each)
     assert {r["status"] for r in graph_catalogue.amount_intervals(spark, "/root/testdata/sf0.01").collect()} <= {"OPTIMAL"}
 
 
