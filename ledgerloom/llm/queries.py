@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chaining, decontaminate, licences, packing, quality_rules, repeats, secret_scans, simhash, suffix_tree, toxicity
+from . import chaining, decontaminate, hard_negatives, licences, packing, quality_rules, repeats, secret_scans, simhash, suffix_tree, topk, toxicity
 from .common import table
 
 #: The tokenizer of the packing query; a path, or the name of a file of the public_tokenizers package.
@@ -85,8 +85,17 @@ def op10_fuzzy_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "n_copies", "n_links", "n_shared", F.size("spans").cast("long").alias("n_spans"), F.array_join(spans, ",").alias("spans"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec, label = F.col("vec_id"), F.col("label").cast("long")
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.when(vec % 7 == 0, (label + 1) % 10).otherwise(label), vec % 100 == 0)
+
+
+def op13_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_licences, op3_secret_scans, op4_substring_repeats, op5_lm_scoring, op6_decontamination, op7_packing, op8_simhash, op9_toxicity, op10_fuzzy_passages)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_licences, op3_secret_scans, op4_substring_repeats, op5_lm_scoring, op6_decontamination, op7_packing, op8_simhash, op9_toxicity, op10_fuzzy_passages, op12_hard_negatives, op13_top_k)}
 
 
 def _op1_sql() -> str:
@@ -178,5 +187,31 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)"""
 
 
+def _vectors(scale: int, where: str) -> str:
+    """Rows that take part, their components scaled."""
+    return f"""SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: floor({scale} * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0{where}"""
+
+
+def _op12_sql() -> str:
+    return f"""
+WITH e AS ({_vectors(256, " AND label IS NOT NULL")}),
+c AS (SELECT r, vec_id, v, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label FROM e),
+s AS (SELECT a.r, a.vec_id AS anchor_id, c.vec_id AS other, a.label = c.label AS same, CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+  FROM c AS a JOIN c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT r, anchor_id, other AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY r ORDER BY score DESC, other) AS place FROM s WHERE same),
+n AS (SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.r, place ORDER BY score DESC, other) AS INTEGER) AS rank, other AS negative_id, positive_score, score AS negative_score
+  FROM p JOIN s ON p.r = s.r WHERE place <= 5 AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT * FROM n WHERE rank <= 10"""
+
+
+def _op13_sql() -> str:
+    return f"""
+WITH e AS ({_vectors(64, "")}),
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM e AS q JOIN e AS c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+k AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT * FROM k WHERE rank <= 20"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": _op1_sql(), "op2_licences": _op2_sql(), "op3_secret_scans": _op3_sql(), "op6_decontamination": _op6_sql()}
+    return {"op1_quality_rules": _op1_sql(), "op2_licences": _op2_sql(), "op3_secret_scans": _op3_sql(), "op6_decontamination": _op6_sql(), "op12_hard_negatives": _op12_sql(), "op13_top_k": _op13_sql()}
