@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chaining, decontaminate, hard_negatives, licences, packing, quality_rules, repeats, secret_scans, simhash, suffix_tree, topk, toxicity
+from . import alignment, chaining, decontaminate, hard_negatives, licences, packing, quality_rules, repeats, secret_scans, simhash, suffix_tree, topk, toxicity
 from .common import table
 
 #: The tokenizer of the packing query; a path, or the name of a file of the public_tokenizers package.
 TOKENIZER = "word_bpe_49k.json"
 
+#: The two tokenizers of the alignment query.
+ALIGNED = ("byte_bpe_50k.json", "piece_bpe_32k.model")
+
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
     if "/" in name:
@@ -85,6 +88,10 @@ def op10_fuzzy_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "n_copies", "n_links", "n_shared", F.size("spans").cast("long").alias("n_spans"), F.array_join(spans, ",").alias("spans"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), *map(tokenizer_path, ALIGNED))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vec, label = F.col("vec_id"), F.col("label").cast("long")
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.when(vec % 7 == 0, (label + 1) % 10).otherwise(label), vec % 100 == 0)
@@ -95,7 +102,7 @@ def op13_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_licences, op3_secret_scans, op4_substring_repeats, op5_lm_scoring, op6_decontamination, op7_packing, op8_simhash, op9_toxicity, op10_fuzzy_passages, op12_hard_negatives, op13_top_k)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_licences, op3_secret_scans, op4_substring_repeats, op5_lm_scoring, op6_decontamination, op7_packing, op8_simhash, op9_toxicity, op10_fuzzy_passages, op11_alignment, op12_hard_negatives, op13_top_k)}
 
 
 def _op1_sql() -> str:
