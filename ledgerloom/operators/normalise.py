@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import wide
+
 RANK = {"top": 0, "internal": 1, "erc20": 2}
 
 
@@ -18,9 +20,12 @@ def exact_integer(value: Column) -> Column:
     return F.when(value.rlike("^[0-9]+$"), F.regexp_replace(value, "^0+(?=[0-9])", ""))
 
 
-def hex_or_decimal(value: Column) -> Column:
-    """A number of at most 15 hexadecimal digits after 0x, or decimal digits, as a long; null else."""
-    return F.when(value.rlike("^0x[0-9a-fA-F]{1,15}$"), F.conv(F.substring(value, 3, 15), 16, 10).cast("long")).when(value.rlike("^[0-9]{1,18}$"), value.try_cast("long"))
+def whole(value: Column) -> Column:
+    """The decimal digits of a whole number of any length, written in decimal (white space and a plus around it do no harm) or in hexadecimal after
+    0x; null else, and below zero."""
+    plain = F.regexp_extract(value, r"^\s*(?:\+?0*|-0*(?=0\s*$))([0-9]+)\s*$", 1)
+    hexed = F.regexp_extract(value, "^0x([0-9a-fA-F]+)$", 1)
+    return F.coalesce(F.nullif(plain, F.lit("")), wide.text(wide.hexadecimal(F.nullif(hexed, F.lit("")))))
 
 
 def seconds(value: Column) -> Column:
@@ -54,7 +59,7 @@ def normalised(rows: DataFrame) -> DataFrame:
             "log": exact_integer(c("log_index")),
             "trace": trace_path(c("trace_address")),
             "token": exact_hex(c("contract"), 20),
-            "gas": F.when(c("kind") == "top", exact_integer(c("gas_used")).try_cast("decimal(38,0)") * exact_integer(c("gas_price")).try_cast("decimal(18,0)")).cast("decimal(38,0)"),
+            "gas": F.when(c("kind") == "top", wide.text(wide.multiply(wide.decimal(exact_integer(c("gas_used"))), wide.decimal(exact_integer(c("gas_price")))))),
         }
     )
     gap = (
@@ -73,14 +78,43 @@ def normalised(rows: DataFrame) -> DataFrame:
     return df.withColumns({"gap": gap, "key": key, "asset": asset, "event_id": F.concat(F.lit("eip155:1:tx:"), c("tx"), F.lit(":"), F.element_at(F.split(key, r"\|"), 3))})
 
 
+# Why a row of an account list is no event.
+NO_IDENTITY, NO_STATUS, FAILED = "EVENT_IDENTITY_UNRESOLVED", "INTERNAL_STATUS_UNRESOLVED", "NORMALIZATION_FAILED"
+#: The kind of each account list.
+LISTS = {"txlist": "top", "txlistinternal": "internal", "tokentx": "erc20"}
+
+
 def listed(action: str, rows: DataFrame, positions: DataFrame) -> DataFrame:
-    """Rows of one account list (normal, internal or token) with gap, status and tx_index. An internal row needs its trace id, a token row its log
-    index; a status that is missing stays unknown; indexes come from the table of positions (tx_hash, tx_index)."""
-    c = F.col
-    df = rows.join(positions, "tx_hash", "left")
+    """Rows of one account list (see LISTS) as events, or with gap, the reason that keeps them from it. All columns are raw text, null where the
+    row lacks them: row_id, tx_hash, tx_index, is_error, receipt_status, gas_used, gas_price, trace_id, log_index, contract, sender, recipient,
+    value, block, time. Numbers may be hexadecimal and of any length; an empty one is unknown, one that can't be read fails the row, in the
+    order in which a row is read. Indexes that a row lacks come from positions (tx_hash, tx_index)."""
+    c, kind = F.col, LISTS[action]
+    given = lambda name: c(name).isNotNull() & (c(name) != "")
+    wrong = lambda when: F.when(F.coalesce(when, F.lit(False)), FAILED)
+    numbers = ["tx_index", "value", "block", "time", *{"top": ["gas_used", "gas_price"], "internal": [], "erc20": ["log_index"]}[kind]]
+    index = positions.select(F.col("tx_hash").alias("_tx"), F.col("tx_index").cast("long").alias("_index"))
+    df = rows.withColumns({"tx": F.lower("tx_hash"), "value": F.coalesce("value", F.lit("0")), **{f"n_{n}": whole(F.coalesce(c(n), F.lit("0")) if n == "value" else c(n)) for n in numbers}, "path": trace_path(c("trace_id"))})
+    df = df.join(index, F.col("tx") == F.col("_tx"), "left")
+    unread = lambda name: given(name) & c(f"n_{name}").isNull()
     failed = (F.coalesce(c("is_error"), F.lit("0")) != "0") | (F.coalesce(c("receipt_status"), F.lit("1")) == "0")
-    known = c("is_error").isNotNull() | c("receipt_status").isNotNull()
-    need = {"internal": F.when(c("trace_id").isNull(), "MISSING_TRACE_ID"), "token": F.when(hex_or_decimal(c("log_index")).isNull(), "MISSING_LOG_INDEX")}
-    gap = need.get(action, F.lit(None).cast("string"))
-    gap = F.coalesce(gap, F.when(~known, "MISSING_STATUS"), F.when(hex_or_decimal(c("value")).isNull(), "VALUE"))
-    return df.select(F.lit(action).alias("action"), "row_id", gap.alias("gap"), F.when(known, ~failed).alias("success"), "tx_index", hex_or_decimal(c("value")).alias("value"))
+    first = wrong(c("tx").isNull() | ~c("tx").startswith("0x") | (F.length("tx") != 66) | unread("tx_index"))
+    to = F.when(given("recipient"), c("recipient")).otherwise(F.coalesce("contract", F.lit("")))
+    last = unread("value") | c("block").isNull() | unread("block") | c("time").isNull() | unread("time") | (F.length(F.coalesce("sender", F.lit(""))) != 42) | (F.length(to) != 42)
+    asset, gas, log, place = F.lit("native:eip155:1"), F.lit(None).cast("string"), F.lit(None).cast("long"), F.lit("top")
+    if kind == "top":
+        has_gas = given("gas_used") & given("gas_price")
+        own = wrong(has_gas & (unread("gas_used") | unread("gas_price")))
+        gas = F.when(has_gas, wide.text(wide.multiply(wide.decimal(c("n_gas_used")), wide.decimal(c("n_gas_price")))))
+    elif kind == "internal":
+        own = F.when(c("trace_id").isNull(), NO_IDENTITY).when(c("is_error").isNull(), NO_STATUS)
+        last, place = last | c("path").isNull(), F.concat(F.lit("trace:"), c("trace_id"))
+    else:
+        own = F.coalesce(wrong(unread("log_index")), F.when(~given("log_index"), NO_IDENTITY), wrong(F.coalesce(F.length("contract"), F.lit(0)) != 42))
+        own = F.coalesce(F.when(c("log_index").isNull(), NO_IDENTITY), own)
+        asset, log, place = F.concat(F.lit("erc20:eip155:1:"), F.lower("contract")), c("n_log_index").try_cast("long"), F.concat(F.lit("log:"), c("n_log_index"))
+    return df.select(
+        F.lit(action).alias("action"), "row_id", F.coalesce(first, own, wrong(last)).alias("gap"), F.lower(F.concat(F.lit("eip155:1:tx:"), c("tx"), F.lit(":"), place)).alias("event_id"), F.lit(kind).alias("kind"), "tx",
+        F.lower("sender").alias("sender"), F.lower(to).alias("recipient"), asset.alias("asset"), c("n_value").alias("amount"), c("n_block").try_cast("long").alias("block"),
+        F.coalesce(c("n_tx_index").try_cast("long"), "_index").alias("tx_index"), c("n_time").try_cast("long").alias("tsec"), log.alias("log"), F.when(F.lit(kind == "internal"), c("path")).alias("trace"), (~failed).alias("success"), gas.alias("gas"),
+    )

@@ -36,11 +36,11 @@ def admission(e, a, local_end: Column, after: Column) -> Column:
 
 
 def amount_status(value: Column) -> Column:
-    text = F.trim(value)
+    """Of an amount as text: digits with a sign or without, and nothing around them."""
     return (
-        F.when(value.isNull() | (text == ""), "MISSING")
-        .when(~text.rlike("^[+-]?[0-9]+$"), "INVALID")
-        .when(~text.rlike("[1-9]"), "ZERO")
-        .when(text.startswith("-"), "NEGATIVE")
+        F.when(value.isNull() | (value == ""), "MISSING")
+        .when(~value.rlike(r"^[+-]?[0-9]+\z"), "INVALID")
+        .when(~value.rlike("[1-9]"), "ZERO")
+        .when(value.startswith("-"), "NEGATIVE")
         .otherwise("POSITIVE")
     )

@@ -53,7 +53,7 @@ def admission_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def amount_status_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.expr("CASE event_id % 5 WHEN 0 THEN cast(cast(value AS bigint) AS string) WHEN 1 THEN '-' || cast(event_id AS string) WHEN 2 THEN '000' WHEN 3 THEN cast(event_id AS string) || 'x' END")
+    text = F.expr("CASE event_id % 5 WHEN 0 THEN cast(cast(value AS bigint) AS string) WHEN 1 THEN '-' || cast(event_id AS string) WHEN 2 THEN '000' WHEN 3 THEN element_at(array(' 5 ', '   ', '+7', '12x', '', '5 '), cast(event_id div 5 % 6 + 1 AS int)) END")
     return read(spark, sf_dir, "events").select(text.alias("v")).groupBy(order.amount_status(F.col("v")).alias("status")).agg(F.count("*").alias("n"))
 
 
@@ -164,8 +164,8 @@ def oracle_sql() -> dict[str, str]:
         "admission_reasons": f"""{t} SELECT CASE WHEN NOT e.success THEN 'FAILED' WHEN e.amount_raw = 0 THEN 'ZERO' WHEN e.asset <> a.asset THEN 'OTHER_ASSET' WHEN e.sender <> a.recipient THEN 'INFLOW'
   WHEN e.recipient = a.recipient THEN 'SELF' WHEN e.tsec < a.tsec OR e.tsec > a.tsec + {WINDOW} THEN 'OUTSIDE' WHEN ({_AFTER}) IS NULL THEN 'ORDER_UNRESOLVED' WHEN NOT ({_AFTER}) THEN 'NOT_AFTER' ELSE 'CANDIDATE' END AS reason,
   count(*) AS n, CAST(sum(e.event_id) AS BIGINT) AS ids FROM transfers e JOIN transfers a ON (e.sender = a.recipient OR e.recipient = a.recipient) AND abs(e.tsec - a.tsec) <= {WINDOW} GROUP BY 1""",
-        "amount_status_hist": """WITH v AS (SELECT CASE event_id % 5 WHEN 0 THEN CAST(CAST(trunc(value) AS BIGINT) AS VARCHAR) WHEN 1 THEN '-' || event_id WHEN 2 THEN '000' WHEN 3 THEN event_id || 'x' END AS v FROM events)
-SELECT CASE WHEN v IS NULL OR trim(v) = '' THEN 'MISSING' WHEN NOT regexp_full_match(trim(v), '[+-]?[0-9]+') THEN 'INVALID' WHEN NOT regexp_matches(v, '[1-9]') THEN 'ZERO' WHEN trim(v) LIKE '-%' THEN 'NEGATIVE' ELSE 'POSITIVE' END AS status, count(*) AS n FROM v GROUP BY 1""",
+        "amount_status_hist": """WITH v AS (SELECT CASE event_id % 5 WHEN 0 THEN CAST(CAST(trunc(value) AS BIGINT) AS VARCHAR) WHEN 1 THEN '-' || event_id WHEN 2 THEN '000' WHEN 3 THEN [' 5 ', '   ', '+7', '12x', '', '5 '][event_id // 5 % 6 + 1] END AS v FROM events)
+SELECT CASE WHEN v IS NULL OR v = '' THEN 'MISSING' WHEN NOT regexp_full_match(v, '[+-]?[0-9]+') THEN 'INVALID' WHEN NOT regexp_matches(v, '[1-9]') THEN 'ZERO' WHEN v LIKE '-%' THEN 'NEGATIVE' ELSE 'POSITIVE' END AS status, count(*) AS n FROM v GROUP BY 1""",
         "trace_frontier": f"""WITH RECURSIVE {TRANSFERS_SQL}, s AS (SELECT * FROM transfers WHERE success AND sender <> recipient AND amount_raw > 0 ORDER BY event_id LIMIT {SEEDS}),
 r AS (SELECT 0 AS level, event_id FROM s UNION SELECT r.level + 1, e.event_id FROM r JOIN transfers a ON a.event_id = r.event_id JOIN transfers e ON e.sender = a.recipient AND e.asset = a.asset
   WHERE r.level < {DEPTH} AND a.recipient % 10 <> 3 AND e.tsec BETWEEN a.tsec AND a.tsec + {WINDOW} AND e.block >= a.block AND e.success AND e.amount_raw > 0 AND e.recipient <> a.recipient AND ({_AFTER}) IS TRUE)

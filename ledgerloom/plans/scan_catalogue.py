@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import normalise, scan
+from ledgerloom.operators import normalise, scan, wide
 from ledgerloom.sources import warehouse
 from ledgerloom.sources.derived import read
 from ledgerloom.sources.warehouse import GENESIS, STEP, WAREHOUSE_SQL
@@ -94,21 +94,52 @@ def normalize_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row_id", "event_id", "key", "asset", "amount", F.col("at_block").alias("block"), F.col("gas").cast("string").alias("gas"))
 
 
-def account_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three lists of an account source: gaps, status and values in hexadecimal or decimal, by action."""
-    key, part, line = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_linenumber")
-    rows = read(spark, sf_dir, "lineitem").select(
-        (key * 100 + line).alias("row_id"), key.alias("tx_hash"), "l_linenumber",
+def _account_rows(spark: SparkSession, sf_dir: str, action: str) -> DataFrame:
+    """Line items as rows of one account list: amounts of up to 78 digits or 64 hexadecimal ones, and faults of every kind."""
+    key, part, line = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_numbered")
+    text = lambda c: c.cast("string")
+    hexed = lambda c, n: F.concat(F.lit("0x"), F.lpad(F.hex(c), n, "0"))
+    rows = read(spark, sf_dir, "lineitem").withColumn("l_numbered", F.col("l_linenumber").cast("long"))
+    value = (
+        F.when(part % 19 == 0, F.element_at(F.array(*map(F.lit, ("x", "-3", "1.5", "", " 12 ", "+4", "0x"))), (key % 7 + 1).cast("int")))
+        .when(part % 23 != 0, F.when(part % 2 == 0, F.concat(F.lit("0x"), F.lower(F.hex(part)), F.repeat(F.lit("0"), (part % 58).cast("int")))).otherwise(F.concat(text(part), F.repeat(F.lit("0"), (part % 72).cast("int")))))
+    )
+    rows = rows.select(
+        (key * 100 + line).alias("row_id"), F.when(part % 37 == 0, F.lit("0x12")).otherwise(hexed(key, 64)).alias("tx_hash"), F.when(part % 5 == 0, text(key % 4)).alias("tx_index"),
         F.when(part % 7 != 0, F.when(part % 5 == 0, "1").otherwise("0")).alias("is_error"), F.when(part % 3 != 0, F.when(part % 11 == 0, "0").otherwise("1")).alias("receipt_status"),
-        F.when(part % 13 != 0, F.concat(F.lit("0_"), line.cast("string"))).alias("trace_id"), F.when(part % 17 != 0, F.concat(F.lit("0x"), F.hex(line * 10))).alias("log_index"),
-        F.when(part % 2 == 0, F.concat(F.lit("0x"), F.lower(F.hex(part)))).when(part % 19 == 0, "x").otherwise(part.cast("string")).alias("value"),
+        F.when(part % 13 == 0, "").otherwise(F.concat(F.lit("0x"), F.hex(part))).alias("gas_used"), F.concat(text(line), F.repeat(F.lit("0"), (part % 40).cast("int"))).alias("gas_price"),
+        F.when(part % 13 != 0, F.concat(F.lit("0_"), text(line))).alias("trace_id"), F.when(part % 17 != 0, F.concat(F.lit("0x"), F.hex(line * 10))).alias("log_index"),
+        F.when(part % 29 == 0, F.lit("0x1")).otherwise(hexed(part % 3, 40)).alias("contract"), hexed(F.col("l_suppkey"), 40).alias("sender"), F.when(part % 31 != 0, hexed(part, 40)).alias("recipient"), value.alias("value"),
+        F.when(part % 41 != 0, text(F.floor(key / 4))).alias("block"), text(key).alias("time"), "l_numbered",
     )
-    positions = read(spark, sf_dir, "orders").where("o_orderkey % 9 <> 0").select(F.col("o_orderkey").alias("tx_hash"), (F.col("o_orderkey") % 4).alias("tx_index"))
-    parts = [normalise.listed(a, rows.where(w), positions) for a, w in (("normal", "l_linenumber = 1"), ("internal", "l_linenumber in (2, 3)"), ("token", "l_linenumber > 3"))]
-    found = parts[0].union(parts[1]).union(parts[2])
-    return found.groupBy("action", F.coalesce("gap", F.lit("EVENT")).alias("gap"), F.coalesce(F.col("success").cast("string"), F.lit("unknown")).alias("success")).agg(
-        F.count("*").alias("n"), F.count("tx_index").alias("placed"), F.coalesce(F.sum("value"), F.lit(0)).alias("amount")
-    )
+    return rows.where({"txlist": "l_numbered = 1", "txlistinternal": "l_numbered in (2, 3)", "tokentx": "l_numbered > 3"}[action])
+
+
+def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    positions = read(spark, sf_dir, "orders").where(key % 9 != 0).select(F.concat(F.lit("0x"), F.lower(F.lpad(F.hex(key), 64, "0"))).alias("tx_hash"), (key % 4).alias("tx_index"))
+    parts = [normalise.listed(a, _account_rows(spark, sf_dir, a), positions) for a in normalise.LISTS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def account_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of the three account lists, amounts and gas of any length as exact text."""
+    return _listed(spark, sf_dir).where("gap is null").drop("gap")
+
+
+def account_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three lists of an account source by action, gap and success: rows, those with an index, and their exact total."""
+    found = _listed(spark, sf_dir).withColumn("wide", wide.decimal(F.col("amount")))
+    by = found.groupBy("action", F.coalesce("gap", F.lit("EVENT")).alias("gap"), "success")
+    return by.agg(F.count("*").alias("n"), F.count("tx_index").alias("placed"), wide.text(wide.total(F.col("wide"))).alias("amount"))
+
+
+def amount_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per sender: exact sum, least and greatest amount, and dearest gas of its account rows."""
+    found = _listed(spark, sf_dir).where("gap is null").select("sender", wide.decimal(F.col("amount")).alias("a"), wide.decimal(F.col("gas")).alias("g"))
+    least, most, gas = F.min(wide.order(F.col("a"))), F.max(wide.order(F.col("a"))), F.max(wide.order(F.col("g")))
+    digits = lambda x: wide.text(F.reverse(x["limbs"]))
+    return found.groupBy("sender").agg(wide.text(wide.total(F.col("a"))).alias("total"), digits(least).alias("least"), digits(most).alias("most"), digits(gas).alias("gas"))
 
 
 def times_and_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +152,7 @@ def times_and_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (interval_scan_kinds, interval_by_date, interval_batch_tagged, interval_rows, served_intervals, normalize_gaps, normalize_events, account_lists, times_and_ids)
+    found = (interval_scan_kinds, interval_by_date, interval_batch_tagged, interval_rows, served_intervals, normalize_gaps, normalize_events, account_lists, account_events, amount_extremes, times_and_ids)
     return {f.__name__: f for f in found}
 
 
@@ -134,6 +165,20 @@ ev AS (SELECT 'top' AS kind, tx_hash, sender, recipient, amount, block, tx_index
 tc AS (SELECT sender AS account, * FROM ev WHERE sender IS NOT NULL UNION ALL SELECT recipient, * FROM ev WHERE recipient IS NOT NULL AND recipient IS DISTINCT FROM sender)"""
 
 
+#: Hexadecimal amounts are doubled four times for each zero digit, as big integers have sums but no exact products.
+_ACCOUNTS = """WITH r AS (SELECT l_orderkey AS o, l_partkey AS p, l_suppkey AS s, CAST(l_linenumber AS BIGINT) AS line, CASE WHEN l_linenumber = 1 THEN 'txlist' WHEN l_linenumber < 4 THEN 'txlistinternal' ELSE 'tokentx' END AS action FROM lineitem),
+x AS (SELECT DISTINCT p, p % 58 AS k FROM r WHERE p % 2 = 0), h AS (SELECT p, CAST(list_reduce(list_prepend(CAST(p AS BIGNUM), list_transform(range(4 * k), lambda i: CAST(0 AS BIGNUM))), lambda a, b: a + a) AS VARCHAR) AS doubled FROM x),
+q AS (SELECT r.*, CASE action WHEN 'txlist' THEN 'top' WHEN 'tokentx' THEN 'erc20' ELSE 'internal' END AS kind, r.p % 19 = 0 AND o % 7 IN (0, 1, 2, 6) AS bad_value, '0x' || lower(lpad(to_hex(o), 64, '0')) AS tx, '0x' || lower(lpad(to_hex(s), 40, '0')) AS sender,
+  CASE WHEN r.p % 29 = 0 THEN '0x1' ELSE '0x' || lpad(to_hex(r.p % 3), 40, '0') END AS contract, doubled FROM r LEFT JOIN h ON h.p = r.p),
+g AS (SELECT *, CASE WHEN p % 31 = 0 THEN contract ELSE '0x' || lower(lpad(to_hex(p), 40, '0')) END AS recipient,
+  CASE WHEN p % 37 = 0 THEN 'NORMALIZATION_FAILED' WHEN kind = 'internal' AND p % 13 = 0 THEN 'EVENT_IDENTITY_UNRESOLVED' WHEN kind = 'internal' AND p % 7 = 0 THEN 'INTERNAL_STATUS_UNRESOLVED' WHEN kind = 'erc20' AND p % 17 = 0 THEN 'EVENT_IDENTITY_UNRESOLVED'
+  WHEN kind = 'erc20' AND p % 29 = 0 THEN 'NORMALIZATION_FAILED' WHEN bad_value OR p % 41 = 0 OR (p % 31 = 0 AND p % 29 = 0) THEN 'NORMALIZATION_FAILED' ELSE 'EVENT' END AS gap FROM q),
+v AS (SELECT action, kind, o * 100 + line AS row_id, o, p, line, CASE WHEN p % 37 = 0 THEN '0x12' ELSE tx END AS tx, sender, recipient, contract, gap,
+  CASE WHEN p % 5 = 0 THEN o % 4 WHEN p % 37 <> 0 AND o % 9 <> 0 AND o IN (SELECT o_orderkey FROM orders) THEN o % 4 END AS tx_index, NOT ((p % 7 <> 0 AND p % 5 = 0) OR (p % 3 <> 0 AND p % 11 = 0)) AS success,
+  CASE WHEN p % 19 = 0 THEN CASE o % 7 WHEN 4 THEN '12' WHEN 5 THEN '4' END WHEN p % 23 = 0 THEN '0' WHEN p % 2 = 0 THEN doubled ELSE p || repeat('0', p % 72) END AS amount,
+  CASE WHEN kind = 'top' AND p % 13 <> 0 THEN CAST(p * line AS VARCHAR) || repeat('0', p % 40) END AS gas FROM g)"""
+
+
 def oracle_sql() -> dict[str, str]:
     inside = f"block BETWEEN {FIRST} AND {LAST}"
     whole = f"WITH {WAREHOUSE_SQL}, {_EVENTS.format(x='transactions', t='traces', k='tokens')}"
@@ -157,9 +202,10 @@ SELECT request_id, job_id, count(tc.kind) AS n, CAST(coalesce(sum(tc.amount), 0)
         "normalize_events": f"""WITH {raw}, m AS (SELECT *, '0x' || lower(lpad(to_hex(o), 64, '0')) AS tx, CASE kind WHEN 'top' THEN 'top' WHEN 'erc20' THEN 'log:' || (line * 10) ELSE 'trace:0_' || line END AS pos FROM n WHERE gap IS NULL)
 SELECT row_id, 'eip155:1:tx:' || tx || ':' || pos AS event_id, 'eip155:1|' || tx || '|' || pos AS key, CASE kind WHEN 'erc20' THEN 'erc20:eip155:1:0x' || lower(lpad(to_hex(p % 3), 40, '0')) ELSE 'native:eip155:1' END AS asset,
   CASE WHEN q = 0 THEN '0' ELSE q || repeat('0', p % 60) END AS amount, o // 4 AS block, CASE WHEN kind = 'top' THEN CAST((21000 + o % 1000) * (o % 50) AS VARCHAR) END AS gas FROM m""",
-        "account_lists": """WITH r AS (SELECT l_partkey AS p, l_orderkey AS o, CASE WHEN l_linenumber = 1 THEN 'normal' WHEN l_linenumber < 4 THEN 'internal' ELSE 'token' END AS action FROM lineitem),
-n AS (SELECT *, CASE WHEN action = 'internal' AND p % 13 = 0 THEN 'MISSING_TRACE_ID' WHEN action = 'token' AND p % 17 = 0 THEN 'MISSING_LOG_INDEX' WHEN p % 21 = 0 THEN 'MISSING_STATUS' WHEN p % 2 <> 0 AND p % 19 = 0 THEN 'VALUE' ELSE 'EVENT' END AS gap,
-  CASE WHEN p % 21 = 0 THEN 'unknown' WHEN (p % 7 <> 0 AND p % 5 = 0) OR (p % 3 <> 0 AND p % 11 = 0) THEN 'false' ELSE 'true' END AS success FROM r)
-SELECT action, gap, success, count(*) AS n, count(*) FILTER (WHERE o % 9 <> 0 AND o IN (SELECT o_orderkey FROM orders)) AS placed, CAST(coalesce(sum(p) FILTER (WHERE NOT (p % 2 <> 0 AND p % 19 = 0)), 0) AS BIGINT) AS amount FROM n GROUP BY ALL""",
+        "account_lists": f"""{_ACCOUNTS} SELECT action, gap, success, count(*) AS n, count(tx_index) AS placed, CAST(sum(CAST(coalesce(amount, '0') AS BIGNUM)) AS VARCHAR) AS amount FROM v GROUP BY ALL""",
+        "account_events": f"""{_ACCOUNTS} SELECT action, row_id, 'eip155:1:tx:' || tx || ':' || CASE kind WHEN 'top' THEN 'top' WHEN 'internal' THEN 'trace:0_' || line ELSE 'log:' || (line * 10) END AS event_id, kind, tx, sender, recipient,
+  CASE kind WHEN 'erc20' THEN 'erc20:eip155:1:' || contract ELSE 'native:eip155:1' END AS asset, amount, o // 4 AS block, tx_index, o AS tsec, CASE WHEN kind = 'erc20' THEN line * 10 END AS log, CASE WHEN kind = 'internal' THEN '0_' || line END AS trace, success, gas FROM v WHERE gap = 'EVENT'""",
+        "amount_extremes": f"""{_ACCOUNTS}, w AS (SELECT sender, CAST(amount AS BIGNUM) AS a, CAST(gas AS BIGNUM) AS g FROM v WHERE gap = 'EVENT')
+SELECT sender, coalesce(CAST(sum(a) AS VARCHAR), '0') AS total, CAST(min(a) AS VARCHAR) AS least, CAST(max(a) AS VARCHAR) AS most, CAST(max(g) AS VARCHAR) AS gas FROM w GROUP BY sender""",
         "times_and_ids": "SELECT event_id, CASE WHEN event_id % 4 <> 3 THEN CAST(floor(epoch(ts)) AS BIGINT) END AS tsec, '0x' || lower(lpad(to_hex(event_id), 40, '0')) AS id FROM events",
     }

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import amounts, audit, closure, evidence, facts, graph, identity, ledger, normalise, order, prefix
+from ledgerloom.operators import amounts, audit, closure, evidence, facts, graph, identity, ledger, normalise, order, prefix, wide
 from ledgerloom.plans import audit_catalogue, catalogue, collect_catalogue, graph_catalogue, identity_catalogue, records_catalogue, scan_catalogue, workflow_catalogue
 from ledgerloom.sources import files
 
@@ -245,3 +245,27 @@ def test_files_round_trip(spark, tmp_path):
         files.write_snapshot(df, f"{tmp_path}/snap", v)
     assert spark.read.parquet(f"{tmp_path}/snap").groupBy("snapshot_version").count().count() == 2
     assert files.content_id(df, ["k", "s"]) == files.content_id(df.repartition(3).orderBy("k"), ["k", "s"]) != files.content_id(df, ["k"])
+
+
+def test_wide_numbers_equal_python(spark):
+    """Numbers of up to 90 digits: text both ways, sums, products, order."""
+    r = random.Random(11)
+    pick = lambda: r.choice([0, 1, 10**9 - 1, 10**9, 2**256 - 1, r.randrange(10**r.randrange(1, 40)), r.randrange(10**r.randrange(1, 78))])
+    pairs = [(i % 7, pick(), pick()) for i in range(300)]
+    df = spark.createDataFrame([(k, "0" * (k % 3) + str(a), f"{b:x}") for k, a, b in pairs], "k int, a string, b string")
+    df = df.select("k", wide.decimal(F.col("a")).alias("a"), wide.hexadecimal(F.col("b")).alias("b"))
+    a, b = F.col("a"), F.col("b")
+    got = df.select("k", wide.text(a).alias("a"), wide.text(b).alias("b"), wide.text(wide.add(a, b)).alias("sum"), wide.text(wide.multiply(a, b)).alias("product"), (wide.order(a) < wide.order(b)).alias("less"))
+    assert sorted(map(tuple, got.collect())) == sorted((k, str(x), str(y), str(x + y), str(x * y), x < y) for k, x, y in pairs)
+    sums = dict(df.groupBy("k").agg(wide.text(wide.total(a))).collect())
+    assert sums == {k: str(sum(x for j, x, _ in pairs if j == k)) for k in range(7)}
+    odd = spark.createDataFrame([("",), (None,), ("-1",), ("1.0",)], "t string")
+    assert {r[0] for r in odd.select(wide.text(wide.decimal(F.col("t")))).collect()} == {None}
+    long = spark.createDataFrame([("9" * 82,)], "t string").select(wide.decimal(F.col("t")).alias("x"))
+    assert long.select(wide.text(F.col("x"))).first()[0] == "9" * 82 and long.agg(wide.text(wide.total(F.col("x")))).first()[0] is None
+
+
+def test_whole_numbers_as_they_are_written(spark):
+    cases = {"1000000000000000000": "1000000000000000000", "0x152d02c7e14af6800000": "100000000000000000000000", "0x" + "f" * 64: str(2**256 - 1), "9" * 78: "9" * 78, " 5 ": "5", "+5": "5", "-0": "0", "0007": "7", "-5": None, "": None, "0x": None, "x": None, "1e3": None}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r["t"]: r["x"] for r in df.select("t", normalise.whole(F.col("t")).alias("x")).collect()} == cases
