@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, written
+from .common import dropped, slices, written
 
 #: White space as byte-level pre-tokenizers know it; letters that are letters in every version of Unicode; what ends a run of them.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -43,8 +43,8 @@ MARK = r"!-@\[-`{-~"
 #: White space from its first character on, unless it starts with a space or a line feed, belongs to what stands before it.
 INNER = SPACE.replace(r"\t-\r ", r"\t\x0b-\r")
 UNIT = re.compile(rf"[{SPACE}]*(?:[^{SPACE}{LETTER}]+|[{INNER}][{SPACE}]*|[{LETTER}]++(?![{MARK}]))*(?:[{LETTER}]++)?")
-#: A space that stands before the text or after other white space.
-ODD = re.compile(rf"\A |[{SPACE}] ")
+#: A space that stands before the text or after other white space, as RE2 writes it.
+ODD = r"\A |[" + re.sub(r"\\u([0-9a-f]{4})", r"\\x{\1}", SPACE) + "] "
 BLANK = "\u2581"
 #: Units of at most LONG bytes may be broadcast.
 HOT, LONG = 1 << 18, 64
@@ -103,7 +103,11 @@ class Cutter:
 
     def units(self, spaced: str) -> list[str]:
         """The units of a text, or of a part of it from a space to before another one; joined they are the text again."""
-        return UNIT.findall(spaced)[:-1] if self.local else [spaced]
+        if not self.local:
+            return [spaced]
+        units = UNIT.findall(spaced)
+        units.pop()  # the empty match at the end
+        return units
 
     def tokens(self, units: list[str]) -> tuple[list, list]:
         """Ids of both tokenizers for each unit. A unit of one space, or without one in front, follows a line feed, which joins with nothing."""
@@ -126,7 +130,7 @@ def _parts(cutter: Cutter, texts: pa.Array) -> Iterable[tuple[list[int], list[st
     next; texts with spaces in a row, and all texts where units are whole texts, are parts as they are."""
     listed = texts.to_pylist()
     keep = np.array([cutter.kept(t) for t in listed], bool)
-    odd = np.array([t is not None and (not cutter.local or ODD.search(t) is not None) for t in listed], bool)
+    odd = pc.fill_null(pc.match_substring_regex(texts, ODD), False).to_numpy(zero_copy_only=False) | (not cutter.local)
     for rows, split in ((np.flatnonzero(keep & ~odd), True), (np.flatnonzero(keep & odd), False)):
         if len(rows) and split:
             found = pc.split_pattern(texts.take(pa.array(rows)), " ")
@@ -143,8 +147,8 @@ def _unit_counts(*paths):
             for b in slices(batch, 0):
                 counts: Counter = Counter()
                 for _, parts, at, _ in _parts(cutter, b.column(0)):
-                    for part, n in zip(parts, np.bincount(at, minlength=len(parts)).tolist(), strict=True):
-                        for unit in cutter.units(part):
+                    for units, n in zip(map(cutter.units, parts), np.bincount(at, minlength=len(parts)).tolist(), strict=True):
+                        for unit in units:
                             counts[unit] += n
                 yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["unit", "n"])
 
@@ -260,20 +264,32 @@ def _coded(sent, *paths):
 
 
 def _digests(sent):
+    """Digests of the groups of documents: texts of broadcast units and of those that were joined, in order."""
+
+    def joined(codes: pa.ListArray, cold: pa.ListArray, names: pa.Array) -> list[str]:
+        flat, rest = codes.flatten().to_numpy(), cold.flatten()
+        at = flat.astype(np.int64)
+        miss = np.flatnonzero(flat < 0)
+        at[miss] = len(names) + np.arange(len(miss))
+        texts = pa.concat_arrays([names, rest]).take(pa.array(at))
+        bounds = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(codes), 0).to_numpy(zero_copy_only=False))))
+        whole = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), texts), ";")
+        return [hashlib.sha256(t.as_buffer()).hexdigest() if c.is_valid else "" for t, c in zip(whole, codes, strict=True)]
+
     def run(batches):
-        names = sent.value
+        names = pa.array(sent.value, pa.string())
         for batch in batches:
-            out = []
-            for codes, cold in zip(batch.column(1), batch.column(2), strict=True):
-                if not codes.is_valid:
-                    out.append("")
-                    continue
-                text = [names[i] if i >= 0 else None for i in codes.values.to_pylist()]
-                if cold.is_valid:
-                    rest = iter(cold.values.to_pylist())
-                    text = [next(rest) if x is None else x for x in text]
-                out.append(hashlib.sha256(";".join(text).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), *batch.columns[3:]], ["doc_id", "groups_sha256", *SUMS])
+            sizes = 16 * pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            cold = batch.column(2)
+            ends = np.concatenate(([0], np.cumsum(pc.binary_length(cold.flatten()).to_numpy(zero_copy_only=False).astype(np.int64))))
+            last = np.cumsum(pc.fill_null(pc.list_value_length(cold), 0).to_numpy(zero_copy_only=False))
+            sizes += np.diff(ends[last], prepend=0)
+            cuts = np.flatnonzero(np.diff(np.cumsum(sizes) >> 25, prepend=0)).tolist()  # some 32 MB of text at a time
+            for s, e in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                if e > s:
+                    b = batch.slice(s, e - s)
+                    digests = joined(b.column(1), b.column(2), names)
+                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.string()), *b.columns[3:]], ["doc_id", "groups_sha256", *SUMS])
 
     return run
 
@@ -285,13 +301,15 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_unit_counts(*paths), "unit string, n long")
     units = written(counted.groupBy("unit").agg(F.sum("n").alias("n")).withColumn("u", F.monotonically_increasing_id()), "units")
     tokens = written(units.select("u", "unit").mapInArrow(_unit_tokens(*paths), f"u long, a {_TOKEN}, b {_TOKEN}"), "unit-tokens")
-    found = written(aligned(tokens).join(units.select("u", "n"), "u"), "unit-links")
-    found = found.drop("links").join(weighted(found), "u")
-    found = written(found.join(units.select("u", "unit"), "u"), "unit-sums")
+    links = written(aligned(tokens).join(units.select("u", "n"), "u"), "unit-links")
+    dropped(tokens)
+    found = links.drop("links").join(weighted(links), "u")
+    found = written(found.join(units.select("u", "unit"), "u").drop("u"), "unit-sums")
+    dropped(links, units)
 
-    least = _least(units, hot)
+    least = _least(found, hot)
     frequent = (F.col("n") >= least) & (F.octet_length("unit") <= LONG)
-    held = found.where(frequent).select("unit", "groups", *SUMS).toArrow()  # at most `hot` rows
+    held = found.where(frequent).select("n", "unit", "groups", *SUMS).toArrow().sort_by([("n", "descending")])  # at most `hot` rows
     sums = np.stack([held[c].to_numpy() for c in SUMS], 1) if held.num_rows else np.zeros((0, len(SUMS)), np.int64)
     sent = spark.sparkContext.broadcast((held["unit"].to_pylist(), sums))
     kind = docs.schema[id_col].dataType

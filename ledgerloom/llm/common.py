@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators.closure import components
 from ledgerloom.sources.shared import shared_folder
 
-__all__ = ["components", "crc_mod", "lower_ascii", "shared_folder", "slices", "split_words", "table", "text_bytes", "written"]
+__all__ = ["components", "crc_mod", "dropped", "lower_ascii", "shared_folder", "slices", "split_words", "table", "text_bytes", "written"]
 
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -34,7 +34,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that `written` made, once nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def crc_mod(col: str, m: int = 5) -> Column:
