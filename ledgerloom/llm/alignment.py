@@ -144,7 +144,7 @@ def _unit_counts(*paths):
     def run(batches):
         cutter = _cutter(*paths)
         for batch in batches:
-            for b in slices(batch, 0):
+            for b in slices(batch, 0, 4 << 20):
                 counts: Counter = Counter()
                 for _, parts, at, _ in _parts(cutter, b.column(0)):
                     for units, n in zip(map(cutter.units, parts), np.bincount(at, minlength=len(parts)).tolist(), strict=True):
@@ -237,7 +237,7 @@ def _coded(sent, *paths):
         names, sums = sent.value
         place = {u: i for i, u in enumerate(names)}
         for batch in batches:
-            for b in slices(batch, 1):
+            for b in slices(batch, 1, 4 << 20):
                 n = b.num_rows
                 total, codes, cold = np.zeros((n, len(SUMS)), np.int64), [None] * n, [None] * n
                 for rows, parts, at, bounds in _parts(cutter, b.column(1)):
