@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import facts, frontier, order
 from ledgerloom.plans.catalogue import _AFTER, DEPTH, WINDOW, _a, _e, _pairs
 from ledgerloom.sources.derived import TRANSFERS_SQL, read, transfers
+from ledgerloom.sources.shared import Run, digest_of
 
 #: End of the scope of collections, and their limits of events and expanded accounts.
 SCOPE_END, MOST_EVENTS, MOST_ACCOUNTS = 1_705_000_000, 12, 8
@@ -21,11 +22,12 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.select("account", kind.alias("identity_class"), status.alias("lookup_status"))
 
 
-def collected(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Collections of all real transfers whose id 50 divides, each a query of its own."""
+def collected(spark: SparkSession, sf_dir: str, budget: tuple[int, int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Collections of all real transfers whose id 50 divides, each a query of its own. Queries over the same files share one run."""
     t = transfers(spark, sf_dir)
     seeds = t.where("event_id % 50 = 0 and success and sender <> recipient and amount_raw > 0").withColumn("query_id", F.col("event_id"))
-    return frontier.collect(t, seeds, registry(spark, sf_dir), DEPTH, WINDOW, SCOPE_END)
+    key = f"collected|{DEPTH}|{WINDOW}|{SCOPE_END}|{budget}|{digest_of(spark, f'{sf_dir}/events.parquet')}"
+    return frontier.collect(t, seeds, registry(spark, sf_dir), DEPTH, WINDOW, SCOPE_END, run=Run(spark, key), budget=budget)
 
 
 def collection_states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +50,12 @@ def collection_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.groupBy("query_id").agg(F.count("*").alias("states"), F.count_if("cut").alias("cut"), F.sum(F.when(~F.col("cut"), F.col("event_id"))).alias("kept_ids"))
 
 
+def collection_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What collections keep within their limits, which end the expansion of a query as soon as it has reached one."""
+    states = collected(spark, sf_dir, (MOST_EVENTS, MOST_ACCOUNTS))[0]
+    return frontier.limited(states, MOST_EVENTS, MOST_ACCOUNTS).where("not cut").select("query_id", "level", "event_id")
+
+
 def collection_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     states = frontier.limited(collected(spark, sf_dir)[0], MOST_EVENTS, MOST_ACCOUNTS)
     any_of = lambda c: F.count_if(c) > 0
@@ -124,7 +132,7 @@ def conflicts_touching(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     found = (
-        collection_states, trace_membership, collection_gaps, collection_limits, collection_status, collection_invalidated, admission_rows,
+        collection_states, trace_membership, collection_gaps, collection_limits, collection_kept, collection_status, collection_invalidated, admission_rows,
         fact_components, identity_binding, graph_faults, fact_enrichment, conflicts_touching,
     )
     return {f.__name__: f for f in found}
@@ -150,6 +158,7 @@ def oracle_sql() -> dict[str, str]:
 WHERE stop = 'FOLLOWED' AND e.tsec BETWEEN a.tsec AND least(a.tsec + {WINDOW}, {SCOPE_END}) AND e.block >= a.block AND e.success AND e.amount_raw > 0 AND e.recipient <> a.recipient AND ({_AFTER}) IS TRUE""",
         "collection_gaps": f"{_STATES} SELECT query_id, lookup AS reason, count(DISTINCT recipient) AS accounts FROM st WHERE lookup <> 'FROZEN_LOCAL_OBSERVATION' GROUP BY ALL",
         "collection_limits": f"{_STATES} SELECT query_id, count(*) AS states, count(*) FILTER (WHERE cut) AS cut, CAST(sum(event_id) FILTER (WHERE NOT cut) AS BIGINT) AS kept_ids FROM ct GROUP BY query_id",
+        "collection_kept": f"{_STATES} SELECT query_id, level, event_id FROM ct WHERE NOT cut",
         "collection_status": f"""{_STATES} SELECT query_id, CASE WHEN bool_or(cut) THEN 'INTERRUPTED' WHEN bool_or(lookup = 'BUDGET_BLOCKED') THEN 'BUDGET_LIMIT' WHEN bool_or(stop = 'DECLARED_DEPTH_BOUNDARY') THEN 'PENDING_INTERVALS'
   WHEN bool_or(lookup <> 'FROZEN_LOCAL_OBSERVATION') THEN 'COMPLETE_WITH_UNRESOLVED' ELSE 'COMPLETE' END AS status FROM ct GROUP BY query_id""",
         "collection_invalidated": f"""{_STATES}, b AS (SELECT query_id, bool_or(event_id % 31 = 0) AS bad, count(*) AS n FROM st GROUP BY query_id)

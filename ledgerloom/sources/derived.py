@@ -13,14 +13,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One transfer per event. Accounts are users; several transfers share a transaction."""
     events = read(spark, sf_dir, "events")
-    users = events.agg(F.count_distinct("user_id").alias("users"))
+    users = events.agg(F.count_distinct("user_id")).first()[0]  # looked up once, as a loop scans transfers again and again
     second = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
-    # One row of counts, broadcast.
-    df = events.join(F.broadcast(users)).withColumn("tsec", second)
+    df = events.withColumn("tsec", second)
     return df.select(
         "event_id",
         F.col("user_id").alias("sender"),
-        (F.get_json_object("props", "$.k").cast("long") % F.col("users")).alias("recipient"),
+        (F.get_json_object("props", "$.k").cast("long") % F.lit(users)).alias("recipient"),
         F.round(F.col("value") * 100).cast("long").alias("amount_raw"),
         "tsec",
         F.floor(F.col("tsec") / 7200).alias("block"),
