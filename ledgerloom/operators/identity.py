@@ -13,7 +13,7 @@ UNANSWERED = ("UNQUERIED", "LOOKUP_FAILED", "BUDGET_BLOCKED")
 ALIASES = {"okex": ("OKX", "okx"), "okx": ("OKX", "okx"), "huobi": ("HTX", "htx"), "huobiglobal": ("HTX", "htx"), "htx": ("HTX", "htx"), "coinbaseexchange": ("Coinbase", "coinbase")}
 # Behaviour that names no owner, roles a claim may have, accounts nobody owns, names that name nobody.
 BEHAVIOUR = r"\b(cex users?|dex users?|exchange users?|deployer|deployed by)\b|user of"
-ROLES = ("SERVICE", "BRIDGE_BOUNDARY", "MIXER_BOUNDARY", "DEX_OR_PROTOCOL", "UNKNOWN")
+ROLES = ("SERVICE", "BRIDGE_BOUNDARY", "MIXER_BOUNDARY", "DEX_OR_PROTOCOL")
 SENTINELS = ("0x" + "0" * 40, "0x" + "0" * 36 + "dead")
 GENERIC = ("unknown", "exchange", "cex", "dex", "institution", "bridge", "service", "user", "users", "wallet")
 
@@ -65,10 +65,11 @@ def resolve(observations: DataFrame, baseline: DataFrame) -> DataFrame:
     all others; if those that count name several actors or roles, or a record is in conflict with itself, no one is adopted.
 
     observations: address, observation_id, platform, actor, role, raw_label, semantic_kind, record_conflict, collection_scope,
-    generation_mechanism. baseline: address, identity_class, actor. Sets of actors and roles are told by their ends, so they combine
+    generation_mechanism, perhaps source_metadata. baseline: address, identity_class, actor. Sets of actors and roles are told by their ends, so they combine
     before the shuffle."""
     c = F.col
-    claim = explicit_claim(c("semantic_kind"), c("actor"), c("role"), c("raw_label"))
+    text = F.concat_ws(" ", "raw_label", *(["source_metadata"] if "source_metadata" in observations.columns else []))
+    claim = explicit_claim(c("semantic_kind"), c("actor"), c("role"), text)
     own = actor_key(c("actor"))
     df = observations.withColumns({"claim": claim, "key": F.when(own == "bitpaycom", "bitpay").otherwise(own), "first": c("platform") == "Dune"})
     by_dune, by_any = claim_on(c("first") & c("claim")), claim_on(c("claim"))

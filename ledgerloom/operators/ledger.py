@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.sources.shared import stored
+
 from . import prefix
 
 # Moves that a journal of attempts allows, and the states that block an account until they are resolved.
@@ -81,11 +83,48 @@ def snapshot(jobs: DataFrame, caps: DataFrame) -> DataFrame:
 
 
 def settled(jobs: DataFrame) -> DataFrame:
-    """Jobs (unit, n, reserved, actual) in order of n with outcome: after one that spent more than it reserved, its unit takes no more."""
-    over = jobs.withColumn("over", F.when(F.col("actual") > F.col("reserved"), 1).otherwise(0))
-    sums = prefix.running(over, ["unit"], ["n"], "over", "overs")
-    outcome = F.when(F.col("overs") - F.col("over") > 0, "REFUSED").when(F.col("over") == 1, "EXCEEDED").when(F.col("actual").isNull(), "RESERVED").otherwise("SETTLED")
-    return sums.withColumn("outcome", outcome)
+    """Jobs (unit, n, reserved, actual) with outcome, n being their order over all units: once one has spent more than it reserved, the stage
+    is halted, and no unit takes another."""
+    first = jobs.where("actual > reserved").agg(F.min("n").alias("_halt"))  # one row
+    at = F.col("_halt")
+    outcome = F.when(F.col("n") > at, "REFUSED").when(F.col("n") == at, "EXCEEDED").when(F.col("actual").isNull(), "RESERVED").otherwise("SETTLED")
+    return jobs.join(F.broadcast(first)).withColumn("outcome", outcome).drop("_halt")
+
+
+def admitted(jobs: DataFrame, caps: DataFrame) -> DataFrame:
+    """Jobs (unit, n, amount) with outcome and left: each is reserved, in order of n, if it fits into what is left of its unit, and else refused and
+    takes nothing. caps: unit, cap, allowance; what is left at first is the lesser, or unknown while the allowance is, and then all are refused.
+    Amounts are whole and not below zero; n is unique in a unit.
+
+    With 2^k <= left < 2^(k+1), jobs below 2^k all fit and those of 2^(k+1) or more don't; of the rest the first that fits leaves less than
+    2^k. So a phase is a running total of the small ones up to the first job after which less than 2^k is left, and each unit has at most
+    one phase for each bit of its cap, however many jobs it has. Running totals go by ranges (see prefix), so no unit meets in one task."""
+    left = F.when(F.col("allowance").isNotNull(), F.greatest(F.least("cap", "allowance"), F.lit(0)))
+    state = stored(caps.select("unit", left.alias("left"), F.lit(None).cast("long").alias("after")), "admission")
+    phases = state.where("left is null").select("unit", "after", F.lit(None).cast("long").alias("until"), "left", F.lit(None).cast("long").alias("bit"), F.lit(None).cast("long").alias("taken"))
+    parts = [phases]
+    places = (F.length(F.bin("left")) - 1).cast("int")
+    bit = F.when(F.col("left") > 0, F.call_function("shiftleft", F.lit(1).cast("long"), places)).otherwise(F.lit(0).cast("long"))
+    while True:
+        open_ = state.where("left is not null").withColumn("bit", bit)
+        rows = jobs.join(F.broadcast(open_), "unit").where("(after is null or n > after) and (shiftright(amount, 1) < bit or amount = 0)")  # a row per unit is broadcast
+        rows = prefix.running(rows.withColumn("small", F.when((F.col("amount") < F.col("bit")) | (F.col("amount") == 0), F.col("amount")).otherwise(F.lit(0).cast("long")).cast("decimal(19,0)")), ["unit"], ["n"], "small", "total")
+        rest = F.col("left") - F.col("total")
+        big = (F.col("amount") >= F.col("bit")) & (F.col("amount") > 0)
+        ends = F.when(big, F.when(F.col("amount") <= rest, rest - F.col("amount"))).otherwise(F.when((rest < F.col("bit")) & (F.col("amount") > 0), rest))
+        ended = rows.withColumn("next", ends.try_cast("long")).where("next is not null").groupBy("unit").agg(F.min_by(F.struct("n", "next", F.when(big, F.col("n")).alias("taken")), "n").alias("e"))
+        done = stored(open_.join(ended, "unit", "left").select("unit", "after", F.col("e.n").alias("until"), "left", "bit", F.col("e.taken").alias("taken"), F.col("e.next").alias("next")), "phases")
+        parts.append(done.drop("next"))
+        state = done.where("until is not null").select("unit", F.col("next").alias("left"), F.col("until").alias("after"))
+        if state.isEmpty():
+            break
+    phases = parts[0]
+    for p in parts[1:]:
+        phases = phases.unionByName(p)
+    at = (F.col("after").isNull() | (F.col("n") > F.col("after"))) & (F.col("until").isNull() | (F.col("n") <= F.col("until")))
+    fits = F.col("left").isNotNull() & ((F.col("amount") == 0) | (F.col("amount") < F.col("bit")) | F.coalesce(F.col("n") == F.col("taken"), F.lit(False)))
+    met = jobs.join(F.broadcast(phases), "unit").where(at)  # a phase for each bit of a unit's cap, at most
+    return met.select(*jobs.columns, F.when(fits, "RESERVED").otherwise("REFUSED").alias("outcome"))
 
 
 def risk_buckets(jobs: DataFrame, cap: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import amounts, frontier, graph, order, prefix
+from ledgerloom.operators import amounts, frontier, graph, ledger, order
 from ledgerloom.plans import catalogue, collect_catalogue
 from ledgerloom.plans.catalogue import DEPTH, SEEDS, WINDOW
 from ledgerloom.sources.derived import TRANSFERS_SQL, read, transfers
@@ -80,11 +80,13 @@ def witness_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ledger_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reservations of each unit in order of arrival; the first one over the cap halts the unit. A unit may be any share of all rows."""
+    """Reservations of each unit in order of arrival: one that doesn't fit into what is left is refused and takes nothing. A unit may be any share
+    of all rows; the allowance of one unit is unknown."""
     cents = F.round(F.col("o_totalprice") * 100).cast("long")
-    jobs = read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("unit"), "o_orderkey", cents.alias("cents"))
-    sums = prefix.running(jobs, ["unit"], ["o_orderkey"], "cents", "total")
-    return sums.select("unit", "o_orderkey", "total", F.when(F.col("total") <= CAP, "RESERVED").otherwise("HALTED").alias("outcome"))
+    jobs = read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("unit"), F.col("o_orderkey").alias("n"), cents.alias("amount"))
+    allowance = F.when(F.col("unit") == "2-HIGH", F.lit(CAP // 7)).when(F.col("unit") != "5-LOW", F.lit(10**15))
+    caps = jobs.select("unit").distinct().select("unit", F.lit(CAP).alias("cap"), allowance.alias("allowance"))
+    return ledger.admitted(jobs, caps).select("unit", F.col("n").alias("o_orderkey"), "outcome")
 
 
 def receipt_multiplicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,8 +190,10 @@ SELECT a.block, count(*) AS pairs, CAST(sum(e.event_id) AS BIGINT) AS ids FROM o
 q AS (SELECT event_id, count(*) FILTER (WHERE fits AND after IS NULL) AS u, count(*) FILTER (WHERE fits AND after) AS c FROM p GROUP BY event_id)
 SELECT event_id, CASE WHEN u > 0 THEN 'ORDER_GAPS' WHEN c > 0 THEN 'COMPLETE' ELSE 'COMPLETE_EMPTY' END AS status, c AS candidates FROM q""",
         "witness_replay": f"WITH b AS ({known['ledger_running_balance']}) SELECT account, asset, min(balance) AS least, count(*) AS moves, CASE WHEN min(balance) < 0 THEN 'NEGATIVE' ELSE 'FEASIBLE' END AS status FROM b GROUP BY account, asset",
-        "ledger_admission": f"""WITH j AS (SELECT o_orderpriority AS unit, o_orderkey, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM orders)
-SELECT *, CASE WHEN total <= {CAP} THEN 'RESERVED' ELSE 'HALTED' END AS outcome FROM j""",
+        "ledger_admission": f"""WITH RECURSIVE j AS (SELECT o_orderpriority AS unit, o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS amount, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS i FROM orders),
+u AS (SELECT DISTINCT unit, CASE unit WHEN '2-HIGH' THEN {CAP // 7} WHEN '5-LOW' THEN NULL ELSE {CAP} END AS cap FROM j),
+r AS (SELECT unit, 0 AS i, CAST(0 AS BIGINT) AS total, cap FROM u UNION ALL SELECT r.unit, j.i, CASE WHEN total + amount <= cap THEN total + amount ELSE total END, cap FROM r JOIN j ON j.unit = r.unit AND j.i = r.i + 1)
+SELECT j.unit, o_orderkey, CASE WHEN b.total + amount <= cap THEN 'RESERVED' ELSE 'REFUSED' END AS outcome FROM j JOIN r b ON b.unit = j.unit AND b.i = j.i - 1""",
         "receipt_multiplicity": """WITH a AS (SELECT l_orderkey, l_partkey, count(*) AS n FROM lineitem WHERE l_linenumber <> 3 GROUP BY ALL), b AS (SELECT l_orderkey, l_partkey, count(*) AS m FROM lineitem WHERE l_linenumber <> 5 GROUP BY ALL)
 SELECT CASE WHEN n = m THEN 'EQUAL' WHEN n IS NULL THEN 'ONLY_LOGS' WHEN m IS NULL THEN 'ONLY_ROWS' ELSE 'DIFFERENT' END AS verdict, count(*) AS n, CAST(sum(l_partkey) AS BIGINT) AS parts FROM a FULL JOIN b USING (l_orderkey, l_partkey) GROUP BY 1""",
         "relation_delta": """WITH b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS s, o_orderpriority AS p, CASE WHEN o_orderkey % 13 <> 0 THEN o_custkey END AS c FROM orders WHERE o_orderkey % 101 <> 0),

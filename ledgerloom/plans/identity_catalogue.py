@@ -35,6 +35,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         actor.alias("actor"),
         _one_of(ROLES, (c + F.when(k % 11 == 0, 1).otherwise(0)) % len(ROLES)).alias("role"),
         F.when(k % 13 == 0, "A CEX user").when(k % 17 == 0, "Chainflip: Vault").otherwise(actor).alias("raw_label"),
+        F.when(k % 23 == 0, "contract, Deployed by 0x1").alias("source_metadata"),
         F.when(k % 5 == 0, "BEHAVIOR").otherwise("ATTRIBUTION").alias("semantic_kind"),
         (k % 101 == 0).alias("record_conflict"),
         F.when(k % 19 == 0, "REFERENCE_TARGETED").otherwise("FRONTIER").alias("collection_scope"),
@@ -55,7 +56,7 @@ def identity_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations by platform, whether they claim an owner, and the actor they stand for."""
     o = observations(spark, sf_dir)
     name, key = identity.canonical_actor(F.col("actor"))
-    claim = identity.explicit_claim(F.col("semantic_kind"), F.col("actor"), F.col("role"), F.col("raw_label"))
+    claim = identity.explicit_claim(F.col("semantic_kind"), F.col("actor"), F.col("role"), F.concat_ws(" ", "raw_label", "source_metadata"))
     return o.groupBy("platform", claim.alias("claim"), name.alias("actor"), key.alias("actor_key")).agg(F.count("*").alias("n"))
 
 
@@ -170,8 +171,8 @@ def _list(values: tuple) -> str:
 
 _OBS = f"""ob AS (SELECT o_custkey AS address, o_orderkey AS k, CASE o_orderpriority WHEN '1-URGENT' THEN 'Dune' WHEN '2-HIGH' THEN 'Meta' ELSE 'Etherscan' END AS platform,
   {_list(ACTORS)}[(o_custkey + CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END) % {len(ACTORS)} + 1] AS actor, {_list(ROLES)}[(o_custkey + CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END) % {len(ROLES)} + 1] AS role,
-  o_orderkey % 13 = 0 AS behaves, o_orderkey % 13 <> 0 AND o_orderkey % 17 = 0 AS vault, o_orderkey % 5 <> 0 AS attributes, o_orderkey % 101 = 0 AS bad, o_orderkey % 19 = 0 AS targeted, o_orderkey % 2 <> 0 AS undisclosed FROM orders),
-cl AS (SELECT *, attributes AND actor <> '' AND NOT behaves AS claim, platform = 'Dune' AS dune, CASE actor WHEN 'BitPay.com' THEN 'bitpay' ELSE lower(regexp_replace(actor, '[^A-Za-z0-9]', '', 'g')) END AS key FROM ob),
+  o_orderkey % 13 = 0 OR o_orderkey % 23 = 0 AS behaves, o_orderkey % 13 <> 0 AND o_orderkey % 17 = 0 AS vault, o_orderkey % 5 <> 0 AS attributes, o_orderkey % 101 = 0 AS bad, o_orderkey % 19 = 0 AS targeted, o_orderkey % 2 <> 0 AS undisclosed FROM orders),
+cl AS (SELECT *, attributes AND actor <> '' AND NOT behaves AND role <> 'UNKNOWN' AS claim, platform = 'Dune' AS dune, CASE actor WHEN 'BitPay.com' THEN 'bitpay' ELSE lower(regexp_replace(actor, '[^A-Za-z0-9]', '', 'g')) END AS key FROM ob),
 bl AS (SELECT c_custkey AS address, CASE c_mktsegment WHEN 'BUILDING' THEN 'SERVICE' WHEN 'MACHINERY' THEN 'CONFLICTED_IDENTITY' ELSE 'UNKNOWN' END AS base, CASE WHEN c_mktsegment = 'BUILDING' THEN c_name END AS base_actor FROM customer WHERE c_custkey % 3 <> 0)"""
 
 

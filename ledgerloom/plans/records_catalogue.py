@@ -276,8 +276,8 @@ SELECT attempt, n, state, CASE WHEN b IS NULL THEN state = 'PLANNED' WHEN b = 'P
         "journal_blocks": f"WITH {moves}, s AS (SELECT attempt, arg_max(state, n) AS state FROM mv GROUP BY attempt) SELECT attempt % 10 AS account, count(*) FILTER (WHERE state IN ('DISPATCH_INTENT', 'UNKNOWN_TRANSPORT', 'INVALID_RESPONSE')) AS unresolved, count(*) AS attempts FROM s GROUP BY 1",
         "ledger_snapshot": f"""WITH {jobs}, s AS (SELECT unit, CAST(coalesce(sum(actual), 0) AS BIGINT) AS spent, CAST(coalesce(sum(reserved) FILTER (WHERE actual IS NULL), 0) AS BIGINT) AS held, coalesce(bool_or(actual > reserved), false) AS exceeded, CASE unit WHEN '5-LOW' THEN NULL WHEN '2-HIGH' THEN 1000 ELSE 50000000000000 END AS e FROM jb GROUP BY unit)
 SELECT unit, spent, held, CASE WHEN e IS NOT NULL THEN greatest(e - spent - held, 0) END AS remaining, coalesce(e - spent - held < 0, false) AS overrun, exceeded FROM s""",
-        "ledger_settled": f"""WITH {jobs}, r AS (SELECT *, coalesce(sum(CASE WHEN actual > reserved THEN 1 ELSE 0 END) OVER (PARTITION BY unit ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM jb)
-SELECT unit, n, CASE WHEN before > 0 THEN 'REFUSED' WHEN actual > reserved THEN 'EXCEEDED' WHEN actual IS NULL THEN 'RESERVED' ELSE 'SETTLED' END AS outcome FROM r""",
+        "ledger_settled": f"""WITH {jobs}, h AS (SELECT min(n) AS halt FROM jb WHERE actual > reserved)
+SELECT unit, n, CASE WHEN n > halt THEN 'REFUSED' WHEN n = halt THEN 'EXCEEDED' WHEN actual IS NULL THEN 'RESERVED' ELSE 'SETTLED' END AS outcome FROM jb, h""",
         "risk_buckets": f"""WITH {jobs} SELECT CASE WHEN n % 4 = 0 THEN 'LEGACY' ELSE 'NEW' END AS bucket, CAST(sum(coalesce(actual, reserved)) AS BIGINT) AS risk, CAST(coalesce(sum(n) FILTER (WHERE n % 3 = 0), 0) AS BIGINT) AS known_execution, CAST(coalesce(sum(actual), 0) AS BIGINT) AS final_actual,
   CAST(coalesce(sum(reserved) FILTER (WHERE actual IS NULL AND n % 5 = 0), 0) AS BIGINT) AS bounded_not_final, CAST(coalesce(sum(reserved) FILTER (WHERE actual IS NULL AND n % 5 <> 0), 0) AS BIGINT) AS unknown_reserved, CAST(greatest(500000000000 - sum(coalesce(actual, reserved)), 0) AS BIGINT) AS remaining FROM jb GROUP BY 1""",
         "export_envelope": f"""WITH r AS (SELECT o_custkey AS result, count(*) * 37 AS rows, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS b, max(CASE WHEN o_orderkey % 2 = 0 THEN CAST(round(o_totalprice * 100) AS BIGINT) * 3 END) AS ob, max(CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey * 5 END) AS od FROM orders GROUP BY o_custkey),

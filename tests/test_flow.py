@@ -269,3 +269,39 @@ def test_whole_numbers_as_they_are_written(spark):
     cases = {"1000000000000000000": "1000000000000000000", "0x152d02c7e14af6800000": "100000000000000000000000", "0x" + "f" * 64: str(2**256 - 1), "9" * 78: "9" * 78, " 5 ": "5", "+5": "5", "-0": "0", "0007": "7", "-5": None, "": None, "0x": None, "x": None, "1e3": None}
     df = spark.createDataFrame([(k,) for k in cases], "t string")
     assert {r["t"]: r["x"] for r in df.select("t", normalise.whole(F.col("t")).alias("x")).collect()} == cases
+
+
+def greedy(jobs, caps):
+    """The loop: a job that doesn't fit takes nothing."""
+    left = {u: None if a is None else max(0, min(c, a)) for u, c, a in caps}
+    out = []
+    for u, n, x in sorted(jobs):
+        fits = left[u] is not None and x <= left[u]
+        left[u] = left[u] - x if fits else left[u]
+        out.append((u, n, x, "RESERVED" if fits else "REFUSED"))
+    return out
+
+
+def test_admission_equals_a_plain_loop(spark):
+    r = random.Random(8)
+    caps = [("a", 1000, 10**6), ("b", 2**40 + 5, 2**41), ("c", 50, None), ("d", 0, 5), ("e", 7, -3), ("f", 64, 64), ("g", 2**62, 2**63 - 1)]
+    size = {"a": 300, "b": 2**38, "c": 20, "d": 3, "e": 3, "f": 70, "g": 2**61}
+    jobs = [(u, n, r.choice([0, 1, 2, r.randrange(size[u]), r.randrange(size[u] // 10 + 1)])) for u, _, _ in caps for n in range(60)]
+    jobs += [("f", 100 + i, x) for i, x in enumerate([1, 63, 1, 62, 1, 61] * 3)]
+    df = spark.createDataFrame(r.sample(jobs, len(jobs)), "unit string, n long, amount long").repartition(3)
+    got = ledger.admitted(df, spark.createDataFrame(caps, "unit string, cap long, allowance long"))
+    assert sorted(map(tuple, got.select("unit", "n", "amount", "outcome").collect())) == greedy(jobs, caps)
+
+
+def test_an_overrun_halts_all_units(spark):
+    jobs = spark.createDataFrame([("a", 1, 5, 5), ("b", 2, 5, 6), ("a", 3, 5, 1), ("b", 4, 5, None)], "unit string, n long, reserved long, actual long")
+    assert [r["outcome"] for r in ledger.settled(jobs).orderBy("n").collect()] == ["SETTLED", "EXCEEDED", "REFUSED", "REFUSED"]
+
+
+def test_a_claim_without_a_role_names_no_one(spark):
+    """A claim of unknown role, or whose metadata tell of a deployer, doesn't beat one that names a service."""
+    rows = [("x", 1, "Dune", "Kraken", "UNKNOWN", "Kraken", None), ("x", 2, "Meta", "Binance", "SERVICE", "Binance", None), ("y", 3, "Dune", "Kraken", "SERVICE", "Kraken", "deployed by them"), ("y", 4, "Meta", "OKX", "SERVICE", "OKX", "")]
+    df = spark.createDataFrame(rows, "address string, observation_id long, platform string, actor string, role string, raw_label string, source_metadata string")
+    df = df.withColumns({"semantic_kind": F.lit("ATTRIBUTION"), "record_conflict": F.lit(False), "collection_scope": F.lit("FRONTIER"), "generation_mechanism": F.lit("m")})
+    got = identity.resolve(df, spark.createDataFrame([], "address string, identity_class string, actor string"))
+    assert {r["address"]: (r["identity_class"], r["actor"]) for r in got.collect()} == {"x": ("SERVICE", "Binance"), "y": ("SERVICE", "OKX")}
