@@ -103,7 +103,7 @@ class Cutter:
 
     def units(self, spaced: str) -> list[str]:
         """The units of a text, or of a part of it from a space to before another one; joined they are the text again."""
-        if not self.local:
+        if not self.local or spaced[1:].isalpha():
             return [spaced]
         units = UNIT.findall(spaced)
         units.pop()  # the empty match at the end
