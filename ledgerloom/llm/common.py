@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators.closure import components
 from ledgerloom.sources.shared import shared_folder
 
-__all__ = ["components", "crc_mod", "dropped", "lower_ascii", "shared_folder", "slices", "split_words", "table", "text_bytes", "written"]
+__all__ = ["best_segments", "components", "crc_mod", "dropped", "lower_ascii", "shared_folder", "slices", "split_words", "table", "text_bytes", "written"]
 
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -72,3 +72,23 @@ def split_words(texts: pa.Array, lower: bool = True) -> tuple[pa.DictionaryArray
 def text_bytes(df: DataFrame, text_col: str = "text") -> int:
     """Total UTF-8 bytes of a text column (one aggregate)."""
     return df.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("n")).first()["n"]
+
+
+def best_segments(steps) -> list[tuple[float, int, int]]:
+    """All maximal-scoring segments (score, first, last step), of steps (score above zero, what was lost before it) in order; a segment is named
+    by the numbers of its outer steps. Linear (Ruzzo and Tompa): each held segment points to the last one of a smaller left sum, so a search
+    goes along pointers, and a segment that is passed over is never looked at again."""
+    held: list[tuple[float, float, int, int, int]] = []  # left sum, right sum, first, last, place of the last one of a smaller left sum
+    total = 0.0
+    for i, (gain, loss) in enumerate(steps):
+        left = total - loss
+        total = right = left + gain
+        first, k = i, len(held) - 1
+        while k >= 0 and held[k][0] >= left:
+            k = held[k][4]
+        while k >= 0 and held[k][1] < right:
+            left, _, first, _, before = held[k]
+            del held[k:]
+            k = before
+        held.append((left, right, first, i, k))
+    return [(right - left, first, last) for left, right, first, last, _ in held]

@@ -85,7 +85,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_fuzzy_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = chaining.shared_passages(table(spark, sf_dir, "documents"))
     spans = F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
-    return found.select("doc_id", "class_id", "n_copies", "n_links", "n_shared", F.size("spans").cast("long").alias("n_spans"), F.array_join(spans, ",").alias("spans"))
+    return found.select("doc_id", "class_id", "n_copies", "n_links_found", "n_shared", F.size("spans").cast("long").alias("n_spans"), F.array_join(spans, ",").alias("spans"))
 
 
 def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -189,7 +189,7 @@ def test_every_passage_of_a_chain(spark, gap):
     texts = [[*new(f"a{d}", 20), *one, *new(f"b{d}", gap), *two, *new(f"c{d}", 20)] for d in range(2)]
     texts += [[*new("d", 20), *two, *one, *new("e", 20)]]
     rows, got, classes, shared, links = compared(spark, texts)
-    assert got == shared and [r["n_links"] for r in rows] == [2, 2, 2] and [r["class_id"] for r in rows] == classes
+    assert got == shared and [r["n_links_found"] for r in rows] == [2, 2, 2] and [r["class_id"] for r in rows] == classes
     assert [r["n_shared"] for r in rows] == [115] * 3
 
 
@@ -205,7 +205,7 @@ def test_passages_whose_parts_are_frequent(spark):
     texts += [words(30, 45) + exact + words(30, 46) + common, common + words(30, 47) + exact + words(30, 48)]
     rows, got, classes, shared, links = compared(spark, texts)
     assert got == shared and [r["class_id"] for r in rows] == classes
-    assert rows[41]["class_id"] == 40 and rows[40]["n_links"] == rows[41]["n_links"] == 1
+    assert rows[41]["class_id"] == 40 and rows[40]["n_links_found"] == rows[41]["n_links_found"] == 1
     assert rows[42]["n_shared"] == rows[43]["n_shared"] == 135
 
 
