@@ -1,7 +1,9 @@
 """Interval scans: the value events of three kinds that touch an account within bounds of blocks and time.
 
 A scan of one interval pushes its bounds to the tables, dates included, so that partitions by date are skipped. Many intervals are
-one join of a table of intervals with the events by account, in place of a union of scans.
+one join of a table of intervals with the events, in place of a union of scans: by account and bin of blocks. An interval is filed under the
+one or two bins of a width that is a power of two and just holds it, so short ones meet only what is near them and long ones take few rows;
+a block looks in one bin of each width that any interval has, 63 at most.
 """
 
 from __future__ import annotations
@@ -50,12 +52,32 @@ def touching(found: DataFrame) -> DataFrame:
     return found.withColumn("account", F.explode(F.array_compact(F.array_distinct(F.array("sender", "recipient")))))
 
 
+def _bins(first: Column, last: Column) -> Column:
+    """The bins (width as a power of two, place) that an interval is filed under; none where it is empty."""
+    power = F.length(F.regexp_replace(F.bin(last - first), "^0+", "")).cast("int")
+    at = lambda c: F.call_function("shiftright", c, power)
+    places = F.array_distinct(F.array(at(first), at(last)))
+    return F.explode(F.when(last >= first, F.transform(places, lambda p: F.struct(power.alias("power"), p.alias("place")))))
+
+
+def at_intervals(points: DataFrame, intervals: DataFrame, by: str, point: str, first: str, last: str) -> DataFrame:
+    """Every point joined with every interval (first to last, both ends included) of the same `by` that holds it: an equi-join on by and bin. The
+    bounds are residual, and no point meets an interval twice."""
+    filed = intervals.withColumn("_bin", _bins(F.col(first).cast("long"), F.col(last).cast("long")))
+    powers = [r[0] for r in filed.select("_bin.power").distinct().collect()]  # 64 at most
+    if not powers:
+        return points.join(intervals, by).where("false")
+    look = F.explode(F.array(*(F.struct(F.lit(p).alias("power"), F.call_function("shiftright", F.col(point).cast("long"), F.lit(p)).alias("place")) for p in sorted(powers))))
+    return points.withColumn("_bin", look).join(filed, [by, "_bin"]).where(F.col(point).between(F.col(first), F.col(last))).drop("_bin")
+
+
 def tagged(intervals: DataFrame, found: DataFrame) -> DataFrame:
-    """interval_id and the events of every interval (account, block and time bounds, perhaps a token): one join by account. An interval for
-    a token leaves out other tokens, but keeps native events."""
+    """interval_id and the events of every interval (account, block and time bounds, perhaps a token): one join by account and bin of
+    blocks. An interval for a token leaves out other tokens, but keeps native events."""
     i = intervals.withColumnsRenamed({"contract": "asked"})
-    inside = F.col("block").between(F.col("start_block"), F.col("end_block")) & F.col("tsec").between(F.col("start_time"), F.col("end_time"))
-    return touching(found).join(i, "account").where(inside & (F.col("asked").isNull() | F.col("contract").isNull() | (F.col("asked") == F.col("contract")))).select("interval_id", *COLUMNS)
+    met = at_intervals(touching(found), i, "account", "block", "start_block", "end_block")
+    inside = F.col("tsec").between(F.col("start_time"), F.col("end_time"))
+    return met.where(inside & (F.col("asked").isNull() | F.col("contract").isNull() | (F.col("asked") == F.col("contract")))).select("interval_id", *COLUMNS)
 
 
 def order_columns(*first: str) -> list[Column]:
@@ -65,11 +87,10 @@ def order_columns(*first: str) -> list[Column]:
 
 def served(requests: DataFrame, jobs: DataFrame) -> DataFrame:
     """Each request (request_id, account, start_block, end_block) with the first saved job whose scope contains it, job_id null if none
-    does: an equi-join by account with the containment as residual."""
+    does: the job has to hold the request's first block, which is looked up by bins, and its last one."""
     j = jobs.select("account", F.col("start_block").alias("from_block"), F.col("end_block").alias("to_block"), "job_id")
-    holds = (F.col("from_block") <= F.col("start_block")) & (F.col("end_block") <= F.col("to_block"))
-    hit = requests.join(j, "account").where(holds).groupBy("request_id").agg(F.min("job_id").alias("job_id"))
-    return requests.join(hit, "request_id", "left")
+    hit = at_intervals(requests, j, "account", "start_block", "from_block", "to_block").where(F.col("end_block").between(F.col("start_block"), F.col("to_block")))
+    return requests.join(hit.groupBy("request_id").agg(F.min("job_id").alias("job_id")), "request_id", "left")
 
 
 def accounted(intervals: DataFrame, rows: DataFrame) -> DataFrame:

@@ -56,7 +56,7 @@ def served_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = warehouse.intervals(spark, sf_dir).select(F.col("interval_id").alias("request_id"), "account", (F.col("start_block") + 150).alias("start_block"), "end_block")
     hit = scan.served(asked, _jobs(spark, sf_dir))
     rows = scan.touching(_events(spark, sf_dir)).select("account", "block", "amount")
-    got = hit.where("job_id is not null").join(rows, "account").where("block between start_block and end_block").groupBy("request_id").agg(F.count("*").alias("n"), F.sum("amount").alias("amount"))
+    got = scan.at_intervals(rows, hit.where("job_id is not null"), "account", "block", "start_block", "end_block").groupBy("request_id").agg(F.count("*").alias("n"), F.sum("amount").alias("amount"))
     return hit.select("request_id", "job_id").join(got, "request_id", "left").select("request_id", "job_id", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.coalesce("amount", F.lit(0).cast("long")).alias("amount"))
 
 

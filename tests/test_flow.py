@@ -8,12 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import amounts, audit, closure, evidence, facts, graph, identity, ledger, normalise, order, prefix, wide
-from ledgerloom.plans import audit_catalogue, catalogue, collect_catalogue, graph_catalogue, identity_catalogue, records_catalogue, saved_catalogue, scan_catalogue, workflow_catalogue
+from ledgerloom.plans import audit_catalogue, catalogue, collect_catalogue, evidence_catalogue, graph_catalogue, identity_catalogue, records_catalogue, saved_catalogue, scan_catalogue, workflow_catalogue
 from ledgerloom.sources import files
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("customer", "events", "lineitem", "orders", "documents", "pages")
-PLANS = (catalogue, graph_catalogue, scan_catalogue, collect_catalogue, identity_catalogue, audit_catalogue, records_catalogue, saved_catalogue, workflow_catalogue)
+PLANS = (catalogue, graph_catalogue, scan_catalogue, collect_catalogue, identity_catalogue, audit_catalogue, records_catalogue, saved_catalogue, evidence_catalogue, workflow_catalogue)
 QUERIES = {k: f for p in PLANS for k, f in p.queries().items()}
 SQL = {k: s for p in PLANS for k, s in p.oracle_sql().items()}
 
