@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ledgerloom.sources.shared import stored
 
+from . import prefix
+
 # Classes of identity that a certificate doesn't pass.
 STOP_ROLES = ("SERVICE", "BRIDGE_BOUNDARY", "MIXER_BOUNDARY", "DEX_OR_PROTOCOL", "CONFLICTED_IDENTITY")
 
@@ -34,36 +36,98 @@ def event_order(c) -> Column:
     return F.struct(zero("block").alias("b"), zero("tx_index").alias("t"), F.when(c("kind") == "top", 0).otherwise(1).alias("k"), zero("log_index").alias("l"), c("event_id").alias("i"))
 
 
-def links(events: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Which event may follow which: p (predecessor) and e of a pool (query_id), of one account and asset, p before e for certain and taken up
-    before it, unless p is a seed. Only events of a positive amount that did not fail; a seed follows no one, and transfers to oneself
-    bring nothing new, unless they are seeds. An equi-join; all other conditions are residual."""
+GROUP = ["query_id", "account", "asset"]
+
+
+def _able(events: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Events that may be followed, and those that may follow, with the account in question. Only events of a positive amount that did not fail;
+    a seed follows no one, and transfers to oneself bring nothing new, unless they are seeds."""
     real = events.where("ok and amount > 0").join(seeds.withColumn("seed", F.lit(True)), ["query_id", "event_id"], "left").withColumn("seed", F.coalesce("seed", F.lit(False)))
-    side = lambda p: lambda f: F.col(f"{p}_{f}")
-    named = lambda p: real.select(*[F.col(c).alias(f"{p}_{c}") for c in real.columns])
-    p, e = named("p").where("p_seed or p_sender <> p_recipient"), named("e").where("not e_seed")
-    met = (F.col("p_query_id") == F.col("e_query_id")) & (F.col("p_recipient") == F.col("e_sender")) & (F.col("p_asset") == F.col("e_asset"))
-    before = (F.col("p_seed") | (event_order(side("p")) < event_order(side("e")))) & strictly_before(side("p"), side("e"))
-    found = p.join(e, met).where(before)
+    return real.where("seed or sender <> recipient").withColumn("account", F.col("recipient")), real.where("not seed").withColumn("account", F.col("sender"))
+
+
+def _met(p: DataFrame, e: DataFrame, *more: str) -> DataFrame:
+    """Pairs of p and e of a pool, account and asset (and equal in `more`), p before e for certain and taken up before it, unless p is a seed. An
+    equi-join; all other conditions are residual."""
+    p, e = (x.select(*[F.col(c).alias(f"{n}_{c}") for c in x.columns]) for n, x in (("p", p), ("e", e)))
+    side = lambda n: lambda f: F.col(f"{n}_{f}")
+    keys = [F.col(f"p_{c}") == F.col(f"e_{c}") for c in (*GROUP, *more)]
+    return p.join(e, keys).where((F.col("p_seed") | (event_order(side("p")) < event_order(side("e")))) & strictly_before(side("p"), side("e")))
+
+
+def links(events: DataFrame, seeds: DataFrame, hubs: DataFrame | None = None) -> DataFrame:
+    """Which event may follow which: p (predecessor) and e of a pool (query_id), account and wait; none of hubs (see `hubs_of`)."""
+    p, e = _able(events, seeds)
+    found = _met(p if hubs is None else p.join(hubs, GROUP, "left_anti"), e)
     return found.select(F.col("e_query_id").alias("query_id"), F.col("p_event_id").alias("p"), F.col("e_event_id").alias("e"), F.col("e_sender").alias("account"), (F.col("e_tsec") - F.col("p_tsec")).alias("wait"))
 
 
-def certificates(events: DataFrame, seeds: DataFrame, identities: DataFrame | None = None, window: int | None = None) -> DataFrame:
+def hubs_of(events: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
+    """Groups (pool, account, asset) that would make more than `most` pairs of an arrival and a departure."""
+    p, e = (x.groupBy(*GROUP).agg(F.count("*").cast("decimal(19,0)").alias(n)) for x, n in zip(_able(events, seeds), ("a", "d"), strict=True))
+    return p.join(e, GROUP).where(F.col("a") * F.col("d") > most).select(*GROUP)
+
+
+def _least_before(arrivals: DataFrame, departures: DataFrame, by: list[str], at: str) -> DataFrame:
+    """Each departure with best, the least value of the arrivals of its group whose `at` is below its own: a running minimum over ranges of rows,
+    departures standing before arrivals of the same place."""
+    rows = arrivals.select(*by, F.col(at).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("long").alias("e_tsec"), "value")
+    rows = rows.unionByName(departures.select(*by, F.col(at).alias("_at"), F.lit(0).alias("_side"), "event_id", F.col("tsec").alias("e_tsec")), allowMissingColumns=True)
+    out = prefix.running_least(rows.where("_at is not null"), by, ["_at", "_side"], "value", "best")
+    return out.where("_side = 0 and best is not null").select("query_id", "event_id", "e_tsec", "best")
+
+
+def _hub_candidates(arrivals: DataFrame, departures: DataFrame) -> DataFrame:
+    """Of each departure of a hub (query_id, event_id, e_tsec): best, the least value of all arrivals before it for certain. What is before what
+    falls into cases, each one a running minimum: earlier blocks; the same block, by index; and by time where the arrival lacks its
+    block, or, for seeds only, the departure does. Pairs are listed within a transaction, and among events without a block. A transaction
+    has one index."""
+    known = lambda df: df.where("block is not null")
+    odd = lambda df: df.where("block is null or block = 0")
+    parts = [
+        _least_before(known(arrivals), known(departures), GROUP, "block"),
+        _least_before(known(arrivals), known(departures), [*GROUP, "block"], "tx_index"),
+        _least_before(arrivals.where("block is null"), departures.where("block > 0"), GROUP, "tsec"),
+        _least_before(arrivals.where("seed and block > 0"), departures.where("block is null"), GROUP, "tsec"),
+    ]
+    for met in (_met(arrivals, departures, "tx_hash"), _met(odd(arrivals), odd(departures))):
+        parts.append(met.select(F.col("e_query_id").alias("query_id"), F.col("e_event_id").alias("event_id"), F.col("e_tsec"), F.col("p_value").alias("best")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+#: Pairs that a group may make before it is a hub.
+MOST_PAIRS = 1_000_000
+
+
+def certificates(events: DataFrame, seeds: DataFrame, identities: DataFrame | None = None, window: int | None = None, most: int = MOST_PAIRS) -> DataFrame:
     """query_id, event_id, path, unknown (accounts on it without a known class), depth, max_wait of every event that a chain of links leads to
     from a seed: of all chains by its predecessors' own, the one of fewest unknown accounts, then of the smallest path.
 
     identities (account, role): with them, no chain passes a stop role; window bounds each wait. Rounds of joins along the links: as these
-    never lead back, a round more than the longest chain changes nothing."""
-    steps = links(events, seeds)
-    if identities is not None:
-        steps = steps.join(identities, "account", "left").withColumn("role", F.coalesce("role", F.lit("UNKNOWN"))).where(~F.col("role").isin(*STOP_ROLES))
-        met = F.when(F.col("role") == "UNKNOWN", F.array("account")).otherwise(F.array().cast("array<bigint>"))
-    else:
-        met = F.array().cast("array<bigint>")
+    never lead back, a round more than the longest chain changes nothing. Which predecessor is best doesn't depend on the event that follows,
+    but for the order; so where a group would make more than `most` pairs, none are listed, and each departure takes the least
+    of the arrivals before it from running minima. With a window all pairs are listed, as waits and order needn't agree."""
+    none = F.array().cast("array<bigint>")
+    hubs = stored(hubs_of(events, seeds, most), "hubs") if window is None else None
+    hubs = None if hubs is None or hubs.isEmpty() else hubs
+
+    def passing(df: DataFrame) -> DataFrame:
+        """df (account) with met, the account if its class isn't known; none of a stop role."""
+        if identities is None:
+            return df.withColumn("met", none)
+        df = df.join(identities, "account", "left").withColumn("role", F.coalesce("role", F.lit("UNKNOWN"))).where(~F.col("role").isin(*STOP_ROLES))
+        return df.withColumn("met", F.when(F.col("role") == "UNKNOWN", F.array("account")).otherwise(none)).drop("role")
+
+    steps = passing(links(events, seeds, hubs))
     if window is not None:
         steps = steps.where(F.col("wait") <= window)
-    steps = stored(steps.select("query_id", "p", "e", "wait", met.alias("met")), "links")
-    none = F.array().cast("array<bigint>")
+    steps = stored(steps.select("query_id", "p", "e", "wait", "met"), "links")
+    if hubs is not None:
+        p, e = _able(events, seeds)
+        p, e = stored(passing(p.join(hubs, GROUP, "left_semi")), "hub-arrivals"), stored(passing(e.join(hubs, GROUP, "left_semi")), "hub-departures")
     real = events.where("ok and amount > 0").join(seeds, ["query_id", "event_id"], "left_semi")
     first = stored(real.select("query_id", "event_id", F.array("event_id").alias("path"), none.alias("unknown"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("max_wait")), "seed-certificates")
     known, seen = first, None
@@ -71,14 +135,36 @@ def certificates(events: DataFrame, seeds: DataFrame, identities: DataFrame | No
         c = known.withColumnRenamed("event_id", "p").join(steps, ["query_id", "p"])
         unknown = F.array_sort(F.array_union("unknown", "met"))
         c = c.select("query_id", F.col("e").alias("event_id"), F.concat("path", F.array("e")).alias("path"), unknown.alias("unknown"), (F.col("depth") + 1).alias("depth"), F.greatest("max_wait", "wait").alias("max_wait"))
+        if hubs is not None:
+            here = p.join(known, ["query_id", "event_id"]).withColumn("unknown", unknown)
+            value = F.struct(F.size("unknown").alias("n"), "path", "unknown", "depth", "max_wait", "tsec")
+            h = _hub_candidates(stored(here.withColumn("value", value).select(*p.columns, "value"), "hub-values"), e)
+            wait = F.greatest("best.max_wait", F.col("e_tsec") - F.col("best.tsec"))
+            c = c.unionByName(h.select("query_id", "event_id", F.concat("best.path", F.array("event_id")).alias("path"), F.col("best.unknown").alias("unknown"), (F.col("best.depth") + 1).alias("depth"), wait.alias("max_wait")))
         best = c.groupBy("query_id", "event_id").agg(F.min_by(F.struct("path", "unknown", "depth", "max_wait"), F.struct(F.size("unknown"), "path")).alias("x"))
-        known = stored(first.unionByName(best.select("query_id", "event_id", "x.*")), "certificates")
-        now = known.agg(F.count("*").alias("n"), F.sum(F.xxhash64("query_id", "event_id", "path", "unknown").cast("decimal(38,0)")).alias("h")).first()
+        watch = Observation()
+        found = first.unionByName(best.select("query_id", "event_id", "x.*"))
+        known = stored(found.observe(watch, F.count("*").alias("n"), F.sum(F.xxhash64("query_id", "event_id", "path", "unknown").cast("decimal(38,0)")).alias("h")), "certificates")
+        now = watch.get
         if now == seen:
             return known
         seen = now
 
 
+def affected(events: DataFrame, relations: DataFrame, changed: DataFrame) -> DataFrame:
+    """The queries that changed accounts (account) reach: backwards from the events they take part in and the relations that they are the target
+    of (recipient) to the queries that those belong to."""
+    ends = events.select("query_id", F.explode(F.array_distinct(F.array("sender", "recipient"))).alias("account"))
+    return ends.union(relations.select("query_id", F.col("recipient").alias("account"))).join(changed.select("account").distinct(), "account", "left_semi").select("query_id").distinct()
+
+
+def maintained(old: DataFrame, reached: DataFrame, recompute) -> DataFrame:
+    """old with the rows of the reached queries (query_id) computed anew and all others as they were. recompute maps a table of queries to their
+    rows; it is given none but those reached, so what it reads is in proportion to them. A query's rows must depend on that query alone."""
+    reached = stored(reached, "reached-queries")
+    return old.join(reached, "query_id", "left_anti").unionByName(recompute(reached).select(old.columns))
+
+
 def relation_status(df: DataFrame) -> DataFrame:
     """df with status and reason of each relation, the first that holds. Columns: seeds_known, entry_known, entry_time, first_seed_time,
     seeds_positive, amount_status, role, actor, certified, reached (without regard to roles), disjoint_rule, asset_seeded, depth."""

@@ -70,3 +70,10 @@ def enrichment(old: DataFrame, new: DataFrame, key: str, fields: list[str], prov
     both = [F.when(F.col("a_here") & F.col("b_here") & ~F.col(f"a_{f}").eqNullSafe(F.col(f"b_{f}")), row(f, change(f))) for f in fields]
     ends = [F.when(F.col("b_here").isNull(), row("*", F.lit("REMOVED"))), F.when(F.col("a_here").isNull(), row("*", F.lit("ADDED")))]
     return a.join(b, key, "full").select(key, F.explode(F.array_compact(F.array(*ends, *both))).alias("x")).select(key, "x.*")
+
+
+def revoked(returned: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """Results (request_id, event_id) that were returned before, with state: a conflict (event_id) that came later revokes all of every result
+    that holds one of its facts, so the evidence stays, as REVOKED. Only requests that a conflict touches are looked at as a whole."""
+    touched = returned.join(conflicts.select("event_id").distinct(), "event_id", "left_semi").select("request_id").distinct().withColumn("_hit", F.lit(True))
+    return returned.join(touched, "request_id", "left").withColumn("state", F.when(F.col("_hit"), "REVOKED").otherwise("VALID")).drop("_hit")

@@ -19,3 +19,15 @@ def running(df: DataFrame, by: list[str], order: list[str], value: str, out: str
     before = totals.select(*by, "_range", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"))
     local = ranged.withColumn("_here", F.sum(value).over(here))
     return local.join(before, [*by, "_range"]).withColumn(out, F.col("_here") + F.col("_before")).drop("_range", "_here", "_before")
+
+
+def running_least(df: DataFrame, by: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """As `running`, with the least of `value` (nulls left out; structs compare field by field) in place of the sum. Rows that are equal by
+    `order` must not differ in whether they have a value."""
+    ranged = stored(df.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    here = Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy(*by, "_range").agg(F.min(value).alias("_total"))
+    before = totals.select(*by, "_range", F.min("_total").over(earlier).alias("_before"))
+    local = ranged.withColumn("_here", F.min(value).over(here))
+    return local.join(before, [*by, "_range"]).withColumn(out, F.least("_here", "_before")).drop("_range", "_here", "_before")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import audit, order
 from ledgerloom.plans.collect_catalogue import registry
 from ledgerloom.sources.derived import TRANSFERS_SQL, transfers
+from ledgerloom.sources.shared import Run, digest_of, stored
 
 #: A pool of events is this long; each wait of the windowed variant at most this.
 POOL, WAIT = 172_800, 21_600
@@ -34,9 +35,20 @@ def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry(spark, sf_dir).select("account", F.col("identity_class").alias("role"))
 
 
-def _certified(spark: SparkSession, sf_dir: str, variant: str) -> DataFrame:
+def identities_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identities after a change of a few labels."""
+    return identities(spark, sf_dir).withColumn("role", F.when(F.col("account") % 500 == 7, "SERVICE").otherwise(F.col("role")))
+
+
+def _certified(spark: SparkSession, sf_dir: str, variant: str, known: DataFrame | None = None, queries: DataFrame | None = None) -> DataFrame:
+    """Certificates of a variant, with other identities or for some queries only if asked."""
     e, s = events(spark, sf_dir), seeds(spark, sf_dir)
-    return audit.certificates(e, s, None if variant == "causal" else identities(spark, sf_dir), WAIT if variant == "window" else None)
+    if known is None and queries is None:  # queries over the same files share a run
+        run = Run(spark, f"certified|{POOL}|{WAIT}|{digest_of(spark, f'{sf_dir}/events.parquet')}")
+        return run.step(variant, lambda: audit.certificates(e, s, None if variant == "causal" else identities(spark, sf_dir), WAIT if variant == "window" else None))
+    if queries is not None:
+        e, s = (x.join(queries, "query_id", "left_semi") for x in (e, s))
+    return audit.certificates(e, s, None if variant == "causal" else known or identities(spark, sf_dir), WAIT if variant == "window" else None)
 
 
 def strict_before_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,15 +91,16 @@ def reference_certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("query_id", "event_id", text("path").alias("path"), text("unknown").alias("unknown"), "depth", "max_wait")
 
 
-def _relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _relations(spark: SparkSession, sf_dir: str, known: DataFrame | None = None, queries: DataFrame | None = None) -> DataFrame:
     """Entries (events whose id 3 divides with rest 1) with all that their status depends on."""
     e = events(spark, sf_dir)
+    e = e if queries is None else e.join(queries, "query_id", "left_semi")
     s = seeds(spark, sf_dir).join(e, ["query_id", "event_id"])
     firsts = s.groupBy("query_id").agg(F.min("tsec").alias("first_seed_time"), (F.count_if(~(F.col("ok") & (F.col("amount") > 0))) == 0).alias("seeds_positive"), F.collect_set("asset").alias("assets"))  # two assets
-    flag = lambda v, name, *more: _certified(spark, sf_dir, v).select("query_id", "event_id", F.lit(True).alias(name), *more)
+    flag = lambda v, name, *more: _certified(spark, sf_dir, v, known, queries).select("query_id", "event_id", F.lit(True).alias(name), *more)
     df = e.where("event_id % 3 = 1").join(firsts, "query_id", "left").join(flag("policy", "certified", "depth"), ["query_id", "event_id"], "left")
     df = df.join(flag("causal", "reached"), ["query_id", "event_id"], "left").join(flag("window", "within"), ["query_id", "event_id"], "left")
-    df = df.join(identities(spark, sf_dir).withColumnRenamed("account", "recipient"), "recipient", "left")
+    df = df.join((known or identities(spark, sf_dir)).withColumnRenamed("account", "recipient"), "recipient", "left")
     no = lambda c: F.coalesce(c, F.lit(False))
     df = df.withColumns(
         {
@@ -103,6 +116,21 @@ def reference_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _relations(spark, sf_dir).select("query_id", "event_id", "status", "reason", F.when(F.col("status") == "VERIFIED_TASK_REFERENCE", F.when(F.col("within"), "WITHIN").otherwise("OUTSIDE")).otherwise("NOT_APPLICABLE").alias("window"))
 
 
+def _maintained(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Relations after a change of labels, from those before it, and the queries that the change reaches."""
+    columns = ["query_id", "event_id", "recipient", "status", "reason"]
+    was, now = identities(spark, sf_dir), identities_after(spark, sf_dir)
+    old = stored(_relations(spark, sf_dir).select(columns), "relations-before")
+    changed = was.join(now.withColumnRenamed("role", "is"), "account").where("role <> is")
+    reached = stored(audit.affected(events(spark, sf_dir), old, changed), "reached")
+    return audit.maintained(old, reached, lambda queries: _relations(spark, sf_dir, now, queries).select(columns)), reached
+
+
+def reference_maintained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statuses after a change of labels: only the queries that it reaches are computed anew."""
+    return _maintained(spark, sf_dir)[0].drop("recipient")
+
+
 def reference_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct units of verified relations, of those within the window too, and the count of each reason."""
     r = _relations(spark, sf_dir).where("status = 'VERIFIED_TASK_REFERENCE'")
@@ -118,7 +146,7 @@ def reference_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (strict_before_pairs, event_sort, reference_pools, reference_reach, reference_certificates, reference_status, reference_metrics, reference_reasons)
+    found = (strict_before_pairs, event_sort, reference_pools, reference_reach, reference_certificates, reference_status, reference_maintained, reference_metrics, reference_reasons)
     return {f.__name__: f for f in found}
 
 
@@ -127,6 +155,7 @@ ev AS (SELECT tsec // {POOL} AS query_id, event_id, sender, recipient, asset, CA
   CASE WHEN kind = 'erc20' THEN log_index END AS log_index, kind, tsec, CASE WHEN event_id % 83 = 0 THEN 0 WHEN event_id % 79 = 0 THEN -amount_raw ELSE amount_raw END AS amount, success AS ok FROM transfers),
 sd AS (SELECT query_id, event_id FROM ev WHERE event_id % 40 = 0 AND query_id % 5 <> 0),
 rg AS (SELECT DISTINCT user_id AS account, CASE user_id % 10 WHEN 3 THEN 'SERVICE' WHEN 7 THEN 'BRIDGE_BOUNDARY' WHEN 5 THEN 'CONFLICTED_IDENTITY' ELSE 'UNKNOWN' END AS role FROM events WHERE user_id % 10 <> 9)"""
+_AFTER_CHANGE = _EVENTS.replace("CASE user_id % 10", "CASE WHEN user_id % 500 = 7 THEN 'SERVICE' ELSE CASE user_id % 10").replace("ELSE 'UNKNOWN' END AS role", "ELSE 'UNKNOWN' END END AS role")
 _BEFORE = """CASE WHEN a.event_id = b.event_id THEN false WHEN a.block <> b.block THEN a.block < b.block WHEN a.block IS NOT NULL AND b.block IS NOT NULL AND a.tx_hash <> b.tx_hash THEN a.tx_index < b.tx_index
   WHEN (a.block IS NULL OR b.block IS NULL) AND a.tsec <> b.tsec THEN a.tsec < b.tsec WHEN a.tx_hash <> b.tx_hash THEN NULL WHEN a.log_index IS NOT NULL AND b.log_index IS NOT NULL THEN a.log_index < b.log_index
   WHEN a.kind = 'top' AND b.kind <> 'top' THEN true WHEN b.kind = 'top' AND a.kind <> 'top' THEN false END"""
@@ -162,6 +191,7 @@ def oracle_sql() -> dict[str, str]:
 SELECT incident, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM u GROUP BY incident""",
         "reference_reach": f"{_EVENTS}, {_REACH} SELECT * FROM rc",
         "reference_status": f"{_EVENTS}, {_REACH}, {_RELATIONS} SELECT query_id, event_id, status, reason, CASE WHEN status <> 'VERIFIED_TASK_REFERENCE' THEN 'NOT_APPLICABLE' WHEN within THEN 'WITHIN' ELSE 'OUTSIDE' END AS \"window\" FROM ss",
+        "reference_maintained": f"{_AFTER_CHANGE}, {_REACH}, {_RELATIONS} SELECT query_id, event_id, status, reason FROM ss",
         "reference_metrics": f"{_EVENTS}, {_REACH}, {_RELATIONS} SELECT 'B' AS pool, {units} UNION ALL SELECT 'C', {units} AND within",
         "reference_reasons": f"{_EVENTS}, {_REACH}, {_RELATIONS} SELECT status, reason, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM ss GROUP BY ALL",
     }

@@ -130,10 +130,20 @@ def conflicts_touching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.join(hit, ["o_orderkey", "id"], "left_semi")
 
 
+def revoked_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of orders' requests (their own lines and those of the next order's) after conflicts came to light among the lines."""
+    line = read(spark, sf_dir, "lineitem")
+    fact = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("event_id")
+    own = line.select(F.col("l_orderkey").alias("request_id"), fact)
+    returned = own.union(line.select((F.col("l_orderkey") - 1).alias("request_id"), fact)).distinct()
+    bad = facts.reconcile(line, ["l_orderkey", "l_linenumber"], ["l_returnflag"]).where("status = 'CONFLICT'").select(fact)
+    return facts.revoked(returned, bad)
+
+
 def queries() -> dict:
     found = (
         collection_states, trace_membership, collection_gaps, collection_limits, collection_kept, collection_status, collection_invalidated, admission_rows,
-        fact_components, identity_binding, graph_faults, fact_enrichment, conflicts_touching,
+        fact_components, identity_binding, graph_faults, fact_enrichment, conflicts_touching, revoked_results,
     )
     return {f.__name__: f for f in found}
 
@@ -176,6 +186,9 @@ SELECT root AS first_id, count(*) AS versions, count(DISTINCT event_id) AS ids,
 c AS (SELECT k, 'status' AS field, 'COMPATIBLE_FILL' AS change FROM j WHERE old AND new AND k % 5 = 0 UNION ALL SELECT k, 'customer', 'EXPLICIT_CHANGE' FROM j WHERE old AND new AND k % 13 = 0
   UNION ALL SELECT k, 'source', 'PROVENANCE_CHANGE' FROM j WHERE old AND new AND k % 11 = 0 UNION ALL SELECT k, '*', 'REMOVED' FROM j WHERE old AND NOT new UNION ALL SELECT k, '*', 'ADDED' FROM j WHERE new AND NOT old)
 SELECT field, change, count(*) AS n, CAST(sum(k) AS BIGINT) AS ids FROM c GROUP BY ALL""",
+        "revoked_results": """WITH c AS (SELECT l_orderkey * 8 + l_linenumber AS f FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(DISTINCT l_returnflag) > 1),
+r AS (SELECT l_orderkey AS request_id, l_orderkey * 8 + l_linenumber AS event_id FROM lineitem UNION SELECT l_orderkey - 1, l_orderkey * 8 + l_linenumber FROM lineitem)
+SELECT request_id, event_id, CASE WHEN bool_or(event_id IN (SELECT f FROM c)) OVER (PARTITION BY request_id) THEN 'REVOKED' ELSE 'VALID' END AS state FROM r""",
         "conflicts_touching": """WITH c AS (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY ALL HAVING count(DISTINCT l_returnflag) > 1)
 SELECT o_orderkey, CAST(o_orderkey % 7 + 1 AS INTEGER) AS id FROM orders WHERE (o_orderkey, o_orderkey % 7 + 1) IN (SELECT (l_orderkey, l_linenumber) FROM c)""",
     }

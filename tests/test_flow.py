@@ -305,3 +305,31 @@ def test_a_claim_without_a_role_names_no_one(spark):
     df = df.withColumns({"semantic_kind": F.lit("ATTRIBUTION"), "record_conflict": F.lit(False), "collection_scope": F.lit("FRONTIER"), "generation_mechanism": F.lit("m")})
     got = identity.resolve(df, spark.createDataFrame([], "address string, identity_class string, actor string"))
     assert {r["address"]: (r["identity_class"], r["actor"]) for r in got.collect()} == {"x": ("SERVICE", "Binance"), "y": ("SERVICE", "OKX")}
+
+
+def test_maintained_relations_equal_those_computed_anew(spark):
+    found, reached = audit_catalogue._maintained(spark, SF)
+    found = found.cache()
+    anew = audit_catalogue._relations(spark, SF, audit_catalogue.identities_after(spark, SF)).select(found.columns).cache()
+    assert found.exceptAll(anew).count() == anew.exceptAll(found).count() == 0
+    pools = audit_catalogue.events(spark, SF).select("query_id").distinct().count()
+    assert 0 < reached.count() <= pools
+
+
+def test_a_change_reaches_only_its_queries(spark):
+    """Rows of other queries are taken over, and recompute sees none but the reached ones."""
+    events = spark.createDataFrame([(1, 10, 20), (2, 30, 40), (3, 50, 60)], "query_id long, sender long, recipient long")
+    old = spark.createDataFrame([(1, 20, "a"), (2, 40, "b"), (3, 77, "c")], "query_id long, recipient long, status string")
+    changed = spark.createDataFrame([(30,), (77,), (99,)], "account long")
+    reached = audit.affected(events, old, changed)
+    assert sorted(r[0] for r in reached.collect()) == [2, 3]
+    asked = []
+    anew = lambda q: asked.extend(r[0] for r in q.collect()) or q.select("query_id", F.lit(0).cast("long").alias("recipient"), F.lit("new").alias("status"))
+    assert sorted(map(tuple, audit.maintained(old, reached, anew).collect())) == [(1, 20, "a"), (2, 0, "new"), (3, 0, "new")] and sorted(asked) == [2, 3]
+    assert sorted(map(tuple, audit.maintained(old, reached.where("query_id < 0"), lambda q: old.where("false")).collect())) == sorted(map(tuple, old.collect()))
+
+
+def test_a_late_conflict_revokes_whole_results(spark):
+    returned = spark.createDataFrame([(1, 5), (1, 6), (2, 6), (3, 7)], "request_id long, event_id long")
+    got = facts.revoked(returned, spark.createDataFrame([(5,), (5,), (9,)], "event_id long")).collect()
+    assert sorted(map(tuple, got)) == [(1, 5, "REVOKED"), (1, 6, "REVOKED"), (2, 6, "VALID"), (3, 7, "VALID")]
