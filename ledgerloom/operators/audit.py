@@ -10,6 +10,9 @@ from ledgerloom.sources.shared import stored
 from . import prefix
 
 # Classes of identity that a certificate doesn't pass.
+# Those that end a search at a service or a boundary; and why a chain that is there doesn't count.
+ENDS = ("SERVICE", "BRIDGE_BOUNDARY", "MIXER_BOUNDARY")
+FIRST_BOUNDARY, OTHER_BOUNDARY = "KNOWN_FIRST_SERVICE_OR_BOUNDARY_BLOCKS_AVAILABLE_CERTIFICATES", "KNOWN_PROTOCOL_OR_CONFLICT_BOUNDARY_ON_AVAILABLE_CERTIFICATE"
 STOP_ROLES = ("SERVICE", "BRIDGE_BOUNDARY", "MIXER_BOUNDARY", "DEX_OR_PROTOCOL", "CONFLICTED_IDENTITY")
 
 
@@ -151,6 +154,15 @@ def certificates(events: DataFrame, seeds: DataFrame, identities: DataFrame | No
         seen = now
 
 
+def boundaries(certified: DataFrame, events: DataFrame, identities: DataFrame) -> DataFrame:
+    """query_id, event_id, first_boundary: whether the accounts of a stop role that a certificate (of order alone) passes before its end, if
+    there are any, are all services or boundaries."""
+    passed = certified.select("query_id", "event_id", F.explode(F.slice("path", F.lit(1), F.size("path") - 1)).alias("_at"))
+    at = events.select("query_id", F.col("event_id").alias("_at"), F.col("recipient").alias("account"))
+    stops = passed.join(at, ["query_id", "_at"]).join(identities, "account").where(F.col("role").isin(*STOP_ROLES))
+    return stops.groupBy("query_id", "event_id").agg((F.count_if(~F.col("role").isin(*ENDS)) == 0).alias("first_boundary"))
+
+
 def affected(events: DataFrame, relations: DataFrame, changed: DataFrame) -> DataFrame:
     """The queries that changed accounts (account) reach: backwards from the events they take part in and the relations that they are the target
     of (recipient) to the queries that those belong to."""
@@ -167,7 +179,7 @@ def maintained(old: DataFrame, reached: DataFrame, recompute) -> DataFrame:
 
 def relation_status(df: DataFrame) -> DataFrame:
     """df with status and reason of each relation, the first that holds. Columns: seeds_known, entry_known, entry_time, first_seed_time,
-    seeds_positive, amount_status, role, actor, certified, reached (without regard to roles), disjoint_rule, asset_seeded, depth."""
+    seeds_positive, amount_status, role, actor, certified, reached (without regard to roles), first_boundary (see `boundaries`), disjoint_rule, asset_seeded, depth."""
     c = F.col
     early = c("seeds_known") & c("entry_known") & (c("entry_time") < c("first_seed_time"))
     scope = c("role").isin("BRIDGE_BOUNDARY", "MIXER_BOUNDARY", "DEX_OR_PROTOCOL", "NON_SERVICE_SENTINEL")
@@ -182,7 +194,7 @@ def relation_status(df: DataFrame) -> DataFrame:
         .when((c("role") != "SERVICE") | c("actor").isNull(), "TARGET_SERVICE_IDENTITY_UNRESOLVED")
         .when(c("certified") & c("disjoint_rule"), "S3_INJECTION_DISJOINTNESS_UNRESOLVED")
         .when(c("certified"), F.when(c("depth") == 0, "EXACT_ZERO_HOP_SERVICE_ENTRY").otherwise("STRICT_POSITIVE_SAME_ASSET_FIRST_IDENTIFIED_SERVICE"))
-        .when(c("reached"), "KNOWN_BOUNDARY_ON_AVAILABLE_CERTIFICATES")
+        .when(c("reached"), F.when(c("first_boundary"), FIRST_BOUNDARY).otherwise(OTHER_BOUNDARY))
         .when(~c("asset_seeded"), "PROTOCOL_SEMANTICS_UNRESOLVED")
         .otherwise("NO_STRICT_SAME_ASSET_REFERENCE_CHAIN")
     )

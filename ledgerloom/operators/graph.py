@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import prefix
+
 from .order import strictly_after
 
 #: Stops of an arrival, in order of precedence: the class of its account, then the depth.
@@ -20,10 +22,12 @@ def stop_reason(kind: Column, level: Column, depth: int) -> Column:
     )
 
 
-def ordinals(events: DataFrame, by: list[str]) -> DataFrame:
-    """ord: place of each event of its graph (`by`) in causal order, from zero; a transaction's top event comes first."""
+def ordinals(events: DataFrame, by: list[str], most: int = prefix.MOST_ROWS) -> DataFrame:
+    """ord: place of each event of its graph (`by`) in causal order, from zero; a transaction's top event comes first. Graphs of over `most` events
+    are numbered over ranges."""
     order = ["block", F.coalesce("tx_index", F.lit(-1)), F.when(F.col("kind") == "top", 0).otherwise(1), F.coalesce("log_index", F.lit(0)), "event_id"]
-    return events.withColumn("ord", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
+    one = events.withColumn("_one", F.lit(1).cast("long"))
+    return prefix.total_so_far(one, by, order, "_one", "ord", most).drop("_one").withColumn("ord", (F.col("ord") - 1).cast("int"))
 
 
 def ambiguous(events: DataFrame) -> DataFrame:

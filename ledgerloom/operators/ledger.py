@@ -156,10 +156,10 @@ def export_envelope(results: DataFrame, observed: DataFrame, page_size: int) ->
     return df.select("result", size.alias("bytes"), points.alias("datapoints"), pages.alias("pages"), per_page.alias("per_page"), (per_page * pages).alias("credits"))
 
 
-def running_balance(moves: DataFrame) -> DataFrame:
-    """Balance of each account and asset after every move, in causal order."""
-    w = Window.partitionBy("account", "asset").orderBy("ord", "sign").rowsBetween(Window.unboundedPreceding, 0)
-    return moves.withColumn("balance", F.sum(F.col("sign") * F.col("amount")).over(w))
+def running_balance(moves: DataFrame, most: int = prefix.MOST_ROWS) -> DataFrame:
+    """Balance of each account and asset after every move, in causal order; a hub of over `most` moves is summed over ranges of them."""
+    moves = moves.withColumn("_change", F.col("sign") * F.col("amount"))
+    return prefix.total_so_far(moves, ["account", "asset"], ["ord", "sign"], "_change", "balance", most).drop("_change")
 
 
 def known_balance(moves: DataFrame, openings: DataFrame) -> DataFrame:

@@ -21,6 +21,20 @@ def running(df: DataFrame, by: list[str], order: list[str], value: str, out: str
     return local.join(before, [*by, "_range"]).withColumn(out, F.col("_here") + F.col("_before")).drop("_range", "_here", "_before")
 
 
+#: Rows of a group up to which one task sums it.
+MOST_ROWS = 1_000_000
+
+
+def total_so_far(df: DataFrame, by: list[str], order: list[str], value: str, out: str, most: int = MOST_ROWS) -> DataFrame:
+    """As `running`, by a plain window for groups of at most `most` rows, and over ranges for larger ones only. A group's key is not null."""
+    large = stored(df.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(*by), "large-groups")
+    window = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    if large.isEmpty():
+        return df.withColumn(out, F.sum(value).over(window))
+    small = df.join(large, by, "left_anti").withColumn(out, F.sum(value).over(window))
+    return small.unionByName(running(df.join(large, by, "left_semi"), by, order, value, out))
+
+
 def running_least(df: DataFrame, by: list[str], order: list[str], value: str, out: str) -> DataFrame:
     """As `running`, with the least of `value` (nulls left out; structs compare field by field) in place of the sum. Rows that are equal by
     `order` must not differ in whether they have a value."""

@@ -100,12 +100,13 @@ def _relations(spark: SparkSession, sf_dir: str, known: DataFrame | None = None,
     flag = lambda v, name, *more: _certified(spark, sf_dir, v, known, queries).select("query_id", "event_id", F.lit(True).alias(name), *more)
     df = e.where("event_id % 3 = 1").join(firsts, "query_id", "left").join(flag("policy", "certified", "depth"), ["query_id", "event_id"], "left")
     df = df.join(flag("causal", "reached"), ["query_id", "event_id"], "left").join(flag("window", "within"), ["query_id", "event_id"], "left")
+    df = df.join(audit.boundaries(_certified(spark, sf_dir, "causal", known, queries), e, known or identities(spark, sf_dir)), ["query_id", "event_id"], "left")
     df = df.join((known or identities(spark, sf_dir)).withColumnRenamed("account", "recipient"), "recipient", "left")
     no = lambda c: F.coalesce(c, F.lit(False))
     df = df.withColumns(
         {
             "seeds_known": F.col("first_seed_time").isNotNull(), "entry_known": F.col("event_id") % 67 != 0, "entry_time": F.col("tsec"), "amount_status": order.amount_status(F.col("amount").cast("string")),
-            "role": F.coalesce("role", F.lit("UNKNOWN")), "actor": F.when(F.col("recipient") % 20 != 3, F.col("recipient")), "certified": no("certified"), "reached": no("reached"), "within": no("within"),
+            "role": F.coalesce("role", F.lit("UNKNOWN")), "actor": F.when(F.col("recipient") % 20 != 3, F.col("recipient")), "certified": no("certified"), "reached": no("reached"), "first_boundary": no("first_boundary"), "within": no("within"),
             "disjoint_rule": F.col("query_id") % 4 == 0, "asset_seeded": no(F.array_contains("assets", F.col("asset"))), "seeds_positive": no("seeds_positive"),
         }
     )
@@ -171,13 +172,17 @@ ln AS (SELECT b.query_id, a.event_id AS p, b.event_id AS e, b.tsec - a.tsec AS w
 rc AS (SELECT v AS variant, query_id, event_id FROM rl, (VALUES ('causal'), ('policy'), ('window')) t(v) WHERE seed
   UNION SELECT rc.variant, ln.query_id, e FROM rc JOIN ln ON rc.event_id = p WHERE (variant = 'causal' OR NOT stop) AND (variant <> 'window' OR wait <= {WAIT}))"""
 _RELATIONS = f"""fs AS (SELECT query_id, min(tsec) AS first, bool_and(ok AND amount > 0) AS positive, bool_or(asset = 0) AS a0, bool_or(asset = 1) AS a1 FROM ev JOIN sd USING (query_id, event_id) GROUP BY query_id),
-wr AS (SELECT ev.*, first, coalesce(positive, false) AS positive, CASE WHEN asset = 0 THEN coalesce(a0, false) ELSE coalesce(a1, false) END AS seeded, coalesce(role, 'UNKNOWN') AS role, CASE WHEN recipient % 20 <> 3 THEN recipient END AS actor,
+cp(event_id, path) USING KEY (event_id) AS (SELECT event_id, [event_id] FROM rl WHERE seed UNION SELECT c.event_id, c.path FROM
+  (SELECT ln.e AS event_id, min(list_append(cp.path, ln.e)) AS path FROM cp JOIN ln ON ln.p = cp.event_id GROUP BY ln.e) c LEFT JOIN recurring.cp r ON r.event_id = c.event_id WHERE r.path IS NULL OR c.path < r.path),
+bo AS (SELECT x.event_id, bool_and(role IN ('SERVICE', 'BRIDGE_BOUNDARY', 'MIXER_BOUNDARY')) AS firsts FROM (SELECT event_id, unnest(path[:-2]) AS at FROM cp) x JOIN ev ON ev.event_id = x.at JOIN rg ON account = ev.recipient
+  WHERE role IN ('SERVICE', 'BRIDGE_BOUNDARY', 'MIXER_BOUNDARY', 'DEX_OR_PROTOCOL', 'CONFLICTED_IDENTITY') GROUP BY x.event_id),
+wr AS (SELECT ev.*, first, coalesce((SELECT firsts FROM bo WHERE bo.event_id = ev.event_id), false) AS firsts, coalesce(positive, false) AS positive, CASE WHEN asset = 0 THEN coalesce(a0, false) ELSE coalesce(a1, false) END AS seeded, coalesce(role, 'UNKNOWN') AS role, CASE WHEN recipient % 20 <> 3 THEN recipient END AS actor,
   EXISTS (SELECT 1 FROM rc WHERE variant = 'causal' AND rc.event_id = ev.event_id) AS reached, EXISTS (SELECT 1 FROM rc WHERE variant = 'policy' AND rc.event_id = ev.event_id) AS certified, EXISTS (SELECT 1 FROM rc WHERE variant = 'window' AND rc.event_id = ev.event_id) AS within,
   EXISTS (SELECT 1 FROM sd WHERE sd.event_id = ev.event_id) AS seed FROM ev LEFT JOIN fs USING (query_id) LEFT JOIN rg ON account = recipient WHERE event_id % 3 = 1),
 rr AS (SELECT *, CASE WHEN first IS NOT NULL AND event_id % 67 <> 0 AND tsec < first THEN 'ENTRY_BEFORE_EARLIEST_SEED' WHEN first IS NULL THEN 'EXACT_SEED_UNRESOLVED' WHEN event_id % 67 = 0 THEN 'EXACT_ENTRY_UNRESOLVED' WHEN NOT positive THEN 'SEED_POSITIVE_AMOUNT_UNRESOLVED'
   WHEN amount = 0 THEN 'ENTRY_AMOUNT_ZERO' WHEN amount < 0 THEN 'ENTRY_AMOUNT_NEGATIVE' WHEN role = 'BRIDGE_BOUNDARY' THEN role WHEN role = 'CONFLICTED_IDENTITY' THEN 'TARGET_IDENTITY_CONFLICT' WHEN role <> 'SERVICE' OR actor IS NULL THEN 'TARGET_SERVICE_IDENTITY_UNRESOLVED'
   WHEN certified AND query_id % 4 = 0 THEN 'S3_INJECTION_DISJOINTNESS_UNRESOLVED' WHEN certified THEN CASE WHEN seed THEN 'EXACT_ZERO_HOP_SERVICE_ENTRY' ELSE 'STRICT_POSITIVE_SAME_ASSET_FIRST_IDENTIFIED_SERVICE' END
-  WHEN reached THEN 'KNOWN_BOUNDARY_ON_AVAILABLE_CERTIFICATES' WHEN NOT seeded THEN 'PROTOCOL_SEMANTICS_UNRESOLVED' ELSE 'NO_STRICT_SAME_ASSET_REFERENCE_CHAIN' END AS reason FROM wr),
+  WHEN reached AND firsts THEN 'KNOWN_FIRST_SERVICE_OR_BOUNDARY_BLOCKS_AVAILABLE_CERTIFICATES' WHEN reached THEN 'KNOWN_PROTOCOL_OR_CONFLICT_BOUNDARY_ON_AVAILABLE_CERTIFICATE' WHEN NOT seeded THEN 'PROTOCOL_SEMANTICS_UNRESOLVED' ELSE 'NO_STRICT_SAME_ASSET_REFERENCE_CHAIN' END AS reason FROM wr),
 ss AS (SELECT *, CASE WHEN reason = 'ENTRY_BEFORE_EARLIEST_SEED' THEN 'REJECTED_ASSOCIATION' WHEN reason = 'BRIDGE_BOUNDARY' THEN 'OUTSIDE_CURRENT_SERVICE_TARGET_SCOPE' WHEN reason IN ('EXACT_ZERO_HOP_SERVICE_ENTRY', 'STRICT_POSITIVE_SAME_ASSET_FIRST_IDENTIFIED_SERVICE') THEN 'VERIFIED_TASK_REFERENCE' ELSE 'UNRESOLVED' END AS status FROM rr)"""
 
 

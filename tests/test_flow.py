@@ -333,3 +333,14 @@ def test_a_late_conflict_revokes_whole_results(spark):
     returned = spark.createDataFrame([(1, 5), (1, 6), (2, 6), (3, 7)], "request_id long, event_id long")
     got = facts.revoked(returned, spark.createDataFrame([(5,), (5,), (9,)], "event_id long")).collect()
     assert sorted(map(tuple, got)) == [(1, 5, "REVOKED"), (1, 6, "REVOKED"), (2, 6, "VALID"), (3, 7, "VALID")]
+
+
+def test_hubs_are_summed_and_numbered_over_ranges(spark):
+    r = random.Random(12)
+    rows = [(r.randrange(3), 0, i, s, r.randrange(1, 9)) for i in range(120) for s in (-1, 1)]
+    moves = spark.createDataFrame(rows, "account long, asset long, ord long, sign int, amount long").repartition(4)
+    plain = lambda df: sorted(map(tuple, df.select("account", "asset", "ord", "sign", "amount", "balance").collect()))
+    assert plain(ledger.running_balance(moves)) == plain(ledger.running_balance(moves, most=70)) == plain(ledger.running_balance(moves, most=0))
+    events = spark.createDataFrame([(i % 2, r.randrange(4), r.choice([None, 1, 2]), r.choice(["top", "erc20"]), r.choice([None, 1]), i) for i in range(80)], "asset long, block long, tx_index long, kind string, log_index long, event_id long")
+    placed = lambda df: sorted((x.event_id, x.ord) for x in df.collect())
+    assert placed(graph.ordinals(events, ["asset"])) == placed(graph.ordinals(events, ["asset"], most=0))
