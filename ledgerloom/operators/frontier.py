@@ -40,6 +40,9 @@ def successors(states: DataFrame, transfers: DataFrame, window: int, scope_end:
     end = F.col("a_tsec") + window
     inside = F.col("e_tsec").between(F.col("a_tsec"), end if scope_end is None else F.least(end, F.lit(scope_end))) & (F.col("e_block") >= F.col("a_block"))
     if seen["n"] <= most:
+        # The semi-join goes below what transfers are computed from, down to the scan; only what it leaves is looked at further.
+        here_at_all = F.broadcast(states.select(F.col("recipient").alias("_account")))
+        e = e.join(here_at_all, F.col("e_sender") == F.col("_account"), "left_semi")
         met = e.join(F.broadcast(a), here & inside)
     else:
         slot = lambda c: F.floor(F.col(c) / window)
@@ -54,10 +57,12 @@ def _spent(levels: list[DataFrame], by: list[str], most_events: int, most_accoun
     return sums.where((F.col("events") >= most_events) | (F.col("accounts") >= most_accounts)).select(*by)
 
 
-def _levels(transfers: DataFrame, seeds: DataFrame, depth: int, window: int, follows, scope_end: int | None, by: list[str], run: Run, most: int, budget: tuple[int, int] | None = None, edges: bool = False):
+def _levels(
+    transfers: DataFrame, seeds: DataFrame, depth: int, window: int, follows, scope_end: int | None, by: list[str], run: Run, most: int, budget: tuple[int, int] | None = None, edges: bool = False, last: bool = True
+):
     """For each level: its states, and with `edges` the (arrival, event) pairs that led to them (none for the seeds). Each level is a step of
     the run; transfers are scanned where they are, once a level. `by`: what a seed carries on to all that follows, such as its query.
-    budget: events and accounts at which a query goes no further."""
+    budget: events and accounts at which a query goes no further. last: whether the last level is a step too; nothing follows from it."""
     columns = transfers.columns
     levels = [run.step("level-0", lambda: seeds.select(F.lit(0).alias("level"), *by, *columns), bounds())]
     yield levels[0], None
@@ -68,7 +73,8 @@ def _levels(transfers: DataFrame, seeds: DataFrame, depth: int, window: int, fol
         carried, at = [F.col(f"a_{c}").alias(c) for c in by], F.lit(d).alias("level")
         found = lambda going=going, d=d: successors(going, transfers, window, scope_end, most, run.seen[f"level-{d - 1}"])
         pairs = run.step(f"pairs-{d}", found) if edges else None
-        levels.append(run.step(f"level-{d}", lambda: (pairs if edges else found()).select(at, *carried, *[F.col(f"e_{c}").alias(c) for c in columns]).dropDuplicates([*by, "event_id"]), bounds()))  # noqa: B023
+        states = lambda: (pairs if edges else found()).select(at, *carried, *[F.col(f"e_{c}").alias(c) for c in columns]).dropDuplicates([*by, "event_id"])  # noqa: B023, E731
+        levels.append(run.step(f"level-{d}", states, bounds()) if last or d < depth else states())
         yield levels[-1], pairs.select(at, *carried, F.col("e_event_id").alias("event_id"), F.col("a_event_id").alias("arrival_id")) if edges else None
 
 
@@ -82,9 +88,9 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 def trace(transfers: DataFrame, seeds: DataFrame, depth: int, window: int, is_service, scope_end: int | None = None, run: Run | None = None, most: int = BROADCAST) -> DataFrame:
     """(level, the columns of transfers) for every level up to depth. Arrivals at a service stop; a state is an event at a
     level. With a run that was cut off, finished levels are read and the rest is computed."""
-    run = run or Run(transfers.sparkSession)
     follows = lambda level: level.where(~is_service(F.col("recipient")))
-    return _union([level for level, _ in _levels(transfers, seeds, depth, window, follows, scope_end, [], run, most)])
+    levels = _levels(transfers, seeds, depth, window, follows, scope_end, [], run or Run(transfers.sparkSession), most, last=run is not None)
+    return _union([level for level, _ in levels])
 
 
 def collect(

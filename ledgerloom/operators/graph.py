@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import prefix
-
 from .order import strictly_after
 
 #: Stops of an arrival, in order of precedence: the class of its account, then the depth.

@@ -29,7 +29,8 @@ def _pairs(spark: SparkSession, sf_dir: str, span: int, ends: tuple[str, ...]) -
     t = transfers(spark, sf_dir)
     a = t.select(*[F.col(c).alias(f"a_{c}") for c in t.columns], F.col("recipient").alias("account"), F.explode(F.sequence(F.floor(F.col("tsec") / span) - 1, F.floor(F.col("tsec") / span) + 1)).alias("slot"))
     e = t.select(*[F.col(c).alias(f"e_{c}") for c in t.columns], F.explode(F.array_distinct(F.array(*ends))).alias("account"), F.floor(F.col("tsec") / span).alias("slot"))
-    return e.join(a, ["account", "slot"]).where(F.abs(F.col("e_tsec") - F.col("a_tsec")) <= span)
+    # Pairs outnumber the rows they come from by far, so both sides are dealt, however small.
+    return e.join(a.hint("merge"), ["account", "slot"]).where(F.abs(F.col("e_tsec") - F.col("a_tsec")) <= span)
 
 
 def _e(f):

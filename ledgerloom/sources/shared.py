@@ -64,13 +64,14 @@ class Run:
     def step(self, name: str, make: Callable[[], DataFrame], watched: tuple[Column, ...] = ()) -> DataFrame:
         """The table of a step. watched: named aggregates of it, which then stand in `seen` under its name, gathered as it is written."""
         path = f"{self.folder}/{name}"
-        done = name in self.finished()
+        done, schema = name in self.finished(), None
         if not done:
             df, watch = make(), Observation()
+            schema = df.schema
             df = df.observe(watch, *watched) if watched else df
             df.write.mode("overwrite").parquet(path)  # over what a run that was cut off may have left
             self.seen[name] = watch.get if watched else {}
-        out = self.spark.read.parquet(path)
+        out = (self.spark.read.schema(schema) if schema else self.spark.read).parquet(path)
         if done and watched:
             self.seen[name] = out.agg(*watched).first().asDict()
         return out
