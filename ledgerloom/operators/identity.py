@@ -141,37 +141,67 @@ def looked_up(frontier: DataFrame, sources: dict[str, DataFrame]) -> DataFrame:
     return out.withColumns(filled)
 
 
+# Fixed values, as one table: the records that classify an owner's address, in order of precedence. A record fits by the owner's key, by its
+# primary category, by what the contract's name holds (RE2), or by what any of these texts holds.
+OWNERS = (
+    ("DEX_OR_PROTOCOL", "OWNER_GNOSIS_SAFE_SELF_CUSTODY_PROTOCOL_GUARD", ("gnosis_safe",), (), "^gnosissafe", None),
+    ("BRIDGE_BOUNDARY", "OWNER_PRIMARY_OR_CONTRACT_BRIDGE_BOUNDARY", ("arbitrum", "celer_network", "hop_protocol"), ("bridge",), "bridge", None),
+    ("MIXER_BOUNDARY", "OWNER_PRIVACY_OR_MIXER_BOUNDARY", (), ("privacy services",), None, "tornado|mixer"),
+    ("DEX_OR_PROTOCOL", "OWNER_DEX_PROTOCOL_OR_OPENSEA_BOUNDARY", ("cow_protocol", "opensea", "sushiswap", "symbiosis"), ("decentralized exchange",), "router|cowswap|seaport", None),
+    ("SERVICE", "OWNER_DETAILS_PRIMARY_CATEGORY_CUSTODIAL_ALLOWLIST", (), ("centralized exchange", "custody services", "payment processing", "casino", "sports betting", "sports betting & prediction markets"), None, None),
+)
+CURATED, BRIDGE, UNMAPPED = "CURATED_NAMED_CUSTODIAL_IF_NON_GENERIC_ACTOR", "NAMED_BRIDGE", "UNMAPPED"
+CEX_RULE, DEPOSIT_RULE, PERSONA_RULE = "EXPLICIT_CEX_NAMED_ADDRESS", "PROGRAMMATIC_NAMED_DEPOSIT_NOT_MANUAL_OR_LEGAL_CONFIRMATION", "PERSONA_OR_USAGE_NEVER_CONTROL_ATTRIBUTION"
+MAPPED_RULE, NO_OWNER_RULE, RAW_RULE = "INHERITED_LABELS_ADDRESSES_V2:", "OWNER_METADATA_INSUFFICIENT_FOR_SERVICE_OR_PROTOCOL_ROLE", "UNMAPPED_RETAINED_RAW"
+NAMELESS, BEHAVES = ";NAMED_ACTOR_REQUIRED", ";BEHAVIOR_OR_DEPLOYER_NOT_CONTROL"
+
+
+def owner_names(candidates: Column) -> Column:
+    """The different owners among an array of names (nulls and empty ones left out), as structs of key and name by key; of spellings of one key the
+    last counts."""
+    named = F.transform(F.filter(candidates, lambda v: F.coalesce(v, F.lit("")) != ""), lambda v: F.struct(canonical_actor(v)[1].alias("key"), canonical_actor(v)[0].alias("name")))
+    return F.transform(F.array_sort(F.array_distinct(F.transform(named, lambda x: x["key"]))), lambda k: F.element_at(F.filter(named, lambda x: x["key"] == k), -1))
+
+
 def classified(rows: DataFrame, rules: DataFrame) -> DataFrame:
-    """rows (row_id, source, name, label_type, category, contract, primary) with role, semantic kind and rule. rules: ordinal, category,
-    label_type (null: any), class; the first that fits an address label decides."""
+    """rows with role, semantic_kind, actor, actor_key, record_conflict, generation_mechanism and rule. Columns, all text and all but the first two
+    left out where a source lacks them: row_id, source; cex_name; name, label_type, category, record_source; owner_key, custody_owner,
+    account_owner, detail_name, primary, tags, contract; distinct_name, algorithm. rules: ordinal, category, label_type, record_source (null:
+    any), class; the first that fits an address label decides. No label of behaviour becomes an owner."""
     c = F.col
-    fits = (c("r.category") == c("x.category")) & (c("r.label_type").isNull() | (c("r.label_type") == F.lower("x.label_type")))
-    x = rows.alias("x").join(F.broadcast(rules.alias("r")), fits & (c("x.source") == "labels.addresses"), "left")  # rules: a fixed short list
-    x = x.groupBy(*[c(f"x.{n}") for n in rows.columns]).agg(F.min_by("class", "ordinal").alias("mapped"))
-    primary, contract = F.lower(F.coalesce("primary", F.lit(""))), F.lower(F.coalesce("contract", F.lit("")))
-    owner = (
-        F.when(contract.startswith("gnosissafe"), "DEX_OR_PROTOCOL")
-        .when((primary == "bridge") | contract.contains("bridge"), "BRIDGE_BOUNDARY")
-        .when((primary == "privacy services") | contract.rlike("tornado|mixer"), "MIXER_BOUNDARY")
-        .when((primary == "decentralized exchange") | contract.rlike("router|cowswap|seaport"), "DEX_OR_PROTOCOL")
-        .when(primary.isin("centralized exchange", "custody services", "payment processing", "casino", "sports betting"), "SERVICE")
-        .otherwise("UNKNOWN")
-    )
-    persona = F.lower(F.coalesce("label_type", F.lit(""))).isin("persona", "usage")
-    role = (
-        F.when(c("source").isin("cex.addresses", "cex.deposit_addresses"), "SERVICE")
-        .when(c("source") == "labels.owner_addresses", owner)
-        .when(persona, "UNKNOWN")
-        .when(c("mapped") == "CUSTODIAL", "SERVICE")
-        .when(c("mapped") == "NAMED_BRIDGE", "BRIDGE_BOUNDARY")
-        .otherwise("UNKNOWN")
-    )
-    name, key = canonical_actor(c("name"))
-    generic = (key == "") | key.isin(*GENERIC)
-    behaviour = F.lower(F.coalesce("name", F.lit(""))).rlike(BEHAVIOUR)
-    kind = F.when(behaviour | ((c("source") == "labels.addresses") & persona), "BEHAVIOR").when(generic | (role == "UNKNOWN"), "CONTEXT").otherwise("ATTRIBUTION")
-    sure = ~generic & ~behaviour
-    return x.select("row_id", "source", F.when(sure, role).otherwise("UNKNOWN").alias("role"), kind.alias("semantic_kind"), F.when(sure, name).alias("actor"), F.when(sure, key).alias("actor_key"))
+    absent = {n: F.lit(None).cast("string") for n in ("cex_name", "name", "label_type", "category", "record_source", "owner_key", "custody_owner", "account_owner", "detail_name", "primary", "tags", "contract", "distinct_name", "algorithm") if n not in rows.columns}
+    rows = rows.withColumns(absent)
+    low = lambda n: F.lower(F.coalesce(c(n), F.lit("")))
+    source, label = c("source"), c("source") == "labels.addresses"
+    fits = lambda r: (c("category") == r["category"]) & (r["label_type"].isNull() | (low("label_type") == r["label_type"])) & (r["record_source"].isNull() | (low("record_source") == r["record_source"]))
+    # A fixed short list, as one row.
+    listed = rules.groupBy().agg(F.array_sort(F.collect_list(F.struct("ordinal", "category", "label_type", "record_source", "class"))).alias("rules"))
+    x = rows.join(F.broadcast(listed)).withColumn("owners", F.when(source == "labels.owner_addresses", owner_names(F.array("custody_owner", "account_owner", "detail_name"))))
+    x = x.withColumn("mapped", F.when(label, F.coalesce(F.get(F.filter("rules", fits), F.lit(0))["class"], F.lit(UNMAPPED))))
+    joined = F.when(F.size("owners") > 0, F.array_join(F.transform("owners", lambda o: o["name"]), " | ")).otherwise(F.coalesce("owner_key", F.lit("")))
+    persona = label & low("label_type").isin("persona", "usage")
+    named = label & ~persona & c("mapped").isin(CURATED, BRIDGE)
+    cex, owned = source.isin("cex.addresses", "cex.deposit_addresses"), source == "labels.owner_addresses"
+    x = x.withColumn("given", F.when(cex, c("cex_name")).when(named, c("name")).when(owned, joined))
+    every = F.lower(F.concat_ws(" ", "owner_key", "given", "contract", "primary", "tags"))
+    role, rule = F.when(cex, "SERVICE").when(named, F.when(c("mapped") == CURATED, "SERVICE").otherwise("BRIDGE_BOUNDARY")), F.when(source == "cex.addresses", CEX_RULE).when(cex, DEPOSIT_RULE).when(persona, PERSONA_RULE).when(label, F.concat(F.lit(MAPPED_RULE), "mapped"))
+    for kind, why, keys, categories, contract, text in OWNERS:
+        hit = low("owner_key").isin(*keys) | low("primary").isin(*categories) | (low("contract").rlike(contract) if contract else F.lit(False)) | (every.rlike(text) if text else F.lit(False))
+        role, rule = role.when(owned & hit, kind), rule.when(owned & hit, why)
+    x = x.withColumns({"role": role.otherwise("UNKNOWN"), "rule": rule.when(owned, NO_OWNER_RULE).otherwise(RAW_RULE)})
+    actor, key = canonical_actor(c("given"))
+    x = x.withColumns({"actor": actor, "key": key})
+    nameless = (c("key") == "") | c("key").isin(*GENERIC)
+    behaves = F.lower(F.concat_ws(" ", "name", "distinct_name", "contract")).rlike(BEHAVIOUR)
+    claimed = cex | named | (owned & (c("role") != "UNKNOWN"))
+    kind = F.when(behaves | persona, "BEHAVIOR").when(claimed & ~nameless, "ATTRIBUTION").otherwise("CONTEXT")
+    sure = ~nameless & ~behaves
+    method = F.when((source == "cex.deposit_addresses") | (F.coalesce("algorithm", F.lit("")) != "") | F.coalesce(c("record_source") == "query", F.lit(False)), "ALGORITHM_IDENTIFIED")
+    return x.select(
+        "row_id", "source", F.when(sure, c("role")).otherwise("UNKNOWN").alias("role"), kind.alias("semantic_kind"), F.when(sure, c("actor")).alias("actor"), F.when(sure, c("key")).alias("actor_key"),
+        F.coalesce(F.size("owners") > 1, F.lit(False)).alias("record_conflict"), method.alias("generation_mechanism"),
+        F.concat("rule", F.when(nameless, NAMELESS).otherwise(""), F.when(behaves, BEHAVES).otherwise("")).alias("rule"),
+    )
 
 
 def failed_lookups(addresses: DataFrame, sources: list[str], reason: str) -> tuple[DataFrame, DataFrame]:

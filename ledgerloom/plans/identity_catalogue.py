@@ -17,7 +17,8 @@ CATEGORIES = ("cex", "bridge", "dex", "other")
 CONTRACTS = ("", "GnosisSafeProxy", "TokenBridge", "Tornado100", "SwapRouter", "Vault")
 PRIMARIES = ("centralized exchange", "bridge", "", "privacy services", "decentralized exchange", "casino")
 SOURCES = ("cex.addresses", "labels.addresses", "labels.owner_addresses", "cex.deposit_addresses")
-RULES = ((1, "cex", "identifier", "CUSTODIAL"), (2, "bridge", None, "NAMED_BRIDGE"), (3, "cex", None, "GENERIC"))
+RULES = ((1, "cex", "identifier", None, identity.CURATED), (2, "bridge", None, "api", identity.BRIDGE), (3, "cex", None, None, "GENERIC"))
+OWNER_KEYS = ("binance", "gnosis_safe", "hop_protocol", "OpenSea", "", "Arbitrum")
 
 
 def _one_of(values: tuple, at):
@@ -92,14 +93,19 @@ def label_lookup_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as labels of four sources, with owners that agree or don't, personas, behaviour and generic names."""
     k = F.col("o_orderkey")
+    source, name, after = _one_of(SOURCES, k % 4), _one_of(NAMES, F.floor(k / 4) % 8), _one_of(NAMES, (F.floor(k / 4) + 1) % 8)
+    owned = source == "labels.owner_addresses"
     rows = read(spark, sf_dir, "orders").select(
-        k.alias("row_id"), _one_of(SOURCES, k % 4).alias("source"), _one_of(NAMES, F.floor(k / 4) % 8).alias("name"), _one_of(TYPES, F.floor(k / 8) % 4).alias("label_type"),
-        _one_of(CATEGORIES, F.floor(k / 3) % 4).alias("category"), _one_of(CONTRACTS, F.floor(k / 5) % 6).alias("contract"), _one_of(PRIMARIES, F.floor(k / 7) % 6).alias("primary"),
+        k.alias("row_id"), source.alias("source"), F.when(source.startswith("cex"), name).alias("cex_name"), F.when(source == "labels.addresses", name).alias("name"), _one_of(TYPES, F.floor(k / 8) % 4).alias("label_type"),
+        _one_of(CATEGORIES, F.floor(k / 3) % 4).alias("category"), F.when(k % 6 == 0, "query").otherwise("api").alias("record_source"), F.when(owned, _one_of(OWNER_KEYS, F.floor(k / 9) % 6)).alias("owner_key"),
+        F.when(owned & (k % 3 != 1), name).alias("custody_owner"), F.when(owned & (k % 3 == 0), after).alias("account_owner"), F.when(k % 5 == 0, name).alias("detail_name"), _one_of(PRIMARIES, F.floor(k / 7) % 6).alias("primary"),
+        F.when(k % 11 == 0, "defi, Mixer").alias("tags"), _one_of(CONTRACTS, F.floor(k / 5) % 6).alias("contract"), F.when(k % 29 == 0, "User of it").alias("distinct_name"), F.when(k % 10 == 0, "a1").alias("algorithm"),
     )
-    rules = spark.createDataFrame(RULES, "ordinal int, category string, label_type string, class string")
+    rules = spark.createDataFrame(RULES, "ordinal int, category string, label_type string, record_source string, class string")
     found = identity.classified(rows, rules)
-    return found.groupBy("source", "role", "semantic_kind", "actor", "actor_key").agg(F.count("*").alias("n"), F.sum("row_id").alias("ids"))
+    return found.groupBy("source", "role", "semantic_kind", "actor", "actor_key", "record_conflict", "generation_mechanism", "rule").agg(F.count("*").alias("n"), F.sum("row_id").alias("ids"))
 
 
 def label_failed_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,13 +211,22 @@ SELECT {kind("")} AS kind, {kind("WHEN 'CONFLICTED_IDENTITY' THEN 'UNSUPPORTED_P
         "lookup_outcomes": """WITH r AS (SELECT o_custkey, count(*) AS n, min(o_orderstatus) AS s FROM orders WHERE o_orderkey % 4 = 0 GROUP BY o_custkey)
 SELECT c_custkey AS address, CASE WHEN c_custkey % 7 = 0 OR c_custkey % 11 = 0 THEN 'FAILED_OR_UNRESOLVED' WHEN coalesce(n, 0) <> 1 THEN 'MISSING_OR_DUPLICATE_ADDRESS_UNRESOLVED' WHEN s = 'F' THEN 'NAMED_ENTITY_RETURNED' WHEN s = 'O' THEN 'OTHER_LABEL_RETURNED' ELSE 'EMPTY_LABEL_RESULT' END AS outcome FROM customer LEFT JOIN r ON o_custkey = c_custkey""",
         "label_lookup_agg": f"""WITH jo AS (SELECT o_custkey, o_orderkey, '{{"name":"' || o_orderpriority || '","type":"' || o_orderstatus || '"}}' AS j FROM orders) SELECT c_custkey AS address, {lists} FROM customer {joins} WHERE c_custkey % 37 = 0""",
-        "label_classify": f"""WITH x AS (SELECT o_orderkey AS k, {_list(SOURCES)}[o_orderkey % 4 + 1] AS source, {_list(NAMES)}[o_orderkey // 4 % 8 + 1] AS name, {_list(TYPES)}[o_orderkey // 8 % 4 + 1] AS type, {_list(CATEGORIES)}[o_orderkey // 3 % 4 + 1] AS category, {_list(CONTRACTS)}[o_orderkey // 5 % 6 + 1] AS contract, {_list(PRIMARIES)}[o_orderkey // 7 % 6 + 1] AS prim FROM orders),
-y AS (SELECT *, source = 'labels.addresses' AND type IN ('persona', 'usage') AS persona, name IN ('CEX Users', 'Token Deployer') AS behaves, name IN ('', 'user') AS generic, CASE WHEN source LIKE 'cex%' THEN 'SERVICE'
-  WHEN source = 'labels.owner_addresses' THEN CASE WHEN contract = 'GnosisSafeProxy' THEN 'DEX_OR_PROTOCOL' WHEN prim = 'bridge' OR contract = 'TokenBridge' THEN 'BRIDGE_BOUNDARY' WHEN prim = 'privacy services' OR contract = 'Tornado100' THEN 'MIXER_BOUNDARY' WHEN prim = 'decentralized exchange' OR contract = 'SwapRouter' THEN 'DEX_OR_PROTOCOL' WHEN prim IN ('centralized exchange', 'casino') THEN 'SERVICE' ELSE 'UNKNOWN' END
-  WHEN type IN ('persona', 'usage') THEN 'UNKNOWN' WHEN category = 'cex' THEN 'SERVICE' WHEN category = 'bridge' THEN 'BRIDGE_BOUNDARY' ELSE 'UNKNOWN' END AS r FROM x)
-SELECT source, CASE WHEN generic OR behaves THEN 'UNKNOWN' ELSE r END AS role, CASE WHEN behaves OR persona THEN 'BEHAVIOR' WHEN generic OR r = 'UNKNOWN' THEN 'CONTEXT' ELSE 'ATTRIBUTION' END AS semantic_kind,
-  CASE WHEN NOT generic AND NOT behaves THEN CASE name WHEN 'OKEx' THEN 'OKX' WHEN 'Huobi' THEN 'HTX' ELSE name END END AS actor, CASE WHEN NOT generic AND NOT behaves THEN CASE name WHEN 'OKEx' THEN 'okx' WHEN 'Huobi' THEN 'htx' ELSE lower(replace(name, ' ', '')) END END AS actor_key,
-  count(*) AS n, CAST(sum(k) AS BIGINT) AS ids FROM y GROUP BY ALL""",
+        "label_classify": f"""WITH nm(name, can, key) AS (VALUES ('OKEx', 'OKX', 'okx'), ('CEX Users', 'CEX Users', 'cexusers'), ('Kraken', 'Kraken', 'kraken'), ('user', 'user', 'user'), ('Hop Bridge', 'Hop Bridge', 'hopbridge'), ('Token Deployer', 'Token Deployer', 'tokendeployer'), ('Huobi', 'HTX', 'htx')),
+x AS (SELECT o_orderkey AS k, {_list(SOURCES)}[o_orderkey % 4 + 1] AS source, {_list(NAMES)}[o_orderkey // 4 % 8 + 1] AS name, {_list(NAMES)}[(o_orderkey // 4 + 1) % 8 + 1] AS after, {_list(TYPES)}[o_orderkey // 8 % 4 + 1] AS type, {_list(CATEGORIES)}[o_orderkey // 3 % 4 + 1] AS category,
+  lower({_list(CONTRACTS)}[o_orderkey // 5 % 6 + 1]) AS contract, {_list(PRIMARIES)}[o_orderkey // 7 % 6 + 1] AS prim, {_list(OWNER_KEYS)}[o_orderkey // 9 % 6 + 1] AS owner FROM orders),
+o AS (SELECT x.*, list_sort(list_distinct(list_filter([CASE WHEN k % 3 <> 1 THEN {{'k': a.key, 'n': a.can}} END, CASE WHEN k % 3 = 0 THEN {{'k': b.key, 'n': b.can}} END, CASE WHEN k % 5 = 0 THEN {{'k': a.key, 'n': a.can}} END], lambda z: z.k IS NOT NULL))) AS owners, a.can, a.key
+  FROM x LEFT JOIN nm a ON a.name = x.name LEFT JOIN nm b ON b.name = x.after),
+m AS (SELECT *, source = 'labels.owner_addresses' AS owned, source LIKE 'cex%' AS cex, source = 'labels.addresses' AND type IN ('persona', 'usage') AS persona, CASE WHEN category = 'cex' THEN CASE WHEN type = 'identifier' THEN 'CURATED_NAMED_CUSTODIAL_IF_NON_GENERIC_ACTOR' ELSE 'GENERIC' END WHEN category = 'bridge' AND k % 6 <> 0 THEN 'NAMED_BRIDGE' ELSE 'UNMAPPED' END AS mapped FROM o),
+g AS (SELECT *, NOT owned AND NOT cex AND NOT persona AND mapped IN ('CURATED_NAMED_CUSTODIAL_IF_NON_GENERIC_ACTOR', 'NAMED_BRIDGE') AS named FROM m),
+h AS (SELECT *, CASE WHEN owned THEN CASE WHEN len(owners) > 0 THEN array_to_string(list_transform(owners, lambda z: z.n), ' | ') ELSE owner END WHEN cex OR named THEN coalesce(can, '') ELSE '' END AS act,
+  CASE WHEN owned THEN CASE WHEN len(owners) > 0 THEN array_to_string(list_transform(owners, lambda z: z.k), '') ELSE replace(lower(owner), '_', '') END WHEN cex OR named THEN coalesce(key, '') ELSE '' END AS akey, coalesce(NOT owned AND NOT cex AND name IN ('CEX Users', 'Token Deployer'), false) OR k % 29 = 0 AS behaves FROM g),
+w AS (SELECT *, CASE WHEN cex THEN 0 WHEN named THEN CASE mapped WHEN 'NAMED_BRIDGE' THEN 7 ELSE 6 END WHEN NOT owned THEN 8 WHEN owner = 'gnosis_safe' OR contract LIKE 'gnosissafe%' THEN 1 WHEN prim = 'bridge' OR contract LIKE '%bridge%' OR owner IN ('hop_protocol', 'Arbitrum') THEN 2
+  WHEN prim = 'privacy services' OR contract LIKE '%tornado%' OR k % 11 = 0 THEN 3 WHEN prim = 'decentralized exchange' OR owner = 'OpenSea' OR contract LIKE '%router%' THEN 4 WHEN prim IN ('centralized exchange', 'casino') THEN 5 ELSE 9 END AS w, akey IN ('', 'user') AS nameless FROM h),
+r AS (SELECT *, ['SERVICE', 'DEX_OR_PROTOCOL', 'BRIDGE_BOUNDARY', 'MIXER_BOUNDARY', 'DEX_OR_PROTOCOL', 'SERVICE', 'SERVICE', 'BRIDGE_BOUNDARY', 'UNKNOWN', 'UNKNOWN'][w + 1] AS role0,
+  CASE WHEN source = 'cex.addresses' THEN 'EXPLICIT_CEX_NAMED_ADDRESS' WHEN cex THEN 'PROGRAMMATIC_NAMED_DEPOSIT_NOT_MANUAL_OR_LEGAL_CONFIRMATION' WHEN persona THEN 'PERSONA_OR_USAGE_NEVER_CONTROL_ATTRIBUTION' WHEN NOT owned THEN 'INHERITED_LABELS_ADDRESSES_V2:' || mapped ELSE ['OWNER_GNOSIS_SAFE_SELF_CUSTODY_PROTOCOL_GUARD', 'OWNER_PRIMARY_OR_CONTRACT_BRIDGE_BOUNDARY',
+  'OWNER_PRIVACY_OR_MIXER_BOUNDARY', 'OWNER_DEX_PROTOCOL_OR_OPENSEA_BOUNDARY', 'OWNER_DETAILS_PRIMARY_CATEGORY_CUSTODIAL_ALLOWLIST', '', '', '', 'OWNER_METADATA_INSUFFICIENT_FOR_SERVICE_OR_PROTOCOL_ROLE'][w] END AS why FROM w)
+SELECT source, CASE WHEN nameless OR behaves THEN 'UNKNOWN' ELSE role0 END AS role, CASE WHEN behaves OR persona THEN 'BEHAVIOR' WHEN w < 8 AND NOT nameless THEN 'ATTRIBUTION' ELSE 'CONTEXT' END AS semantic_kind, CASE WHEN NOT nameless AND NOT behaves THEN act END AS actor, CASE WHEN NOT nameless AND NOT behaves THEN akey END AS actor_key,
+  owned AND len(owners) > 1 AS record_conflict, CASE WHEN source = 'cex.deposit_addresses' OR k % 10 = 0 OR k % 6 = 0 THEN 'ALGORITHM_IDENTIFIED' END AS generation_mechanism, why || CASE WHEN nameless THEN ';NAMED_ACTOR_REQUIRED' ELSE '' END || CASE WHEN behaves THEN ';BEHAVIOR_OR_DEPLOYER_NOT_CONTROL' ELSE '' END AS rule, count(*) AS n, CAST(sum(k) AS BIGINT) AS ids FROM r GROUP BY ALL""",
         "label_failed_lookup": "SELECT c_custkey AS address, source, 'FAILED' AS outcome, 'TIMEOUT' AS reason, 'UNKNOWN' AS identity_class, 'LOOKUP_FAILED_TIMEOUT' AS lookup_status FROM customer, (VALUES ('F'), ('O'), ('P'), ('X')) s(source) WHERE c_custkey % 11 = 0",
         "label_eligibility": f"""{whole}, {pool} SELECT pl.address, CASE WHEN pl.address IN (SELECT o_custkey FROM orders WHERE o_orderkey % 40 = 0) THEN 'PREVIOUS_SUCCESS_INCLUDING_EMPTY' WHEN identity_class IN ('SERVICE', 'BRIDGE_BOUNDARY', 'MIXER_BOUNDARY') THEN 'ALREADY_RESOLVED'
   WHEN identity_class = 'CONFLICTED_IDENTITY' THEN 'CONFLICT_PRESERVED' WHEN pairs = 0 THEN 'NO_CURRENT_POLICY_STRUCTURE_WITNESS' ELSE 'ELIGIBLE' END AS reason FROM pl LEFT JOIN res USING (address)""",
