@@ -28,6 +28,16 @@ def whole(value: Column) -> Column:
     return F.coalesce(F.nullif(plain, F.lit("")), wide.text(wide.hexadecimal(F.nullif(hexed, F.lit("")))))
 
 
+def truth(value: Column) -> Column:
+    """Whether a lenient text or boolean says true; what is missing says no."""
+    return F.coalesce(F.lower(value.cast("string")) == "true", F.lit(False))
+
+
+def items(value: Column) -> Column:
+    """Items of a JSON list as text (values that are no text as JSON), fields of a JSON object; none where the text is neither."""
+    return F.coalesce(F.from_json(value, "array<string>"), F.json_object_keys(value), F.array().cast("array<string>"))
+
+
 def seconds(value: Column) -> Column:
     """Epoch seconds of a UTC time as text, its mark of UTC written as a Z, as ' UTC' or left out; null if it is none."""
     plain = F.regexp_replace(F.regexp_replace(value, "( UTC|Z)$", ""), "T", " ")

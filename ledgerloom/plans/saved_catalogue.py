@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import batch
+from ledgerloom.operators import batch, normalise
+from ledgerloom.plans.collect_catalogue import registry
 from ledgerloom.sources import saved
-from ledgerloom.sources.derived import read
+from ledgerloom.sources.derived import TRANSFERS_SQL, read, transfers
 from ledgerloom.sources.shared import shared_folder
 
 #: Jobs per table, and rows of a page.
@@ -94,8 +95,34 @@ def batch_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch.accounted(batch.demultiplexed(rows, intervals), intervals)
 
 
+#: Scopes of five probes; the first of them takes in few intervals, the second is for another query.
+FROM_BLOCK, TO_BLOCK, FROM_S, TO_S = 236_650, 240_000, 1_703_900_000, 1_712_000_000
+
+
+def interval_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals of a frontier (transfers as arrivals) for the probes of a batch, in the order in which they are asked."""
+    k, a = F.col("event_id"), F.col("recipient")
+    t = transfers(spark, sf_dir)
+    end = F.least(F.lit(TO_S), F.col("tsec") + batch.FOLLOWED) + F.when(k % 37 == 0, 1).otherwise(0)
+    frontier = t.select(
+        F.concat(F.lit("p"), (a % 7).cast("string")).alias("name"), F.when(k % 41 == 0, 99).otherwise(a % 7).cast("long").alias("query_id"), k.alias("arrival_event_id"), a.alias("account"), (k % 4).alias("depth"),
+        F.col("block").alias("start_block"), F.lit(TO_BLOCK).cast("long").alias("end_block"), F.col("tsec").alias("start_time"), end.alias("end_time"), F.when(k % 5 == 0, "ALREADY_COMPLETE").otherwise("INTERVAL_INCOMPLETE").alias("state"),
+    )
+    frontier = frontier.union(frontier.where("arrival_event_id % 10 = 3"))
+    scopes = spark.range(6).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("name"), F.col("id").alias("query_id"), F.lit(FROM_BLOCK).alias("start_block"), F.lit(TO_BLOCK).alias("end_block"), F.lit(FROM_S).alias("start_time"), F.lit(TO_S).alias("end_time"), F.when(F.col("id") == 0, 1).otherwise(3).alias("max_depth"))
+    return batch.selected(frontier, scopes, registry(spark, sf_dir)).select("name", "arrival_event_id", "account", "reason", "place")
+
+
+def lenient_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flags and lists as texts of several forms, read leniently."""
+    k = F.col("o_orderkey")
+    one_of = lambda *x: F.element_at(F.array(*map(F.lit, x)), (k % len(x) + 1).cast("int"))
+    df = read(spark, sf_dir, "orders").select(k.alias("id"), one_of("true", "True", "false", "", None, "1", "TRUE").alias("flag"), one_of('["a","b"]', "[]", "", None, "no", '{"x":1,"y":[2]}', '[1,{"k":2}]', "[1", "7").alias("list"))
+    return df.select("id", normalise.truth(F.col("flag")).alias("flag"), F.array_join(normalise.items(F.col("list")), "|").alias("items"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (saved_rows, saved_gaps, saved_scope, batch_rows, batch_intervals)}
+    return {f.__name__: f for f in (saved_rows, saved_gaps, saved_scope, batch_rows, batch_intervals, interval_batch, lenient_values)}
 
 
 #: A fault of the last page; where that is the first one too, a changed total is only an incomplete end.
@@ -112,6 +139,12 @@ def oracle_sql() -> dict[str, str]:
         "saved_rows": f"WITH {_JOBS} SELECT 'j' || r.j AS job, place // {PAGE} * {PAGE} AS page, place, o_orderkey AS key, o_custkey AS customer, CAST(amount AS VARCHAR) AS amount FROM r JOIN g ON g.j = r.j WHERE gap IS NULL",
         "saved_gaps": f"WITH {_JOBS} SELECT j * 3 AS account, 'j' || j AS job, gap FROM g WHERE gap IS NOT NULL",
         "saved_scope": f"WITH {_JOBS} SELECT j * 3 AS account, 'j' || j AS job, CASE WHEN gap IS NULL THEN total ELSE 0 END AS n, gap FROM g WHERE j IN (0, 6)",
+        "interval_batch": f"""WITH {TRANSFERS_SQL}, f AS (SELECT DISTINCT recipient % 7 AS p, CASE WHEN event_id % 41 = 0 THEN 99 ELSE recipient % 7 END AS q, event_id, recipient, event_id % 4 AS depth, block, tsec, least({TO_S}, tsec + {90 * 86400}) + CASE WHEN event_id % 37 = 0 THEN 1 ELSE 0 END AS until, event_id % 5 <> 0 AS open FROM transfers),
+g AS (SELECT *, CASE WHEN p > 5 THEN 'NO_PROBE' WHEN q <> p THEN 'OTHER_QUERY' WHEN block < {FROM_BLOCK} OR block > {TO_BLOCK} OR tsec < {FROM_S} OR tsec > until OR until <> least({TO_S}, tsec + {90 * 86400}) THEN 'OUTSIDE_SCOPE'
+  WHEN recipient % 10 IN (3, 5, 7) AND recipient IN (SELECT user_id FROM events) THEN 'FROZEN_LABEL_BOUNDARY' WHEN depth >= CASE WHEN p = 0 THEN 1 ELSE 3 END THEN 'ACQUISITION_DEPTH_BOUNDARY' WHEN NOT open THEN 'NOT_AN_UNFINISHED_PROVIDER_INTERVAL' ELSE 'SELECTED' END AS why FROM f),
+h AS (SELECT *, row_number() OVER (PARTITION BY p, why ORDER BY depth, block, tsec, event_id) AS i, count(*) OVER (PARTITION BY p, why) AS n FROM g)
+SELECT 'p' || p AS name, event_id AS arrival_event_id, recipient AS account, CASE WHEN why = 'SELECTED' AND n > 1000 THEN 'RESOURCE_LIMIT' ELSE why END AS reason, CASE WHEN why = 'SELECTED' AND n <= 1000 THEN i END AS place FROM h""",
+        "lenient_values": """SELECT o_orderkey AS id, o_orderkey % 7 IN (0, 1, 6) AS flag, ['a|b', '', '', '', '', 'x|y', '1|{"k":2}', '', ''][o_orderkey % 9 + 1] AS items FROM orders""",
         "batch_rows": f"WITH {_BATCH} SELECT k AS interval_id, n, verdict FROM b",
         "batch_intervals": f"""WITH {_BATCH}, s AS (SELECT k, count(*) AS n, count(*) FILTER (WHERE verdict <> 'OK') AS faults FROM b GROUP BY k)
 SELECT i.k AS interval_id, coalesce(n, 0) AS n, coalesce(faults, 0) AS faults, CASE WHEN faults > 0 THEN 'REFUSED' WHEN n > 0 THEN 'COMPLETE' ELSE 'COMPLETE_EMPTY' END AS state FROM i LEFT JOIN s ON s.k = i.k""",
