@@ -81,10 +81,13 @@ def _least_before(arrivals: DataFrame, departures: DataFrame, by: list[str], at:
 
 
 def _hub_candidates(arrivals: DataFrame, departures: DataFrame) -> DataFrame:
-    """Of each departure of a hub (query_id, event_id, e_tsec): best, the least value of all arrivals before it for certain. What is before what
-    falls into cases, each one a running minimum: earlier blocks; the same block, by index; and by time where the arrival lacks its
-    block, or, for seeds only, the departure does. Pairs are listed within a transaction, and among events without a block. A transaction
-    has one index."""
+    """Of each departure of a hub (query_id, event_id, e_tsec): best, values of arrivals before it for certain, the least one among them. What is
+    before what falls into cases, each one a running minimum: earlier blocks; the same block, by index; and by time where the arrival lacks
+    its block, or, for seeds only, the departure does. Pairs are listed within a transaction, and among events without a block. A
+    transaction has one index.
+
+    Which of two paths is the smaller once an event is added depends on the event only where one path goes on from the other. So minima take a
+    path that ends as larger than one that goes on, and those that the least one goes on from, arrivals on its own path, are met one by one."""
     known = lambda df: df.where("block is not null")
     odd = lambda df: df.where("block is null or block = 0")
     parts = [
@@ -98,7 +101,10 @@ def _hub_candidates(arrivals: DataFrame, departures: DataFrame) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    out = stored(out, "hub-candidates")
+    on_path = out.select("query_id", "event_id", F.explode(F.slice("best.path", F.lit(1), F.size("best.path") - 1)).alias("_p")).distinct()
+    met = _met(arrivals.withColumn("_p", F.col("event_id")), departures.join(on_path, ["query_id", "event_id"]), "_p")
+    return out.unionByName(met.select(F.col("e_query_id").alias("query_id"), F.col("e_event_id").alias("event_id"), F.col("e_tsec"), F.col("p_value").alias("best")))
 
 
 #: Pairs that a group may make before it is a hub.
@@ -140,7 +146,7 @@ def certificates(events: DataFrame, seeds: DataFrame, identities: DataFrame | No
         c = c.select("query_id", F.col("e").alias("event_id"), F.concat("path", F.array("e")).alias("path"), unknown.alias("unknown"), (F.col("depth") + 1).alias("depth"), F.greatest("max_wait", "wait").alias("max_wait"))
         if hubs is not None:
             here = p.join(known, ["query_id", "event_id"]).withColumn("unknown", unknown)
-            value = F.struct(F.size("unknown").alias("n"), "path", "unknown", "depth", "max_wait", "tsec")
+            value = F.struct(F.size("unknown").alias("n"), F.array_append("path", F.lit(2**63 - 1)).alias("order"), "path", "unknown", "depth", "max_wait", "tsec")
             h = _hub_candidates(stored(here.withColumn("value", value).select(*p.columns, "value"), "hub-values"), e)
             wait = F.greatest("best.max_wait", F.col("e_tsec") - F.col("best.tsec"))
             c = c.unionByName(h.select("query_id", "event_id", F.concat("best.path", F.array("event_id")).alias("path"), F.col("best.unknown").alias("unknown"), (F.col("best.depth") + 1).alias("depth"), wait.alias("max_wait")))

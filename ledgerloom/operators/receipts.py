@@ -59,3 +59,16 @@ def token_events(rows: DataFrame, receipts: DataFrame, logs: DataFrame) -> tuple
     gaps = none(absent, NO_RECEIPT).unionByName(none(failed, NO_SUCCESS)).unionByName(none(twice, DUPLICATE)).unionByName(none(read.where("gap is not null"), UNREAD))
     gaps = gaps.unionByName(sums.select("tx", F.lit(MULTIPLICITY).alias("reason"), *key[1:], "rows", "logs"))
     return met.where("log_index is not null").select("tx", "log_index", "row_id", *key[1:]), gaps
+
+
+def bound_logs(receipt: DataFrame, frames: DataFrame) -> DataFrame:
+    """Logs of receipts (tx, log_index, address, topics, data) with the call frames that emitted them (tx, path, address, topics, data), by
+    transaction, address, topics and data. bound: LOG where the frame's log says which index it has or it is the only one of its kind in the
+    transaction, AMBIGUOUS where equal logs can't be told apart, RECEIPT_ONLY and FRAME_ONLY where the other side lacks it."""
+    key = ["tx", "address", "topics", "data"]
+    plain = lambda df: df.withColumns({"address": F.lower("address"), "data": F.lower("data"), "topics": F.lower(F.array_join("topics", ","))})
+    logs, calls = plain(receipt).select(*key, "log_index"), plain(frames).select(*key, "path")
+    counts = logs.groupBy(*key).agg(F.count("*").alias("n")).join(calls.groupBy(*key).agg(F.count("*").alias("m")), key, "full")
+    met = paired(stored(logs, "logs"), stored(calls, "frame-logs"), key, "log_index", "path").join(stored(counts, "log-counts"), key)
+    bound = F.when(F.col("path").isNull(), "RECEIPT_ONLY").when(F.col("log_index").isNull(), "FRAME_ONLY").when((F.col("n") == 1) & (F.col("m") == 1), "LOG").otherwise("AMBIGUOUS")
+    return met.select("tx", "log_index", "path", bound.alias("bound"))

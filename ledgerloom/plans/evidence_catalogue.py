@@ -35,6 +35,16 @@ def receipt_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _matched(spark, sf_dir)[1].groupBy("tx", "reason", F.coalesce("value", F.lit("")).alias("value")).agg(F.count("*").alias("n"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.sum("logs"), F.lit(0)).alias("logs"))
 
 
+def frame_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as logs of receipts and as logs of call frames, some of them on one side only, some equal."""
+    key, part, line = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_linenumber").cast("long")
+    place = line * 1_000_000_000 + part * 100 + F.col("l_suppkey") % 100
+    log = lambda up: [key.alias("tx"), (F.upper if up else F.lower)(F.concat(F.lit("0xab"), (part % 3).cast("string"))).alias("address"), F.array(F.lit("0xT"), (key % 4).cast("string")).alias("topics"), F.concat(F.lit("0x"), (F.floor(F.col("l_quantity")).cast("long") % 2).cast("string")).alias("data")]
+    lines = read(spark, sf_dir, "lineitem")
+    found = receipts.bound_logs(lines.where(part % 5 != 0).select(*log(True), place.alias("log_index")), lines.where(part % 7 != 0).select(*log(False), place.alias("path")))
+    return found.groupBy("tx", "bound").agg(F.count("*").alias("n"), F.coalesce(F.sum("log_index"), F.lit(0)).alias("logs"), F.coalesce(F.sum("path"), F.lit(0)).alias("paths"))
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as nested JSON of several depths; some are no JSON."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
@@ -60,7 +70,7 @@ def json_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (receipt_events, receipt_gaps, json_leaves, json_hashes, json_accounts)}
+    return {f.__name__: f for f in (receipt_events, receipt_gaps, frame_logs, json_leaves, json_hashes, json_accounts)}
 
 
 _MATCHED = """l AS (SELECT l_orderkey AS tx, l_partkey AS p, CAST(l_linenumber AS BIGINT) AS line, l_partkey % 2 AS c, l_orderkey % 5 AS d, CAST(floor(l_quantity) AS BIGINT) % 3 AS v, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 100 + l_suppkey % 100 AS place FROM lineitem),
@@ -82,6 +92,9 @@ def oracle_sql() -> dict[str, str]:
 UNION ALL SELECT tx, 'DUPLICATE_RECEIPT_LOG_INDEX', '', 0, 0 FROM hl WHERE seen > 1 UNION ALL SELECT tx, 'RECEIPT_LOG_PARSE_FAILED', '', 0, 0 FROM lg WHERE unread
 UNION ALL SELECT tx, 'INDEX_RECEIPT_TRANSFER_MULTIPLICITY_MISMATCH', CAST(v AS VARCHAR), n, m FROM (SELECT tx, c, d, v, count(*) AS n FROM rw WHERE ok GROUP BY ALL) LEFT JOIN (SELECT tx, c, d, v, count(*) AS k FROM nl GROUP BY ALL) USING (tx, c, d, v), LATERAL (SELECT coalesce(k, 0) AS m) WHERE n <> m)
 SELECT tx, reason, value, count(*) AS n, CAST(sum(rows) AS BIGINT) AS rows, CAST(sum(logs) AS BIGINT) AS logs FROM g GROUP BY ALL""",
+        "frame_logs": """WITH l AS (SELECT l_orderkey AS tx, l_partkey AS p, l_partkey % 3 AS a, CAST(floor(l_quantity) AS BIGINT) % 2 AS d, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 100 + l_suppkey % 100 AS place FROM lineitem),
+x AS (SELECT *, row_number() OVER (PARTITION BY tx, a, d ORDER BY place) AS nth, count(*) OVER (PARTITION BY tx, a, d) AS n FROM l WHERE p % 5 <> 0), y AS (SELECT *, row_number() OVER (PARTITION BY tx, a, d ORDER BY place) AS nth, count(*) OVER (PARTITION BY tx, a, d) AS m FROM l WHERE p % 7 <> 0)
+SELECT tx, CASE WHEN y.place IS NULL THEN 'RECEIPT_ONLY' WHEN x.place IS NULL THEN 'FRAME_ONLY' WHEN n = 1 AND m = 1 THEN 'LOG' ELSE 'AMBIGUOUS' END AS bound, count(*) AS n, CAST(coalesce(sum(x.place), 0) AS BIGINT) AS logs, CAST(coalesce(sum(y.place), 0) AS BIGINT) AS paths FROM x FULL JOIN y USING (tx, a, d, nth) GROUP BY 1, 2""",
         "json_leaves": f"WITH {_DOCS} SELECT id, path, coalesce(value, 'null') AS value FROM w",
         "json_hashes": f"WITH {_DOCS} SELECT id, path, lower(value) AS hash FROM w WHERE key IN ('blockHash', 'block_hash') AND value IS NOT NULL",
         "json_accounts": f"WITH {_DOCS} SELECT id, path, lower(value) AS account FROM w WHERE key IN ('address', 'sender', 'recipient', 'from_address', 'to_address') AND regexp_full_match(value, '0x[0-9a-fA-F]{{40}}')",

