@@ -15,7 +15,7 @@ def _matched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     key, part, line = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_linenumber").cast("long")
     hexed = lambda c, n: F.lower(F.lpad(F.hex(c), n, "0"))
     sender, recipient, value, contract = part % 2, key % 5, F.floor(F.col("l_quantity")).cast("long") % 3, part % 2
-    lines, place = read(spark, sf_dir, "lineitem"), line * 1_000_000_000 + part * 100 + F.col("l_suppkey") % 100
+    lines, place = read(spark, sf_dir, "lineitem"), line * 100_000_000_000 + part * 10_000 + F.col("l_suppkey") % 100 * 100 + F.floor("l_quantity")
     rows = lines.where("l_linenumber <> 3").select(place.alias("row_id"), key.alias("tx"), *(F.concat(F.lit("0x"), hexed(c, 40)).alias(n) for n, c in (("contract", contract), ("sender", sender), ("recipient", recipient))), value.cast("string").alias("value"))
     topics = F.array(F.when(part % 29 == 0, "0x00").otherwise(receipts.TRANSFER), F.concat(F.lit("0x"), hexed(sender, 64)), F.concat(F.lit("0x"), hexed(recipient, 64)))
     logs = lines.where("l_linenumber <> 5").select(
@@ -38,7 +38,7 @@ def receipt_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def frame_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as logs of receipts and as logs of call frames, some of them on one side only, some equal."""
     key, part, line = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_linenumber").cast("long")
-    place = line * 1_000_000_000 + part * 100 + F.col("l_suppkey") % 100
+    place = line * 100_000_000_000 + part * 10_000 + F.col("l_suppkey") % 100 * 100 + F.floor("l_quantity")
     log = lambda up: [key.alias("tx"), (F.upper if up else F.lower)(F.concat(F.lit("0xab"), (part % 3).cast("string"))).alias("address"), F.array(F.lit("0xT"), (key % 4).cast("string")).alias("topics"), F.concat(F.lit("0x"), (F.floor(F.col("l_quantity")).cast("long") % 2).cast("string")).alias("data")]
     lines = read(spark, sf_dir, "lineitem")
     found = receipts.bound_logs(lines.where(part % 5 != 0).select(*log(True), place.alias("log_index")), lines.where(part % 7 != 0).select(*log(False), place.alias("path")))
@@ -73,7 +73,7 @@ def queries() -> dict:
     return {f.__name__: f for f in (receipt_events, receipt_gaps, frame_logs, json_leaves, json_hashes, json_accounts)}
 
 
-_MATCHED = """l AS (SELECT l_orderkey AS tx, l_partkey AS p, CAST(l_linenumber AS BIGINT) AS line, l_partkey % 2 AS c, l_orderkey % 5 AS d, CAST(floor(l_quantity) AS BIGINT) % 3 AS v, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 100 + l_suppkey % 100 AS place FROM lineitem),
+_MATCHED = """l AS (SELECT l_orderkey AS tx, l_partkey AS p, CAST(l_linenumber AS BIGINT) AS line, l_partkey % 2 AS c, l_orderkey % 5 AS d, CAST(floor(l_quantity) AS BIGINT) % 3 AS v, CAST(l_linenumber AS BIGINT) * 100000000000 + l_partkey * 10000 + l_suppkey % 100 * 100 + CAST(floor(l_quantity) AS BIGINT) AS place FROM lineitem),
 st AS (SELECT o_orderkey AS tx, o_orderkey % 11 <> 0 AS ok FROM orders WHERE o_orderkey % 13 <> 0),
 rw AS (SELECT l.*, place AS row_id, ok, row_number() OVER (PARTITION BY tx, c, d, v ORDER BY place) AS nth FROM l LEFT JOIN st USING (tx) WHERE line <> 3),
 lg AS (SELECT l.*, CASE WHEN p % 23 = 0 THEN 7 ELSE line END AS log_index, p % 31 = 0 AS unread FROM l JOIN st USING (tx) WHERE ok AND line <> 5 AND p % 29 <> 0 AND p % 37 <> 0 AND tx IN (SELECT tx FROM rw)),
@@ -92,7 +92,7 @@ def oracle_sql() -> dict[str, str]:
 UNION ALL SELECT tx, 'DUPLICATE_RECEIPT_LOG_INDEX', '', 0, 0 FROM hl WHERE seen > 1 UNION ALL SELECT tx, 'RECEIPT_LOG_PARSE_FAILED', '', 0, 0 FROM lg WHERE unread
 UNION ALL SELECT tx, 'INDEX_RECEIPT_TRANSFER_MULTIPLICITY_MISMATCH', CAST(v AS VARCHAR), n, m FROM (SELECT tx, c, d, v, count(*) AS n FROM rw WHERE ok GROUP BY ALL) LEFT JOIN (SELECT tx, c, d, v, count(*) AS k FROM nl GROUP BY ALL) USING (tx, c, d, v), LATERAL (SELECT coalesce(k, 0) AS m) WHERE n <> m)
 SELECT tx, reason, value, count(*) AS n, CAST(sum(rows) AS BIGINT) AS rows, CAST(sum(logs) AS BIGINT) AS logs FROM g GROUP BY ALL""",
-        "frame_logs": """WITH l AS (SELECT l_orderkey AS tx, l_partkey AS p, l_partkey % 3 AS a, CAST(floor(l_quantity) AS BIGINT) % 2 AS d, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 100 + l_suppkey % 100 AS place FROM lineitem),
+        "frame_logs": """WITH l AS (SELECT l_orderkey AS tx, l_partkey AS p, l_partkey % 3 AS a, CAST(floor(l_quantity) AS BIGINT) % 2 AS d, CAST(l_linenumber AS BIGINT) * 100000000000 + l_partkey * 10000 + l_suppkey % 100 * 100 + CAST(floor(l_quantity) AS BIGINT) AS place FROM lineitem),
 x AS (SELECT *, row_number() OVER (PARTITION BY tx, a, d ORDER BY place) AS nth, count(*) OVER (PARTITION BY tx, a, d) AS n FROM l WHERE p % 5 <> 0), y AS (SELECT *, row_number() OVER (PARTITION BY tx, a, d ORDER BY place) AS nth, count(*) OVER (PARTITION BY tx, a, d) AS m FROM l WHERE p % 7 <> 0)
 SELECT tx, CASE WHEN y.place IS NULL THEN 'RECEIPT_ONLY' WHEN x.place IS NULL THEN 'FRAME_ONLY' WHEN n = 1 AND m = 1 THEN 'LOG' ELSE 'AMBIGUOUS' END AS bound, count(*) AS n, CAST(coalesce(sum(x.place), 0) AS BIGINT) AS logs, CAST(coalesce(sum(y.place), 0) AS BIGINT) AS paths FROM x FULL JOIN y USING (tx, a, d, nth) GROUP BY 1, 2""",
         "json_leaves": f"WITH {_DOCS} SELECT id, path, coalesce(value, 'null') AS value FROM w",
