@@ -28,6 +28,11 @@ def whole(value: Column) -> Column:
     return F.coalesce(F.nullif(plain, F.lit("")), wide.text(wide.hexadecimal(F.nullif(hexed, F.lit("")))))
 
 
+def hex_or_decimal(value: Column) -> Column:
+    """The same as a long, for what is no amount, such as an index; null too where it is no long."""
+    return whole(value).try_cast("long")
+
+
 def truth(value: Column) -> Column:
     """Whether a lenient text or boolean says true; what is missing says no."""
     return F.coalesce(F.lower(value.cast("string")) == "true", F.lit(False))

@@ -255,7 +255,7 @@ def test_wide_numbers_equal_python(spark):
     df = spark.createDataFrame([(k, "0" * (k % 3) + str(a), f"{b:x}") for k, a, b in pairs], "k int, a string, b string")
     df = df.select("k", wide.decimal(F.col("a")).alias("a"), wide.hexadecimal(F.col("b")).alias("b"))
     a, b = F.col("a"), F.col("b")
-    got = df.select("k", wide.text(a).alias("a"), wide.text(b).alias("b"), wide.text(wide.add(a, b)).alias("sum"), wide.text(wide.multiply(a, b)).alias("product"), (wide.order(a) < wide.order(b)).alias("less"))
+    got = df.select("k", wide.text(a).alias("x"), wide.text(b).alias("y"), wide.text(wide.add(a, b)).alias("sum"), wide.text(wide.multiply(a, b)).alias("product"), (wide.order(a) < wide.order(b)).alias("less"))
     assert sorted(map(tuple, got.collect())) == sorted((k, str(x), str(y), str(x + y), str(x * y), x < y) for k, x, y in pairs)
     sums = dict(df.groupBy("k").agg(wide.text(wide.total(a))).collect())
     assert sums == {k: str(sum(x for j, x, _ in pairs if j == k)) for k in range(7)}
