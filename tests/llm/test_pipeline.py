@@ -141,3 +141,16 @@ def test_toxicity_tells_held_out_documents_apart(spark):
     assert all(x["predicted"] == int(i < 900 and i % 3 == 0) for i, x in held.items())
     score = {x["doc_id"]: x["score"] for x in found}
     assert score[None] > max(score[2000], score[2001])
+
+
+def test_toxicity_ranks_held_out_documents_with_few_labels(spark):
+    """With a dozen toxic texts no word is sure enough for a segment; their held-out ones still come first."""
+    r = random.Random(5)
+    bad = ["scoria", "vilely", "trawsh", "idjits", "clound", "mugger", "pestle", "wretch"]
+    rows = [(i, " ".join([f"word{r.randrange(40)}" for _ in range(30)] + (r.sample(bad, 2) if i % 6 == 0 else []))) for i in range(72)]
+    labels = [(i, int(i % 6 == 0)) for i in range(72)]
+    found = toxicity.detect(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    held = [(x["score"], x["doc_id"] % 6 == 0) for x in found.where("held_out").collect()]
+    toxic, clean = [s for s, t in held if t], [s for s, t in held if not t]
+    pairs = [(a > b) + 0.5 * (a == b) for a in toxic for b in clean]
+    assert pairs and sum(pairs) / len(pairs) > 0.9
