@@ -25,7 +25,7 @@ def whole(value: Column) -> Column:
     0x; null else, and below zero."""
     plain = F.regexp_extract(value, r"^\s*(?:\+?0*|-0*(?=0\s*$))([0-9]+)\s*$", 1)
     hexed = F.regexp_extract(value, "^0x([0-9a-fA-F]+)$", 1)
-    return F.coalesce(F.nullif(plain, F.lit("")), wide.text(wide.hexadecimal(F.nullif(hexed, F.lit("")))))
+    return F.coalesce(F.nullif(plain, F.lit("")), wide.digits_of_hexadecimal(hexed))
 
 
 def hex_or_decimal(value: Column) -> Column:
@@ -74,7 +74,7 @@ def normalised(rows: DataFrame) -> DataFrame:
             "log": exact_integer(c("log_index")),
             "trace": trace_path(c("trace_address")),
             "token": exact_hex(c("contract"), 20),
-            "gas": F.when(c("kind") == "top", wide.text(wide.multiply(wide.decimal(exact_integer(c("gas_used"))), wide.decimal(exact_integer(c("gas_price")))))),
+            "gas": F.when(c("kind") == "top", wide.product(exact_integer(c("gas_used")), exact_integer(c("gas_price")))),
         }
     )
     gap = (
@@ -120,7 +120,7 @@ def listed(action: str, rows: DataFrame, positions: DataFrame) -> DataFrame:
     if kind == "top":
         has_gas = given("gas_used") & given("gas_price")
         own = wrong(has_gas & (unread("gas_used") | unread("gas_price")))
-        gas = F.when(has_gas, wide.text(wide.multiply(wide.decimal(c("n_gas_used")), wide.decimal(c("n_gas_price")))))
+        gas = F.when(has_gas, wide.product(c("n_gas_used"), c("n_gas_price")))
     elif kind == "internal":
         own = F.when(c("trace_id").isNull(), NO_IDENTITY).when(c("is_error").isNull(), NO_STATUS)
         last, place = last | c("path").isNull(), F.concat(F.lit("trace:"), c("trace_id"))

@@ -1,11 +1,15 @@
 """Whole numbers of any length as arrays of limbs, lowest first, in base 10^9: amounts of 256 bits and their products.
 
 Everything is an expression over arrays, so numbers stay columns: they are read from decimal or hexadecimal text, added, multiplied,
-compared and summed, and written back as text. A limb times a limb and a carry fit in a long.
+compared and summed, and written back as text. A limb times a limb and a carry fit in a long. Arrays cost some 50 microseconds a row, so
+what is done for every row of a table has a form over text (digits_of_hexadecimal, product, key, sum_of), of a few at most.
 """
 
 from __future__ import annotations
 
+import sys
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -107,3 +111,43 @@ def total(limbs: Column, width: int = WIDTH) -> Column:
     decimals, where a number has more than `width` limbs; nulls are left out, and no number at all sums to zero."""
     sums = [F.coalesce(F.sum(F.get(limbs, F.lit(i))), _long(0)) for i in range(width)]
     return F.when(F.coalesce(F.max(F.size(limbs)), F.lit(0)) <= width, trimmed(_carried(F.array(*sums))))
+
+
+def _batches(f, *columns: Column) -> Column:
+    """f of Python values, a batch at a time, null where any is null. Said to be nondeterministic, so that the plan calls it once a row and not
+    again in each filter and column that its result stands in."""
+
+    def run(*arrays: pa.Array) -> pa.Array:
+        sys.set_int_max_str_digits(0)
+        rows = zip(*(a.to_pylist() for a in arrays), strict=True)
+        return pa.array([None if None in r else f(*r) for r in rows], pa.string())
+
+    udf = F.arrow_udf({1: lambda a: run(a), 2: lambda a, b: run(a, b)}[len(columns)], "string").asNondeterministic()
+    return udf(*columns)
+
+
+def digits_of_hexadecimal(value: Column) -> Column:
+    """text(hexadecimal(value)), without arrays. Not for use inside of functions over arrays."""
+    return _batches(lambda x: str(int(x, 16)), F.when(value.rlike(r"^[0-9a-fA-F]+\z"), value))
+
+
+def product(a: Column, b: Column) -> Column:
+    """The digits of the product of two texts of digits, null where one is none; not for use inside of functions over arrays."""
+    digits = lambda c: F.when(c.rlike(r"^[0-9]+\z"), c)
+    return _batches(lambda x, y: str(int(x) * int(y)), digits(a), digits(b))
+
+
+def key(value: Column) -> Column:
+    """Digits without leading zeros as a text that sorts as the number does; `of_key` gives them back."""
+    return F.concat(F.lpad(F.length(value).cast("string"), 9, F.lit("0")), value)
+
+
+def of_key(value: Column) -> Column:
+    return F.substring(value, F.lit(10), F.length(value))
+
+
+def sum_of(value: Column, width: int = WIDTH) -> Column:
+    """An aggregate over digits without leading zeros: text(total(decimal(value))), from plain sums of nine digits each."""
+    limb = lambda i: F.substring(value, F.greatest(F.lit(1), F.length(value) - (i + 1) * DIGITS + 1), F.least(F.lit(DIGITS), F.length(value) - i * DIGITS)).cast("long")
+    sums = [F.coalesce(F.sum(F.when(F.length(value) > i * DIGITS, limb(i))), _long(0)) for i in range(width)]
+    return F.when(F.coalesce(F.max(F.length(value)), F.lit(0)) <= width * DIGITS, text(trimmed(_carried(F.array(*sums)))))

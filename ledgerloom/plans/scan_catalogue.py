@@ -129,17 +129,14 @@ def account_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def account_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three lists of an account source by action, gap and success: rows, those with an index, and their exact total."""
-    found = _listed(spark, sf_dir).withColumn("wide", wide.decimal(F.col("amount")))
-    by = found.groupBy("action", F.coalesce("gap", F.lit("EVENT")).alias("gap"), "success")
-    return by.agg(F.count("*").alias("n"), F.count("tx_index").alias("placed"), wide.text(wide.total(F.col("wide"))).alias("amount"))
+    by = _listed(spark, sf_dir).groupBy("action", F.coalesce("gap", F.lit("EVENT")).alias("gap"), "success")
+    return by.agg(F.count("*").alias("n"), F.count("tx_index").alias("placed"), wide.sum_of(F.col("amount")).alias("amount"))
 
 
 def amount_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per sender: exact sum, least and greatest amount, and dearest gas of its account rows."""
-    found = _listed(spark, sf_dir).where("gap is null").select("sender", wide.decimal(F.col("amount")).alias("a"), wide.decimal(F.col("gas")).alias("g"))
-    least, most, gas = F.min(wide.order(F.col("a"))), F.max(wide.order(F.col("a"))), F.max(wide.order(F.col("g")))
-    digits = lambda x: wide.text(F.reverse(x["limbs"]))
-    return found.groupBy("sender").agg(wide.text(wide.total(F.col("a"))).alias("total"), digits(least).alias("least"), digits(most).alias("most"), digits(gas).alias("gas"))
+    found = _listed(spark, sf_dir).where("gap is null").select("sender", "amount", wide.key(F.col("amount")).alias("a"), wide.key(F.col("gas")).alias("g"))
+    return found.groupBy("sender").agg(wide.sum_of(F.col("amount")).alias("total"), *(wide.of_key(x).alias(n) for x, n in ((F.min("a"), "least"), (F.max("a"), "most"), (F.max("g"), "gas"))))
 
 
 def times_and_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -359,3 +359,17 @@ def test_owners_of_labels(spark):
         1: ("SERVICE", "Kraken | OKX", "krakenokx", "ATTRIBUTION", True), 2: ("SERVICE", "OKX", "okx", "ATTRIBUTION", False), 3: ("BRIDGE_BOUNDARY", "Hop_Protocol", "hopprotocol", "ATTRIBUTION", False), 4: ("UNKNOWN", None, None, "CONTEXT", False),
         5: ("UNKNOWN", None, None, "BEHAVIOR", False), 6: ("MIXER_BOUNDARY", "A mixer", "amixer", "ATTRIBUTION", False), 7: ("UNKNOWN", None, None, "CONTEXT", False),
     }
+
+
+def test_digits_as_text_equal_python(spark):
+    """The forms over text of what is done for every row; whole() goes by them, without functions over arrays."""
+    r = random.Random(12)
+    pairs = [(i % 5, r.choice([0, 1, 10**9, 2**256 - 1, r.randrange(10 ** r.randrange(1, 78))]), r.randrange(10 ** r.randrange(1, 78))) for i in range(200)]
+    df = spark.createDataFrame([(k, str(a), f"{b:x}") for k, a, b in pairs], "k int, a string, b string").withColumn("y", wide.digits_of_hexadecimal(F.col("b")))
+    got = df.select("k", "a", "y", wide.product(F.col("a"), F.col("y")).alias("product"), (wide.key(F.col("a")) < wide.key(F.col("y"))).alias("less"), wide.of_key(wide.key(F.col("a"))).alias("again"))
+    assert sorted(map(tuple, got.collect())) == sorted((k, str(a), str(b), str(a * b), a < b, str(a)) for k, a, b in pairs)
+    assert dict(df.groupBy("k").agg(wide.sum_of(F.col("a"))).collect()) == {k: str(sum(a for j, a, _ in pairs if j == k)) for k in range(5)}
+    odd = spark.createDataFrame([("",), (None,), ("-1",), ("0x",), ("1\n",)], "t string")
+    assert {tuple(x) for x in odd.select(wide.digits_of_hexadecimal(F.col("t")), wide.product(F.col("t"), F.lit("2"))).collect()} == {(None, None)}
+    assert odd.where("t = ''").agg(wide.sum_of(F.when(F.lit(False), F.col("t")))).first()[0] == "0" and spark.createDataFrame([("9" * 82,)], "t string").agg(wide.sum_of(F.col("t"))).first()[0] is None
+    assert "lambdafunction" not in odd.select(normalise.whole(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
