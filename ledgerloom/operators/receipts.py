@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.sources.shared import stored
@@ -18,9 +18,9 @@ NO_RECEIPT, NO_SUCCESS, DUPLICATE, MULTIPLICITY, UNREAD = (
 
 def paired(left: DataFrame, right: DataFrame, key: list[str], left_order: str, right_order: str) -> DataFrame:
     """A multiset join: the first row of a key on one side with the first on the other, the second with the second, and so on; what is left over on
-    either side stays, unmatched. Rows are numbered over ranges (see prefix), so a key may hold any share of them; the join is by key and
+    either side stays, unmatched. Rows of a key of over a million are numbered over ranges (see prefix), so a key may hold any share of them; the join is by key and
     number, of which no two rows of a side have the same. Keys must not be null; other columns of the sides have different names."""
-    number = lambda df, order: prefix.running(df.withColumn("_one", F.lit(1).cast("long")), key, [order], "_one", "_nth").drop("_one")
+    number = lambda df, order: prefix.total_so_far(df.withColumn("_one", F.lit(1).cast("long")), key, [order], "_one", "_nth").drop("_one")
     return number(left, left_order).join(number(right, right_order), [*key, "_nth"], "full").withColumnRenamed("_nth", "nth")
 
 
@@ -32,7 +32,7 @@ def transfer_logs(logs: DataFrame) -> DataFrame:
     account = lambda i: F.lower(F.concat(F.lit("0x"), F.right(topic(i), F.lit(40))))
     df = logs.where(F.coalesce(form, F.lit(False))).select(
         "tx", "place", F.lower("address").alias("contract"), account(1).alias("sender"), account(2).alias("recipient"),
-        wide.text(wide.hexadecimal(F.regexp_extract("data", "^0x([0-9a-fA-F]+)$", 1))).alias("value"), "log_index",
+        wide.digits_of_hexadecimal(F.regexp_extract("data", "^0x([0-9a-fA-F]+)$", 1)).alias("value"), "log_index",
     )
     return df.withColumn("gap", F.when(F.col("contract").isNull() | F.col("value").isNull() | F.col("log_index").isNull(), UNREAD))
 
@@ -49,11 +49,11 @@ def token_events(rows: DataFrame, receipts: DataFrame, logs: DataFrame) -> tuple
     absent = rows.select("tx").distinct().join(lacking, "tx", "left_anti")
     failed = known.where("status is not null and status <> 1").select("tx").distinct()
     asked = stored(known.where("status = 1").drop("status"), "index-rows")
-    read = stored(transfer_logs(logs.join(asked.select("tx").distinct(), "tx", "left_semi")), "transfer-logs")
-    listed = read.where("gap is null").join(asked.select(*key).distinct(), key, "left_semi")
-    first = listed.groupBy("tx", "log_index").agg(F.min("place").alias("place"))
-    counted = stored(listed.join(first, ["tx", "log_index", "place"], "left_semi"), "counted-logs")
-    twice = listed.join(first, ["tx", "log_index", "place"], "left_anti")
+    read = stored(transfer_logs(logs.join(asked.select("tx"), "tx", "left_semi")), "transfer-logs")
+    listed = read.where("gap is null").join(asked.select(*key), key, "left_semi")
+    first = F.min("place").over(Window.partitionBy("tx", "log_index"))
+    listed = stored(listed.withColumn("first", F.col("place") == first), "counted-logs")
+    counted, twice = listed.where("first"), listed.where("not first")
     met = stored(paired(asked.select("row_id", *key), counted.select(*key, "log_index"), key, "row_id", "log_index"), "paired-logs")
     sums = met.groupBy(*key).agg(F.count("row_id").alias("rows"), F.count("log_index").alias("logs")).where("rows <> logs")
     gaps = none(absent, NO_RECEIPT).unionByName(none(failed, NO_SUCCESS)).unionByName(none(twice, DUPLICATE)).unionByName(none(read.where("gap is not null"), UNREAD))
