@@ -1,8 +1,8 @@
 """Whole numbers of any length as arrays of limbs, lowest first, in base 10^9: amounts of 256 bits and their products.
 
 Everything is an expression over arrays, so numbers stay columns: they are read from decimal or hexadecimal text, added, multiplied,
-compared and summed, and written back as text. A limb times a limb and a carry fit in a long. Arrays cost some 50 microseconds a row, so
-what is done for every row of a table has a form over text (digits_of_hexadecimal, product, key, sum_of), of a few at most.
+compared and summed, and written back as text. A limb times a limb and a carry fit in a long. Arrays are slow, so what is
+done for every row of a table has a form over text (digits_of_hexadecimal, product, key, sum_of).
 """
 
 from __future__ import annotations
