@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import facts, frontier, labels, ledger, order
+from ledgerloom.operators import counted, facts, frontier, labels, ledger, order
 from ledgerloom.sources.derived import TRANSFERS_SQL, read, transfers
+from ledgerloom.sources.shared import stored
 
 WINDOW, DEPTH, SEEDS = 172_800, 3, 20
 FACT_FIELDS = ["l_returnflag", "l_linestatus"]
@@ -48,9 +49,7 @@ def strict_order_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def admission_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = _pairs(spark, sf_dir, WINDOW, ("sender", "recipient"))
-    reason = order.admission(_e, _a, F.col("a_tsec") + WINDOW, order.strictly_after(_e, _a))
-    return pairs.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"), F.sum("e_event_id").alias("ids"))
+    return counted.admissions(stored(transfers(spark, sf_dir), "transfers"), WINDOW)
 
 
 def amount_status_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
