@@ -61,14 +61,25 @@ def token_events(rows: DataFrame, receipts: DataFrame, logs: DataFrame) -> tuple
     return met.where("log_index is not null").select("tx", "log_index", "row_id", *key[1:]), gaps
 
 
-def bound_logs(receipt: DataFrame, frames: DataFrame) -> DataFrame:
+def bound_logs(receipt: DataFrame, frames: DataFrame, most: int = prefix.MOST_ROWS) -> DataFrame:
     """Logs of receipts (tx, log_index, address, topics, data) with the call frames that emitted them (tx, path, address, topics, data), by
     transaction, address, topics and data. bound: LOG where the frame's log says which index it has or it is the only one of its kind in the
-    transaction, AMBIGUOUS where equal logs can't be told apart, RECEIPT_ONLY and FRAME_ONLY where the other side lacks it."""
+    transaction, AMBIGUOUS where equal logs can't be told apart, RECEIPT_ONLY and FRAME_ONLY where the other side lacks it. Both sides are one
+    table, dealt once by key, and the n-th log of a key stands with its n-th frame; keys of over `most` rows are paired over ranges."""
     key = ["tx", "address", "topics", "data"]
     plain = lambda df: df.withColumns({"address": F.lower("address"), "data": F.lower("data"), "topics": F.lower(F.array_join("topics", ","))})
     logs, calls = plain(receipt).select(*key, "log_index"), plain(frames).select(*key, "path")
-    counts = logs.groupBy(*key).agg(F.count("*").alias("n")).join(calls.groupBy(*key).agg(F.count("*").alias("m")), key, "full")
-    met = paired(stored(logs, "logs"), stored(calls, "frame-logs"), key, "log_index", "path").join(stored(counts, "log-counts"), key)
+    both = logs.withColumn("_log", F.lit(True)).unionByName(calls.withColumn("_log", F.lit(False)), allowMissingColumns=True).where(" and ".join(f"{k} is not null" for k in key))
+    large = prefix.large_groups(both, key, most)
+    small = (both if large is None else both.join(large, key, "left_anti")).repartition(*key)
+    whole = Window.partitionBy(*key)
+    counts = {"n": F.count_if("_log").over(whole), "m": F.count_if(~F.col("_log")).over(whole)}
+    numbered = small.withColumn("nth", F.row_number().over(Window.partitionBy(*key, "_log").orderBy("log_index", "path"))).withColumns(counts)
+    met = numbered.groupBy(*key, "nth").agg(*(F.max(c).alias(c) for c in ("log_index", "path", "n", "m"))).select("tx", "log_index", "path", "n", "m")
+    if large is not None:
+        logs, calls = (stored(df.join(large, key, "left_semi"), name) for df, name in ((logs, "logs"), (calls, "frame-logs")))
+        counts = logs.groupBy(*key).agg(F.count("*").alias("n")).join(calls.groupBy(*key).agg(F.count("*").alias("m")), key, "full")
+        hot = paired(logs, calls, key, "log_index", "path").join(stored(counts, "log-counts"), key)
+        met = met.unionByName(hot.select(*met.columns))
     bound = F.when(F.col("path").isNull(), "RECEIPT_ONLY").when(F.col("log_index").isNull(), "FRAME_ONLY").when((F.col("n") == 1) & (F.col("m") == 1), "LOG").otherwise("AMBIGUOUS")
     return met.select("tx", "log_index", "path", bound.alias("bound"))
