@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.sources.shared import stored
+
 from .closure import components
 
 
@@ -33,10 +35,16 @@ def contradictions(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
 
 
 def alias_groups(versions: DataFrame, event_id: str, physical: str) -> DataFrame:
-    """versions with group: versions that share an id or a physical key, directly or by others, are of one fact."""
-    ids, places = F.concat(F.lit("id:"), F.col(event_id).cast("string")), F.concat(F.lit("physical:"), F.col(physical).cast("string"))
-    found = components(versions.select(ids.alias("a"), places.alias("b")), "aliases").withColumnRenamed("root", "group")
-    return versions.withColumn("node", ids).join(found, "node").drop("node")
+    """versions with group, the smallest physical key of a fact: versions that share an id or a physical key, directly or by others, are of one fact.
+    Only keys that an id with several of them joins are walked, each to its id's least; a version without a key has that of its id."""
+    known = versions.where(F.col(event_id).isNotNull())
+    least = known.groupBy(event_id).agg(F.min(physical).alias("_lo"), F.max(physical).alias("_hi"))
+    met = known.where(F.col(physical).isNotNull()).select(event_id, physical).join(least.where("_lo <> _hi").select(event_id, "_lo"), event_id)
+    roots = stored(components(met.select(F.col(physical).alias("a"), F.col("_lo").alias("b")), "aliases"), "alias-roots").withColumnRenamed("node", "_place")
+    placed = known.where(F.col(physical).isNotNull()).withColumn("_place", F.col(physical))
+    lacking = known.where(F.col(physical).isNull()).join(least.where("_lo is not null").select(event_id, F.col("_lo").alias("_place")), event_id)
+    rows = placed.unionByName(lacking.select(placed.columns))
+    return rows.join(roots, "_place", "left").withColumn("group", F.coalesce("root", "_place")).drop("_place", "root")
 
 
 #: Ids that say where their fact is: chain, transaction, position.
