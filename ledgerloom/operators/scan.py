@@ -60,6 +60,32 @@ def _bins(first: Column, last: Column) -> Column:
     return F.explode(F.when(last >= first, F.transform(places, lambda p: F.struct(power.alias("power"), p.alias("place")))))
 
 
+#: Stretches that intervals are told by before a scan.
+STRETCHES = 64
+
+
+def spanned(intervals: DataFrame, point: str, first: str, last: str) -> Column:
+    """Whether a point may be in some interval: bounds that a scan of the points takes before any shuffle. The span of all intervals is cut into equal
+    stretches, and those that no interval touches are left out."""
+    some = intervals.where(F.col(first) <= F.col(last))
+    lo, hi = some.agg(F.min(first), F.max(last)).first()
+    if lo is None:
+        return F.lit(False)
+    width = (hi - lo) // STRETCHES + 1
+    place = lambda c: F.floor((F.col(c) - lo) / width)
+    places = some.select(F.explode(F.sequence(place(first), place(last))).alias("p")).distinct().collect()  # one of each stretch at most
+    runs = []
+    for p in sorted(r[0] for r in places):
+        if runs and runs[-1][1] == p - 1:
+            runs[-1][1] = p
+        else:
+            runs.append([p, p])
+    inside = F.lit(False)
+    for a, b in runs:
+        inside = inside | F.col(point).between(lo + a * width, lo + (b + 1) * width - 1)
+    return inside
+
+
 def at_intervals(points: DataFrame, intervals: DataFrame, by: str, point: str, first: str, last: str) -> DataFrame:
     """Every point joined with every interval (first to last, both ends included) of the same `by` that holds it: an equi-join on by and bin. The
     bounds are residual, and no point meets an interval twice."""

@@ -34,13 +34,18 @@ def interval_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("day", "kind").agg(F.count("*").alias("n"), F.sum("amount").alias("amount"))
 
 
+def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of all intervals; blocks outside all of them are left out where the tables are read."""
+    intervals = warehouse.intervals(spark, sf_dir)
+    return scan.tagged(intervals, _events(spark, sf_dir, scan.spanned(intervals, "block", "start_block", "end_block")))
+
+
 def interval_batch_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.tagged(warehouse.intervals(spark, sf_dir), _events(spark, sf_dir))
+    return _tagged(spark, sf_dir)
 
 
 def interval_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    intervals = warehouse.intervals(spark, sf_dir)
-    return scan.accounted(intervals, scan.tagged(intervals, _events(spark, sf_dir)))
+    return scan.accounted(warehouse.intervals(spark, sf_dir), _tagged(spark, sf_dir))
 
 
 def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
