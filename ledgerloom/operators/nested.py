@@ -18,25 +18,27 @@ def leaves(texts: DataFrame, id_col: str, json_col: str) -> DataFrame:
     spark = texts.sparkSession
     run = Run(spark)
     none = F.lit(None).cast("string")
-    level = run.step("level-0", lambda: texts.select(F.col(id_col).alias("id"), F.lit("$").alias("path"), none.alias("key"), F.try_parse_json(json_col).alias("v")).where("v is not null"))
-    inner = F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)")
-    found, d = [], 0
-    while True:
-        found.append(level.where(~inner).select("id", "path", "key", F.try_variant_get("v", "$", "string").alias("value")))
+
+    def told(df):
+        """Nodes (id, path, key, v) with value, or held where there is more below: told once, as the level is stored."""
+        df = df.withColumn("_inner", F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)"))
+        return df.select("id", "path", "key", "_inner", F.when(~F.col("_inner"), F.try_variant_get("v", "$", "string")).alias("value"), F.when(F.col("_inner"), F.col("v")).alias("held"))
+
+    def deeper(level):
+        below = level.where("_inner").select("id", F.col("path").alias("above"), F.col("key").alias("of"), "held").lateralJoin(spark.tvf.variant_explode(F.col("held").outer()))
+        name = F.when(F.col("key").isNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("."), F.col("key")))
+        return told(below.select("id", F.concat("above", name).alias("path"), "key", F.col("value").alias("v")))
+
+    more = (F.count_if("_inner").alias("more"),)
+    root = texts.select(F.col(id_col).alias("id"), F.lit("$").alias("path"), none.alias("key"), F.try_parse_json(json_col).alias("v")).where("v is not null")
+    levels = [run.step("level-0", lambda: told(root), more)]
+    while run.seen[f"level-{len(levels) - 1}"]["more"]:
         # A step that isn't stored would be walked again from the top by each later one.
-        def deeper(level=level):
-            below = level.where(inner).withColumnsRenamed({"path": "above", "key": "of", "v": "held"}).lateralJoin(spark.tvf.variant_explode(F.col("held").outer()))
-            name = F.when(F.col("key").isNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("."), F.col("key")))
-            return below.select("id", F.concat("above", name).alias("path"), "key", F.col("value").alias("v"))
-
-        d += 1
-        level = run.step(f"level-{d}", deeper)
-        if level.isEmpty():
-            break
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+        levels.append(run.step(f"level-{len(levels)}", lambda: deeper(levels[-1]), more))
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.unionByName(level)
+    return out.where("not _inner").select("id", "path", "key", "value")
 
 
 def block_hashes(walked: DataFrame) -> DataFrame:
