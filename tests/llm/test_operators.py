@@ -209,6 +209,23 @@ def test_passages_whose_parts_are_frequent(spark):
     assert rows[42]["n_shared"] == rows[43]["n_shared"] == 135
 
 
+def test_fuzzy_passages_whose_seeds_and_distances_are_all_frequent(spark):
+    """Two texts share a passage but for a word. All its seeds and pairs of seeds also stand, at its distances, in 102 other texts that hold half of
+    it and a few words more, so neither is a first or last holder of any."""
+    new = iter(range(10**6))
+    fill = lambda n: [f"f{next(new)}" for _ in range(n)]
+    texts = []
+    for seed in (1, 3, 29, 56):
+        p = words(57, seed)
+        texts += [[*fill(30), *p[:28], *fill(1), *p[29:], *fill(30)] for _ in range(2)]
+        for at in [*range(17)] * 3:
+            texts.append([*fill(30), *p[:28], *fill(1 + at), *p[29 + at : 41 + at], *fill(46 - at)])
+            texts.append([*fill(30 + at), *p[at : at + 12], *fill(17 - at), *p[29:], *fill(30)])
+    docs = spark.createDataFrame([(i, " ".join(t), "k", 1) for i, t in enumerate(texts)], SCHEMA)
+    found = {r["doc_id"]: (r["class_id"], r["n_links_found"], [tuple(x) for x in r["spans"]]) for r in chaining.shared_passages(docs).collect()}
+    assert found == {i: (i - i % 104 if i % 104 < 2 else i, *((1, [(30, 87)]) if i % 104 < 2 else (0, []))) for i in range(len(texts))}
+
+
 def test_links_equal_brute_force_on_edited_passages(spark):
     """Recall over all pairs of texts with passages edited word by word: no class is missed, nor a link or a word of small groups."""
     r = random.Random(5)
