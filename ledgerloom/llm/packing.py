@@ -118,7 +118,7 @@ def pieces(docs: DataFrame, path: str, size: int = 4096, end_id: int = 2, id_col
     def run(batches):
         encoder = Encoder(path, end_id)
         for whole in batches:
-            for b in slices(whole, 1, 4 << 20):
+            for b in slices(whole, 1, 1 << 20):
                 rows = []
                 for i, ids in enumerate(encoder.ids(b.column(1))):
                     for s in range(0, len(ids), size):
