@@ -237,7 +237,7 @@ def _coded(sent, *paths):
         names, sums = sent.value
         place = {u: i for i, u in enumerate(names)}
         for batch in batches:
-            for b in slices(batch, 1, 4 << 20):
+            for b in slices(batch, 1, 1 << 20):
                 n = b.num_rows
                 total, codes, cold = np.zeros((n, len(SUMS)), np.int64), [None] * n, [None] * n
                 for rows, parts, at, bounds in _parts(cutter, b.column(1)):
@@ -277,14 +277,14 @@ def _digests(sent):
         return [hashlib.sha256(t.as_buffer()).hexdigest() if c.is_valid else "" for t, c in zip(whole, codes, strict=True)]
 
     def run(batches):
-        names = pa.array(sent.value, pa.string())
+        names = sent.value
         for batch in batches:
             sizes = 16 * pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             cold = batch.column(2)
             ends = np.concatenate(([0], np.cumsum(pc.binary_length(cold.flatten()).to_numpy(zero_copy_only=False).astype(np.int64))))
             last = np.cumsum(pc.fill_null(pc.list_value_length(cold), 0).to_numpy(zero_copy_only=False))
             sizes += np.diff(ends[last], prepend=0)
-            cuts = np.flatnonzero(np.diff(np.cumsum(sizes) >> 25, prepend=0)).tolist()  # some 32 MB of text at a time
+            cuts = np.flatnonzero(np.diff(np.cumsum(sizes) >> 23, prepend=0)).tolist()  # some 8 MB of text at a time
             for s, e in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
                 if e > s:
                     b = batch.slice(s, e - s)
@@ -322,5 +322,5 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     both = coded.join(rest, "r", "left")
     in_order = F.transform(F.array_sort("rest"), lambda x: x["text"])
     both = both.select("doc_id", "codes", in_order.alias("cold"), *((F.col(c) + F.coalesce(f"rest_{c}", F.lit(0))).alias(c) for c in SUMS))
-    names = spark.sparkContext.broadcast(held["groups"].to_pylist())
+    names = spark.sparkContext.broadcast(held["groups"].cast(pa.string()).combine_chunks())  # as an Arrow array, a fraction of a list of texts
     return both.mapInArrow(_digests(names), T.StructType([schema["doc_id"], T.StructField("groups_sha256", T.StringType()), *(schema[c] for c in SUMS)]))
