@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from itertools import chain, product, repeat
+from string import ascii_lowercase
 
 import numpy as np
 import pyarrow as pa
@@ -26,32 +28,52 @@ from .common import slices, split_words, written
 
 class Encoder:
     """Token ids of texts. Texts are cut at white space, which no token of this kind of tokenizer spans, and equal words of
-    a batch are tokenized once: words of letters many at a time, as each ends in one token with an end mark, other words
-    one by one."""
+    a batch are tokenized once: words of lower-case ASCII letters by the tokenizer's model, as all before it leaves them as they are, words of
+    other letters many at a time, as each ends in one token with an end mark, other words one by one."""
 
     MARK, STOPS = "</w>", ".,;:!?"
 
     def __init__(self, path: str, end_id: int, held: int = 300_000) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end, self.held, self.known = Tokenizer.from_file(path), end_id, held, {}
+        self.tokenizer, self.end, self.held = Tokenizer.from_file(path), end_id, held
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.last[[i for w, i in vocabulary.items() if w.endswith(self.MARK)]] = True
-        self.stops = dict(zip(self.STOPS, self.each(list(self.STOPS)), strict=True)) | {"": b""}
-
-    def each(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def joined(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters, tokenized as one text."""
+        self.model = self.tokenizer.model if self.bare() else None
+        self.forget()
+
+    def bare(self) -> bool:
+        """Whether a word of lower-case ASCII letters comes to the model whole and unchanged."""
+        given = self.tokenizer
+        if any(t.content.isalpha() for t in given.get_added_tokens_decoder().values()):
+            return False
+        words = [ascii_lowercase, *ascii_lowercase, *map("".join, product(ascii_lowercase, repeat=2))]
+        text = given.normalizer.normalize_str(" ".join(words)) if given.normalizer else " ".join(words)
+        return bool(given.pre_tokenizer) and [w for w, _ in given.pre_tokenizer.pre_tokenize_str(text)] == words
+
+    def forget(self) -> None:
+        """Leaves no word known; the first lists of ids are that of no stop and those of STOPS."""
+        ids, sizes = self.each(list(self.STOPS))
+        self.known, self.flat, self.sizes = {}, ids, np.concatenate(([0], sizes))
+
+    def each(self, words: list[str]) -> tuple[np.ndarray, list[int]]:
+        """Ids of the words, end to end, and how many each has."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array(list(chain.from_iterable(found)), np.uint32), list(map(len, found))
+
+    def direct(self, words: list[str]) -> tuple[np.ndarray, list[int]]:
+        """The same of words of lower-case ASCII letters."""
+        found = list(map(self.model.tokenize, words))
+        return np.array([t.id for tokens in found for t in tokens], np.uint32), list(map(len, found))
+
+    def joined(self, words: list[str]) -> tuple[np.ndarray, list[int]]:
+        """The same of words of letters, tokenized as one text."""
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) != len(words):  # a letter that falls apart when lower-cased, or another kind of tokenizer
             return self.each(words)
-        ends = (4 * ends).tolist()
-        raw = ids.tobytes()
-        return [raw[s:e] for s, e in zip([0, *ends[:-1]], ends, strict=True)]
+        return ids, np.diff(ends, prepend=0).tolist()
 
     def stems(self, words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """Each word without its full stop or comma if what is left are letters (lower-cased if they are ASCII), which stop it had (0: none), and
@@ -69,27 +91,33 @@ class Encoder:
 
     def tokens(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words, one after another, and how many each has. Only words without their full stop or comma are remembered."""
-        known = self.known
-        if len(known) > self.held:
-            known.clear()
+        if len(self.known) > self.held:
+            self.forget()
         stem, stops, letters = self.stems(words)
         coded = stem.dictionary_encode()
-        stem, index = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-        plain = np.zeros(len(stem), bool)
-        plain[index] = letters
-        parts = list(map(known.get, stem))
-        for run, of in ((self.joined, plain), (self.each, ~plain)):
-            todo = [i for i in np.flatnonzero(of).tolist() if parts[i] is None]
+        stem, index = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        kind = np.zeros(len(stem), np.int8)
+        kind[index] = letters
+        if self.model:
+            kind[pc.string_is_ascii(stem).to_numpy(zero_copy_only=False) & (kind == 1)] = 2
+        stem = stem.to_numpy(zero_copy_only=False).tolist()  # quicker than to_pylist
+        codes = np.fromiter(map(self.known.get, stem, repeat(-1)), np.int64, len(stem))
+        flat, sizes = [self.flat], [self.sizes]
+        new = codes < 0
+        for of, run in enumerate((self.each, self.joined, self.direct)):
+            todo = np.flatnonzero(new & (kind == of))
+            first = sum(map(len, sizes))
+            codes[todo] = np.arange(first, first + len(todo))
             for i in range(0, len(todo), 2000):  # the tokenizer's own results are large
-                at = todo[i : i + 2000]
-                words = [stem[j] for j in at]
-                for j, w, ids in zip(at, words, run(words), strict=True):
-                    parts[j] = known[w] = ids
-        parts += [self.stops[s] for s in ("", *self.STOPS)]
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        flat = np.frombuffer(b"".join(parts), np.uint32)
+                some = [stem[j] for j in todo[i : i + 2000].tolist()]
+                ids, counts = run(some)
+                self.known.update(zip(some, range(first + i, first + i + len(some)), strict=True))
+                flat.append(ids)
+                sizes.append(np.array(counts, np.int64))
+        self.flat, self.sizes = np.concatenate(flat), np.concatenate(sizes)
         # A word is its stem, then its stop.
-        return taken(flat, sizes, np.stack((index, len(stem) + stops), 1).ravel()), sizes[index] + sizes[len(stem) + stops]
+        index = codes[index]
+        return taken(self.flat, self.sizes, np.stack((index, stops), 1).ravel()), self.sizes[index] + self.sizes[stops]
 
     def ids(self, texts: pa.Array):
         """Yields the ids of each text, the end's included, as uint32."""

@@ -119,6 +119,36 @@ def test_encoder_equals_the_tokenizer():
         assert got == [direct.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
 
 
+def test_words_of_ascii_letters_skip_what_leaves_them_unchanged(tmp_path):
+    """Only other words go through the whole tokenizer; where it changes such words, or has them as tokens of their own, all do."""
+    from tokenizers import Tokenizer, normalizers
+
+    class Counting:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.seen = tokenizer, []
+
+        def encode_batch_fast(self, words, **options):
+            self.seen += words
+            return self.tokenizer.encode_batch_fast(words, **options)
+
+    texts = [" ".join([*words(300, 3), "The", "End.", "x1", "Émile,"]), " ".join(words(300, 4)).translate(str.maketrans("0123456789", "abcdefghij"))]
+    encoder = packing.Encoder(tokenizer_path(), 2)
+    encoder.tokenizer = counting = Counting(encoder.tokenizer)
+    got = [x.tolist() for x in encoder.ids(pa.array(texts))]
+    direct = Tokenizer.from_file(tokenizer_path())
+    assert got == [direct.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    left = {w for t in texts for w in t.lower().split() if not w.strip(".").isascii() or not w.strip(".").isalpha()}
+    assert set(" ".join(counting.seen).lower().split()) == {w.strip(",") for w in left}
+    changed, added = Tokenizer.from_file(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    changed.normalizer = normalizers.Sequence([normalizers.Lowercase(), normalizers.Replace("th", "z")])
+    added.add_tokens(["the"])
+    for i, other in enumerate((changed, added)):
+        other.save(str(tmp_path / f"{i}.json"))
+        encoder = packing.Encoder(str(tmp_path / f"{i}.json"), 2)
+        assert encoder.model is None
+    assert [x.tolist() for x in packing.Encoder(str(tmp_path / "0.json"), 2).ids(pa.array(["The path thth"]))] == [changed.encode("The path thth", add_special_tokens=False).ids + [2]]
+
+
 def test_no_exact_run_is_left_without_a_link(spark):
     r = random.Random(11)
     phrases = [words(22, 100 + i) for i in range(12)]
