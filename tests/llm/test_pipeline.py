@@ -154,3 +154,24 @@ def test_toxicity_ranks_held_out_documents_with_few_labels(spark):
     toxic, clean = [s for s, t in held if t], [s for s, t in held if not t]
     pairs = [(a > b) + 0.5 * (a == b) for a in toxic for b in clean]
     assert pairs and sum(pairs) / len(pairs) > 0.9
+
+
+def test_toxicity_learns_from_all_labels(spark, monkeypatch):
+    """More labels than are sent along train all the same, each of a text of its own."""
+    n = 260_000
+    ids = spark.range(n).withColumnRenamed("id", "doc_id")
+    docs = ids.selectExpr("doc_id", "concat('word', doc_id, ' and more') AS text")
+    counted = []
+    monkeypatch.setattr(toxicity, "feature_counts", lambda labelled: counted.append(labelled.groupBy("toxic").count().collect()))
+    monkeypatch.setattr(toxicity, "learn", lambda *_, **__: None)
+    toxicity.detect(docs, ids.selectExpr("doc_id", "cast(doc_id % 3 = 0 AS int) AS toxic"))
+    train = [i for i in range(n) if zlib.crc32(str(i).encode()) % 5 not in (0, toxicity.CALIBRATION_FOLD)]
+    assert dict(map(tuple, counted[0])) == {1: sum(i % 3 == 0 for i in train), 0: sum(i % 3 != 0 for i in train)}
+
+
+def test_toxicity_of_dealt_labels_equals_that_of_sent_ones(spark):
+    rows = [(i, prose(40, i % 150) + (" vilexo grunda zarkil" if i % 3 == 0 else "")) for i in range(400)] + [(None, "vilexo"), (7, "grunda"), (900, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(0, 400, 2)], "doc_id long, toxic int")
+    sent, dealt = (sorted(map(repr, toxicity.detect(docs, labels, send_rows=most).collect())) for most in (200, 199))
+    assert sent == dealt and len(sent) == len(rows)
