@@ -18,16 +18,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import dropped, written
 
 GRAM = 32
 UNIT = 8
-_SLICE = 1 << 20
+#: Bytes that are hashed or merged at a time: arrays of eight bytes for each stay in a core's cache.
+_SLICE = 1 << 17
 _LOW = np.uint64((1 << 24) - 1)
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
@@ -125,31 +127,36 @@ def _contents(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return joined.mapInArrow(run, "m long, c long, d long, k long, start long, data binary")
 
 
+def _intervals(keys: tuple[np.ndarray, ...], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows in order of the keys (the last one first), without those that are alone, and how many are alike, one after the other."""
+    order = np.lexsort(keys)
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
+    sizes = np.diff(np.flatnonzero(new), append=len(order))
+    several = sizes > 1
+    return rows[order[np.repeat(several, sizes)]], sizes[several]
+
+
 def refined(raw: bytes, starts: np.ndarray, block: np.ndarray, width: int) -> np.ndarray:
-    """Which of the windows (starts in raw) share all their bytes with another of their block. Each step splits the blocks by
-    the eight bytes before those compared so far and leaves out the windows that are alone."""
-    live = np.arange(len(starts))
+    """Which of the windows (starts in raw) share all their bytes with another of their block. Each step splits the intervals by
+    the eight bytes before those compared so far and leaves out the windows that are alone. Intervals whose bytes are all alike stay as they
+    are, so only the others are sorted."""
     words = _words(raw + b"\0" * 8, len(raw))
     done = np.zeros(len(starts), bool)
-    steps = [*range(width - 8, 0, -8), 0]
-    for step in [None, *steps]:
-        b = block[live]
-        if step is None:
-            order = np.argsort(b, kind="stable")
-            new = b[order][1:] != b[order][:-1]
-        else:
-            w = words[starts[live] + step]
-            order = np.lexsort((w, b))
-            sb, sw = b[order], w[order]
-            new = (sb[1:] != sb[:-1]) | (sw[1:] != sw[:-1])
-        if not len(order):
+    live, sizes = _intervals((block,), np.arange(len(starts)))
+    for step in [*range(width - 8, 0, -8), 0]:
+        if not len(live):
             return done
-        first = np.concatenate(([True], new))
-        last = np.concatenate((new, [True]))
-        together = ~(first & last)
-        live = live[order][together]
-        block = block.copy() if step is None else block
-        block[live] = np.cumsum(first)[together]
+        w = words[starts[live] + step]
+        begins = np.cumsum(sizes) - sizes
+        split = np.logical_or.reduceat(w != np.repeat(w[begins], sizes), begins)
+        if not split.any():
+            continue
+        sort = np.flatnonzero(np.repeat(split & (sizes > 2), sizes))  # two that differ are alone
+        part, counts = _intervals((w[sort], np.repeat(np.arange(len(sizes)), sizes)[sort]), live[sort])
+        live = np.concatenate((live[np.repeat(~split, sizes)], part))
+        sizes = np.concatenate((sizes[~split], counts))
     done[live] = True
     return done
 
@@ -181,6 +188,15 @@ def _merged(batches, width: int):
         ends = np.concatenate((at[new[1:] - 1], at[-1:])) + width
         yield pa.RecordBatch.from_arrays([rows.column("k").combine_chunks().take(pa.array(of[new])), pa.array(at[new]), pa.array(ends)], ["k", "start", "end"])
 
+    def solved(rows: pa.Table):
+        """solve, by grams of about a slice."""
+        m = rows.column("m").to_numpy()
+        new = np.flatnonzero(m[1:] != m[:-1]) + 1
+        so_far = np.cumsum(pc.binary_length(rows.column("data")).to_numpy().astype(np.int64))
+        cuts = new[np.diff(so_far[new - 1] // _SLICE, prepend=0) != 0].tolist()
+        for s, e in zip([0, *cuts], [*cuts, rows.num_rows], strict=True):
+            yield from solve(rows.slice(s, e - s))
+
     held: list[pa.RecordBatch] = []
     size = 0
     for b in batches:
@@ -192,11 +208,11 @@ def _merged(batches, width: int):
         m = rows.column("m").to_numpy()
         cut = int(np.searchsorted(m, m[-1]))
         if cut:
-            yield from solve(rows.slice(0, cut))
+            yield from solved(rows.slice(0, cut))
             held = rows.slice(cut).combine_chunks().to_batches()
             size = sum(x.nbytes for x in held)
     if held and sum(x.num_rows for x in held):
-        yield from solve(pa.Table.from_batches(held))
+        yield from solved(pa.Table.from_batches(held))
 
 
 def _units(batches, width: int):
@@ -222,11 +238,14 @@ def _units(batches, width: int):
 def _windows(batches, width: int):
     """Two digests of every window of each unit, its place, and whether the unit is met once."""
     for b in batches:
-        for data, once, k, start in zip(*(b.column(x).to_pylist() for x in ("data", "once", "k", "start")), strict=True):
-            n = len(data) - width + 1
-            h = [xxhash.xxh3_128_intdigest(data[i : i + width]) for i in range(n)]
-            halves = np.array([(x >> 64, x & (2**64 - 1)) for x in h], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array([k] * n, pa.int64()), pa.array(np.arange(start, start + n)), pa.array([once] * n)], ["h1", "h2", "k", "start", "once"])
+        units = b.column("data").to_pylist()
+        n = np.fromiter((len(u) - width + 1 for u in units), np.int64, len(units))
+        digests = b"".join(xxhash.xxh3_128_digest(u[i : i + width]) for u, many in zip(units, n.tolist(), strict=True) for i in range(many))
+        halves = np.frombuffer(digests, ">i8").reshape(-1, 2).astype(np.int64)
+        of = np.repeat(np.arange(len(units)), n)
+        start = b.column("start").to_numpy()[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        rest = [b.column("k").to_numpy()[of], start, b.column("once").to_numpy(zero_copy_only=False)[of]]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (halves[:, 0].copy(), halves[:, 1].copy(), *rest)], ["h1", "h2", "k", "start", "once"])
 
 
 def _crowded(contents: DataFrame, width: int) -> DataFrame:
@@ -254,14 +273,17 @@ def _of(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 def covered(docs: DataFrame, width: int = 200, crowd: int = 64) -> DataFrame:
     """k and spans (start, end; bytes, maybe overlapping) of the texts of (k, text) that have repeated bytes."""
-    found = written(stretches(docs, width), "stretches")
-    again = written(found.groupBy("m").count().where("count > 1").select("m"), "stretch-grams")
-    found = written(found.join(F.broadcast(again) if _small(again) else again, "m"), "stretches-met-again")
-    kinds = found.groupBy("m", "g").agg(F.count("*").alias("c"), F.min(F.struct("k", "start", "n")).alias("one"))
-    kinds = written(kinds.select("m", "g", "c", "one.*"), "stretch-kinds")
-    whole = found.join(kinds.where("c > 1").select("m", "g"), ["m", "g"])
+    every = written(stretches(docs, width), "stretches")
+    again = written(every.groupBy("m").count().where("count > 1").select("m"), "stretch-grams")
+    found = written(every.join(F.broadcast(again) if _small(again) else again.hint("shuffle_hash"), "m"), "stretches-met-again")
+    dropped(every, again)
+    # Any place of a stretch will do, as equal ones have the same windows; single numbers are kept by hashing, structs would be sorted.
+    one = (F.min("k").alias("k"), F.min_by("start", "k").alias("start"), F.min("n").alias("n"))
+    kinds = written(found.groupBy("m", "g").agg(F.count("*").alias("c"), *one), "stretch-kinds")
+    whole = found.join(kinds.where("c > 1").select("m", "g").hint("shuffle_hash"), ["m", "g"])
     whole = whole.select("k", "start", (F.col("start") + F.col("n") + (width - 1)).alias("end"))
-    several = kinds.groupBy("m").agg(F.count("*").alias("d")).where("d > 1")
+    # Where all stretches of a gram are met again, all of their windows are covered by now.
+    several = kinds.groupBy("m").agg(F.count("*").alias("d"), F.min("c").alias("least")).where("d > 1 and least = 1").drop("least")
     wanted = written(kinds.join(several, "m"), "stretches-to-merge")
     contents = written(_contents(docs, wanted, width), "stretch-contents")
     apart = contents.where(F.col("d") <= crowd).repartition("m").sortWithinPartitions("m")

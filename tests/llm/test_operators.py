@@ -8,6 +8,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
 from ledgerloom.llm import chaining, decontaminate, licences, packing, quality_rules, repeats, secret_scans, simhash, suffix_tree, toxicity
 from ledgerloom.llm.queries import tokenizer_path
@@ -385,3 +386,40 @@ def test_empty_tables(empty, spark):
     items = spark.createDataFrame([], "item_id long, text string")
     for out in (quality_rules.cleaned(empty), secret_scans.masked(empty), licences.scan(empty), simhash.deduplicated(empty), decontaminate.clean(empty, items), packing.pack(empty, tokenizer_path()), repeats.deduplicated(empty), chaining.shared_passages(empty), suffix_tree.score(empty)):
         assert out.count() == 0
+
+
+def test_repeats_merge_only_grams_with_stretches_met_once(spark, monkeypatch):
+    """Copies cover all their windows, so no bytes of theirs are compared; near copies of texts met once are, as equals of brute force."""
+    asked = []
+    contents = repeats._contents
+    monkeypatch.setattr(repeats, "_contents", lambda docs, wanted, width: asked.append(wanted.count()) or contents(docs, wanted, width))
+    r = np.random.default_rng(3)
+    base = bytes(r.integers(97, 122, 900).astype(np.uint8)).decode()
+    near = base[:450] + "#" + base[451:]
+    for texts, several in (([base, near] * 2, False), ([base, near], True)):
+        raw = [t.encode() for t in texts]
+        seen = collections.Counter(x[i : i + 200] for x in raw for i in range(len(x) - 199))
+        gone = {i: sum(any(seen[x[j : j + 200]] > 1 for j in range(max(0, at - 199), min(at, len(x) - 200) + 1)) for at in range(len(x))) for i, x in enumerate(raw)}
+        found = repeats.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+        assert {x["doc_id"]: x["n_removed"] for x in found.collect()} == gone and (asked.pop() > 0) is several
+
+
+def test_refined_windows_equal_a_plain_count():
+    """Intervals of two, of many, and such that part at every step."""
+    r = np.random.default_rng(4)
+    raw = bytes(r.integers(97, 99, 60).astype(np.uint8)) * 3 + bytes(r.integers(97, 99, 400).astype(np.uint8)) + b"c" * 60
+    starts = np.arange(len(raw) - 16)
+    block = r.integers(0, 3, len(starts)) * 10**12
+    seen = collections.Counter((b, raw[s : s + 16]) for b, s in zip(block.tolist(), starts.tolist(), strict=True))
+    expected = [seen[b, raw[s : s + 16]] > 1 for b, s in zip(block.tolist(), starts.tolist(), strict=True)]
+    assert repeats.refined(raw, starts, block, 16).tolist() == expected and 0 < sum(expected) < len(expected)
+
+
+def test_windows_of_many_units_come_together():
+    """A batch of units gives one batch of windows, whatever their number: digests, places and whether the unit is met once."""
+    data = [bytes(range(i, i + 200 + i % 8)) if i < 40 else b"x" * 200 for i in range(50)]
+    units = pa.RecordBatch.from_arrays([pa.array(data, pa.binary()), pa.array([i % 2 == 0 for i in range(50)]), pa.array(range(50), pa.int64()), pa.array(range(0, 500, 10), pa.int64())], ["data", "once", "k", "start"])
+    (got,) = repeats._windows([units], 200)
+    plain = [(xxhash.xxh3_128_intdigest(d[j : j + 200]), i, 10 * i + j, i % 2 == 0) for i, d in enumerate(data) for j in range(len(d) - 199)]
+    halves = [(a % 2**64) << 64 | b % 2**64 for a, b in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True)]
+    assert list(zip(halves, *(got.column(c).to_pylist() for c in ("k", "start", "once")), strict=True)) == plain
