@@ -4,13 +4,15 @@ import collections
 import hashlib
 import pathlib
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from ledgerloom.llm import chaining, decontaminate, licences, packing, quality_rules, repeats, secret_scans, simhash, suffix_tree, toxicity
+from ledgerloom.llm import chaining, common, decontaminate, licences, packing, quality_rules, repeats, secret_scans, simhash, suffix_tree, toxicity
 from ledgerloom.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, k string, row int"
@@ -423,3 +425,39 @@ def test_windows_of_many_units_come_together():
     plain = [(xxhash.xxh3_128_intdigest(d[j : j + 200]), i, 10 * i + j, i % 2 == 0) for i, d in enumerate(data) for j in range(len(d) - 199)]
     halves = [(a % 2**64) << 64 | b % 2**64 for a, b in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True)]
     assert list(zip(halves, *(got.column(c).to_pylist() for c in ("k", "start", "once")), strict=True)) == plain
+
+
+def test_written_tables_leave_no_shuffle_files_and_scratch_ones_go(spark, docs):
+    """The session's setting is as before; what a table is kept from goes at the end of its scratch, and so do kept ones at the end of an outer one."""
+    local = pathlib.Path(spark.sparkContext.getConf().get("spark.local.dir"))
+    files = lambda: {p for p in local.rglob("shuffle_*.data")}
+    there = lambda df: pathlib.Path(df.written_to.removeprefix("file://")).exists()
+    before, was = files(), spark.conf.get(common._CLEANUP, None)
+    with common.scratch() as outer:
+        with common.scratch() as inner:
+            gone = common.written(spark.range(100).groupBy((F.col("id") % 7).alias("x")).count(), "gone")
+            kept = inner(common.written(gone.select("x"), "kept"))
+            last = inner(outer(common.written(gone.where("x < 3"), "last")))
+        assert not there(gone) and there(kept) and there(last)
+    assert not there(kept) and there(last) and len(last.collect()) == 3 and spark.conf.get(common._CLEANUP, None) == was
+    for _ in range(100):  # the files go in the background
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+
+
+def test_passages_leave_only_tables_that_their_rows_need(spark, docs, monkeypatch):
+    made = []
+    written = chaining.written
+    monkeypatch.setattr(chaining, "written", lambda df, name: made.append((name, written(df, name))) or made[-1][1])
+    found = chaining.shared_passages(docs)
+    left = {name for name, df in made if pathlib.Path(df.written_to.removeprefix("file://")).exists()}
+    assert len(found.collect()) == docs.count()
+    assert not left & {"seeds", "shared-seeds", "counted-seeds", "seed-pairs", "needed-texts", "windows", "open-texts", "open-chains", "rare-shingles"} and "known" in left
+
+
+def test_a_slice_without_words_has_no_runs(monkeypatch):
+    """Also as the first one that a worker meets, before any powers are known."""
+    monkeypatch.setattr(chaining, "_powers", {})
+    assert len(chaining.Words(pa.array([None, "", " "])).runs(chaining.SEED)) == 0
